@@ -49,28 +49,17 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
+    """The batches, halved until each holds at most ``limit`` bytes of ``column`` or one row."""
+    stack = []
     for batch in batches:
-        values = batch.column(column)
-        if not len(batch):
-            continue
-        step = max(1, int(len(batch) * limit / max(values.nbytes, 1)))
-        sizes = values.nbytes
-        if sizes <= limit:
-            yield batch
-            continue
-        ends = pa.compute.binary_length(values).to_numpy(zero_copy_only=False)
-        start, held = 0, 0
-        for i, size in enumerate(ends):
-            if i > start and (held + (size or 0) > limit or i - start >= max(step * 4, 1)):
-                yield batch.slice(start, i - start)
-                start, held = i, 0
-            held += int(size or 0)
-        yield batch.slice(start)
-
-
-def size_of(df: DataFrame) -> int:
-    return df.count()
+        stack.append(batch)
+        while stack:
+            top = stack.pop()
+            if len(top) > 1 and top.column(column).nbytes > limit:
+                half = len(top) // 2
+                stack += [top.slice(half), top.slice(0, half)]
+            elif len(top):
+                yield top
 
 
 def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import binary
+from . import binary, bpe
 
 
 def queries():
     return {
+        "op5_bpe": bpe.op5,
         "op7_token_ids": binary.op7,
     }
 
