@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import binary, bpe
+from . import binary, bpe, packing
 
 
 def queries():
     return {
         "op5_bpe": bpe.op5,
         "op7_token_ids": binary.op7,
+        "op8_packing": packing.op8,
     }
 
 
