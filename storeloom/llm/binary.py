@@ -78,10 +78,11 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path: s
     """Writes the ids of every whole text, ``end_id`` after each, in ascending doc_id order.
 
     A null text is empty, a null doc_id comes first, rows of one doc_id follow
-    each other in the order of their texts; other columns are ignored. Shards are ranges of doc_id, so one
-    shuffle of the texts puts all in order.
+    each other in the order of their texts' hashes; other columns are ignored.
+    Shards are ranges of doc_id and hash, so one shuffle of the texts puts all in
+    order, and the sample that sets the ranges holds no text.
     """
-    ordered = texts(docs).repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = texts(docs).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     ordered.mapInArrow(_blocks(tokenizer_path, end_id), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 

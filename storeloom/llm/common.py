@@ -43,9 +43,9 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def texts(docs: DataFrame, *more: str) -> DataFrame:
+def texts(docs: DataFrame) -> DataFrame:
     """doc_id and whole text of every row; a null text is an empty one."""
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
