@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, packing
+from . import binary, bpe, packing, webp
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op5_bpe": bpe.op5,
         "op7_token_ids": binary.op7,
         "op8_packing": packing.op8,
+        "op10_webp": webp.op10,
     }
 
 
