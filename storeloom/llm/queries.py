@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, packing, webp
+from . import binary, bpe, packing, pii, webp
 
 
 def queries():
     return {
+        "op1_pii": pii.op1,
         "op5_bpe": bpe.op5,
         "op7_token_ids": binary.op7,
         "op8_packing": packing.op8,
