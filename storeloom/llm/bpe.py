@@ -62,33 +62,15 @@ class _Pieces:
         return [bytes(data[at[a] : at[b] - 1]) if b > a else b"" for a, b in zip(offsets, offsets[1:])]
 
 
-def encode_block(tok, words: pa.ListArray, whole: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of a block's documents and the offsets of each."""
-    counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-    coded = pc.dictionary_encode(words.flatten())
-    table = coded.dictionary.to_pylist()
-    ids = tok.encode_words(table).astype(np.uint32) if table else np.empty(0, np.uint32)
-    ends = np.flatnonzero(tok.ends[ids]) + 1 if len(ids) else np.empty(0, np.int64)
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    lengths = ends - starts
-    codes = coded.indices.to_numpy()
-    each = lengths[codes] if len(codes) else np.empty(0, np.int64)
-    before = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
-    flat = ids[np.repeat(starts[codes] - before[:-1], each) + np.arange(before[-1])] if len(codes) else ids[:0]
-    offsets = before[np.concatenate([[0], np.cumsum(counts)])]
-    if not any(t is not None for t in whole):
-        return flat, offsets
-    parts = [flat[offsets[i] : offsets[i + 1]] if t is None else tok.encode(t) for i, t in enumerate(whole)]
-    return np.concatenate([*parts, flat[:0]]), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
-
-
 def _run(path: str, digest: bool):
     def run(batches):
         tok = tokenizer(path)
         pieces = _Pieces(tok)
         for batch in batches:
             for block in slices(slices([batch], "words", BLOCK_BYTES), "text", BLOCK_BYTES):
-                ids, offsets = encode_block(tok, block.column("words"), block.column("text").to_pylist())
+                words = block.column("words")
+                counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+                ids, offsets = tok.by_position(words.flatten(), counts, block.column("text").to_pylist())
                 decoded = pieces.decode(ids, offsets)
                 raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])]
                 lengths = pa.array(np.diff(offsets), pa.int64())

@@ -167,7 +167,7 @@ def pack_round(ws: Workspace, pieces: DataFrame, n: int, name: str, capacity: in
     )
     schema = "region long, island int, lengths array<long>, packing binary, n_bins int, fit double, unproven boolean"
     for epoch in range(epochs):
-        state = ws.save(state.repartition("region", "island").mapInArrow(_islands(capacity, epoch), schema), f"{name}_epoch_{epoch}")
+        state = ws.save(state.repartition(min(regions * islands, 4096), "region", "island").mapInArrow(_islands(capacity, epoch), schema), f"{name}_epoch_{epoch}")
         if epoch:
             ws.drop(f"{name}_epoch_{epoch - 1}")
         if epoch == epochs - 1 or not state.where("unproven").limit(1).count():
@@ -203,8 +203,9 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -
         tok = tokenizer(path)
         for batch in slices(batches):
             out = [[] for _ in range(5)]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = np.append(tok.encode(text), np.uint32(end_id)).astype("<u4")
+            flat, offsets = tok.encode_many(batch.column("text").to_pylist())
+            for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets, offsets[1:]):
+                ids = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]
                     for col, v in zip(out, (doc_id, k, at, len(piece), zlib.crc32(piece.tobytes()))):

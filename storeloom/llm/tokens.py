@@ -15,6 +15,8 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def default_path(name: str) -> str:
@@ -102,6 +104,42 @@ class FastTokenizer:
         """Ids of plain, normalised words, one after the other; each word's last id is in ``ends``."""
         return self._ranked.encode_to_numpy(_END.join(words) + _END)
 
+    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many texts one after the other, and the offsets of each; a distinct word is encoded once."""
+        if not self.by_word or not self.fast:
+            parts = [self.encode(t) for t in texts]
+            return np.concatenate([np.empty(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
+        words: list[str] = []
+        counts, whole = [], []
+        for text in texts:
+            plain = self.plain(text)
+            found = self._words(text.lower()) if plain else []
+            words += found
+            counts.append(len(found))
+            whole.append(None if plain else text)
+        return self.by_position(pa.array(words, pa.string()), np.array(counts, np.int64), whole)
+
+    def by_position(self, words: pa.Array, counts: np.ndarray, whole: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Joins the ids of a table of distinct words back to where the words stand.
+
+        counts: words of each text; whole: texts that the library takes as they are, null elsewhere.
+        """
+        coded = pc.dictionary_encode(words)
+        table = coded.dictionary.to_pylist()
+        ids = self.encode_words(table).astype(np.uint32) if table else np.empty(0, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        starts = np.concatenate([[0], ends])[: len(ends)].astype(np.int64)
+        lengths = ends - starts
+        codes = coded.indices.to_numpy()
+        each = lengths[codes]
+        before = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
+        flat = ids[np.repeat(starts[codes] - before[:-1], each) + np.arange(before[-1])]
+        offsets = before[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+        if all(t is None for t in whole):
+            return flat, offsets
+        parts = [flat[a:b] if t is None else self.slow(t) for a, b, t in zip(offsets, offsets[1:], whole)]
+        return np.concatenate([flat[:0], *parts]), np.cumsum([0, *map(len, parts)])
+
     def slow(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
