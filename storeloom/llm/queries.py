@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, packing, pii, quality, webp
+from . import binary, bpe, minhash, packing, pii, quality, webp
 
 
 def queries():
     return {
         "op1_pii": pii.op1,
+        "op2_minhash": minhash.op2,
         "op4_quality": quality.op4,
         "op5_bpe": bpe.op5,
         "op7_token_ids": binary.op7,
