@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, minhash, packing, pii, quality, webp
+from . import binary, bpe, minhash, packing, pii, quality, substring, webp
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op2_minhash": minhash.op2,
         "op4_quality": quality.op4,
         "op5_bpe": bpe.op5,
+        "op6_substring": substring.op6,
         "op7_token_ids": binary.op7,
         "op8_packing": packing.op8,
         "op10_webp": webp.op10,
