@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, minhash, packing, pii, quality, substring, webp
+from . import binary, bpe, lines, minhash, packing, pii, quality, substring, webp
 
 
 def queries():
@@ -14,9 +14,10 @@ def queries():
         "op6_substring": substring.op6,
         "op7_token_ids": binary.op7,
         "op8_packing": packing.op8,
+        "op9_lines": lines.op9,
         "op10_webp": webp.op10,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op9_lines": lines.ORACLE}
