@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import binary, bpe, lines, minhash, packing, pii, quality, substring, webp
+from . import ann, binary, bpe, lines, minhash, packing, pii, quality, substring, webp
 
 
 def queries():
     return {
         "op1_pii": pii.op1,
         "op2_minhash": minhash.op2,
+        "op3_ann": ann.op3,
         "op4_quality": quality.op4,
         "op5_bpe": bpe.op5,
         "op6_substring": substring.op6,
