@@ -33,7 +33,11 @@ class Workspace:
 
     def save(self, df: DataFrame, table: str, **options: str) -> DataFrame:
         df.write.options(**options).parquet(self.path(table))
-        return self.spark.read.schema(df.schema).parquet(self.path(table))
+        return self.load(table, df.schema)
+
+    def load(self, table: str, schema) -> DataFrame:
+        """A saved table; each load has columns of its own, so that it joins with another."""
+        return self.spark.read.schema(schema).parquet(self.path(table))
 
     def drop(self, *tables: str) -> None:
         """Deletes tables that nothing reads any more."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, slices, texts
-from .neardup import SIMILARITY, classes, mix, multiset_jaccard, shingles, word_hashes
+from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
 
 BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
@@ -125,7 +125,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     def units_of(ids: DataFrame) -> DataFrame:
         return texts(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
 
-    cc, links = classes(ws, buckets, units_of, threshold, multiset_jaccard)
+    cc, links = classes(ws, buckets, units_of, threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     known = cc.join(degree, "id", "left").withColumnRenamed("id", "exact_id")
     out = exact.select("doc_id", "exact_id").join(known, "exact_id", "left")

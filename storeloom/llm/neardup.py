@@ -1,13 +1,13 @@
 """Verified near-duplicate classes from band buckets, without all pairs of a bucket.
 
-Round 0 compares each member of a bucket with the bucket's least id (its pivot).
-Verified pairs make components. A bucket whose members are all in one component
-is settled: more links between them can't change the classes. In other buckets
-the members outside the pivot's component ("outliers") become pivots in
-turn, more of them each round, and meet every member of another component that
-the triangle inequality leaves possible (one minus a Jaccard similarity is a
-metric). The rounds end when no outlier is left, so no link between components is
-lost, whatever the size of a bucket.
+A bucket's hub is the member that meets most others over all buckets, so of a
+text and its edited copies it is the text. First every member is compared with
+its buckets' hubs, and the verified pairs make components. A hub's members that are in
+its component are settled: more links among them can't change the classes. The
+others ("outliers") then meet all members of the hub, in blocks of bounded size, a member
+against a whole block of outliers at once; only links leave the block. So
+every pair that shares a bucket is in one component or has been compared, whatever
+the size of the bucket.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ from __future__ import annotations
 from collections import OrderedDict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, components, slices
@@ -26,6 +27,8 @@ WORDS = 5
 SIMILARITY = 0.8
 #: Pairs of one pivot that go to a task together; its text is sent once for each so many.
 PER_TASK = 256
+#: Members of a hub, and outliers, that one task compares.
+MEMBERS, OUTLIERS = 512, 64
 
 
 # --- words and shingles ------------------------------------------------------------------------
@@ -136,55 +139,89 @@ def verify(ws: Workspace, pairs: DataFrame, units: DataFrame, name: str, similar
 # --- classes --------------------------------------------------------------------------------------
 
 
-def classes(ws: Workspace, buckets: DataFrame, units_of, threshold: float = SIMILARITY, similarity=multiset_jaccard, name: str = "nd"):
+def _overlaps(bags: list[tuple], pooled: np.ndarray, start: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+    """(bags, n) sums of least counts with each of n pooled bags; of shingle pooled[i] they are owner and count from start[i] on."""
+    out = np.zeros((len(bags), n), np.int64)
+    for row, (values, counts) in zip(out, bags):
+        at = np.searchsorted(pooled, values)
+        at[at == len(pooled)] = 0
+        hit = np.flatnonzero(pooled[at] == values)
+        first, size = start[at[hit]], start[at[hit] + 1] - start[at[hit]]
+        flat = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        row += np.bincount(owner[flat], np.minimum(count[flat], np.repeat(counts[hit], size)), n).astype(np.int64)
+    return out
+
+
+def _bags(texts: list[str], multiset: bool) -> list[tuple]:
+    hashed, offsets = shingles(*word_hashes(pa.array(texts, pa.string())))
+    out = []
+    for a, b in zip(offsets, offsets[1:]):
+        values, counts = np.unique(hashed[a:b], return_counts=True)
+        out.append((values, counts if multiset else np.ones_like(counts)))
+    return out
+
+
+def _block(threshold: float, multiset: bool):
+    def run(key, members: pd.DataFrame, outliers: pd.DataFrame) -> pd.DataFrame:
+        found = {"a": [], "b": [], "sim": []}
+        if len(members) and len(outliers):
+            right = _bags(outliers["text"].tolist(), multiset)
+            values = np.concatenate([v for v, _ in right])
+            order = np.argsort(values, kind="stable")
+            pooled, start = np.unique(values[order], return_index=True)
+            start = np.append(start, len(values))
+            owner = np.repeat(np.arange(len(right)), [len(v) for v, _ in right])[order]
+            count = np.concatenate([c for _, c in right])[order]
+            totals = np.array([c.sum() for _, c in right])
+            left = _bags(members["text"].tolist(), multiset)
+            least = _overlaps(left, pooled, start, owner, count, len(right))
+            sims = least / np.maximum(np.array([c.sum() for _, c in left])[:, None] + totals - least, 1)
+            apart = members["component"].to_numpy()[:, None] != outliers["component"].to_numpy()
+            i, j = np.nonzero((sims >= threshold) & apart)
+            found = {"a": outliers["id"].to_numpy()[j], "b": members["id"].to_numpy()[i], "sim": sims[i, j]}
+        return pd.DataFrame(found).astype({"a": "int64", "b": "int64", "sim": "float64"})
+
+    return run
+
+
+def classes(ws: Workspace, buckets: DataFrame, units_of, threshold: float = SIMILARITY, multiset: bool = True, name: str = "nd"):
     """Components of verified pairs among ids that share a bucket.
 
     buckets: (key long, id long). units_of: called with a table of the ids that meet
     another in some bucket, gives (id, text) of these. Returns (id, component)
-    for ids with a link, and the links (a, b, sim).
+    for ids with a link, and the links (a, b, sim) that were verified to find them.
     """
-    spark = ws.spark
-    stats = buckets.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("key", "pivot")
-    met = ws.save(buckets.join(stats, "key").distinct(), f"{name}_met")
-    units = ws.save(units_of(met.select("id").distinct()), f"{name}_units")
-    pairs = met.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    seen = verify(ws, pairs, units, f"{name}_seen_0", similarity)
+    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = ws.save(buckets.join(sizes, "key"), f"{name}_met")
+    degree = met.groupBy("id").agg(F.sum("n").alias("degree"))
+    hubs = met.select("key", "id").join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub"))
+    pairs = ws.save(met.select("key", "id").join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), f"{name}_pairs")
+    units = ws.save(units_of(degree.select("id")), f"{name}_units")
+    ws.drop(f"{name}_met")
+    seen = verify(ws, pairs, units, f"{name}_seen", multiset_jaccard if multiset else set_jaccard)
     links = seen.where(F.col("sim") >= threshold)
     cc = components(ws, links.select("a", "b"), f"{name}_cc_0")
-    # each member's distance from its bucket's first pivot
-    members = met.join(seen.select(F.col("a").alias("pivot"), F.col("b").alias("id"), "sim"), ["pivot", "id"], "left").select("key", "id", "pivot", F.coalesce("sim", F.lit(1.0)).alias("sim"))
-    done, step = None, 0
-    while True:
-        step += 1
-        label = lambda c: F.coalesce(c, F.col("id"))
-        state = members.join(cc, "id", "left").select("key", "id", "pivot", "sim", label(F.col("component")).alias("component"))
-        main = state.where("id = pivot").select("key", F.col("component").alias("main"))
-        spread = state.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        open_ = state.join(spread, "key").join(main, "key")
-        open_ = ws.save(open_, f"{name}_open_{step}")
-        outliers = open_.where("component <> main")
-        if done is not None:
-            outliers = outliers.join(done, ["key", "id"], "left_anti")
-        turn = Window.partitionBy("key").orderBy("id")
-        chosen = ws.save(outliers.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= 4**step).select("key", "id", "sim", "component"), f"{name}_chosen_{step}")
-        if not chosen.limit(1).count():
-            break
-        p = chosen.select("key", F.col("id").alias("a"), F.col("sim").alias("sa"), F.col("component").alias("ca"))
-        pairs = (
-            open_.join(p, "key")
-            .where((F.col("component") != F.col("ca")) & (F.abs(F.col("sim") - F.col("sa")) <= 1 - threshold + 1e-9))
-            .select("a", F.col("id").alias("b"))
-            .where("a <> b")
-            .distinct()
-        )
-        old = seen.select("a", "b").unionAll(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        pairs = ws.save(pairs.join(old, ["a", "b"], "left_anti"), f"{name}_pairs_{step}")
-        if pairs.limit(1).count():
-            fresh = verify(ws, pairs, units, f"{name}_seen_{step}", similarity)
-            seen = seen.unionAll(fresh)
-            links = seen.where(F.col("sim") >= threshold)
-            if fresh.where(F.col("sim") >= threshold).limit(1).count():
-                cc = components(ws, links.select("a", "b"), f"{name}_cc_{step}")
-        tried = chosen.select("key", "id")
-        done = tried if done is None else done.unionAll(tried)
-    return cc, links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").distinct()
+    label = lambda c, i: F.coalesce(F.col(c), F.col(i))
+    of_hub = cc.select(F.col("id").alias("a"), F.col("component").alias("main"))
+    state = seen.join(cc.withColumnRenamed("id", "b"), "b", "left").join(of_hub, "a", "left").select(F.col("a").alias("hub"), F.col("b").alias("id"), label("component", "b").alias("component"), label("main", "a").alias("main"), "sim")
+    state = ws.save(state, f"{name}_state")
+    # the hub itself has met all its members
+    outlying = ws.load(f"{name}_state", state.schema).where("component <> main")
+    units_again = ws.load(f"{name}_units", units.schema)
+    cuts = ws.save(
+        state.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), F.ceil(F.count_if(F.col("component") != F.col("main")) / OUTLIERS).cast("int").alias("blocks"), F.count("*").alias("n")).where("blocks > 0 and n > 1"),
+        f"{name}_cuts",
+    )
+    cuts_again = ws.load(f"{name}_cuts", cuts.schema)
+    number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = state.join(cuts, "hub").join(units, "id").withColumn("part", number("id", "parts")).withColumn("block", every("blocks")).select("hub", "part", "block", "id", "component", "text")
+    right = outlying.join(cuts_again, "hub").join(units_again, "id").withColumn("block", number("id", "blocks")).withColumn("part", every("parts")).select("hub", "part", "block", "id", "component", "text")
+    key = ["hub", "part", "block"]
+    more = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block(threshold, multiset), "a long, b long, sim double")
+    more = ws.save(more, f"{name}_more")
+    links = ws.save(links.unionAll(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"]), f"{name}_links")
+    if more.limit(1).count():
+        cc = components(ws, links.select("a", "b"), f"{name}_cc_1")
+    ws.drop(f"{name}_pairs", f"{name}_units", f"{name}_seen", f"{name}_state", f"{name}_more")
+    return cc, links

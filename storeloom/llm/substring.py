@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, slices, texts
-from .neardup import SIMILARITY, classes, mix, set_jaccard, shingles, word_hashes
+from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
 
 BANDS, ROWS = 12, 4
 LEAST_WORDS, SENTENCE_WORDS = 12, 8
@@ -119,7 +119,7 @@ def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY)
         cut = texts(docs).dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("text", F.explode("cuts").alias("c"))
         return cut.select("c.id", F.substring("text", F.col("c.start").cast("int") + 1, (F.col("c.end") - F.col("c.start")).cast("int")).alias("text"))
 
-    cc, _ = classes(ws, buckets, units_of, threshold, set_jaccard)
+    cc, _ = classes(ws, buckets, units_of, threshold, multiset=False)
     labelled = distinct.join(cc.withColumnRenamed("id", "h1"), "h1", "left").select("h1", "h2", "first", "n", F.coalesce("component", "h1").alias("cluster"))
     keep = labelled.groupBy("cluster").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
     of = ws.save(labelled.select("h1", "h2", "cluster").join(keep.select("cluster", "keep"), "cluster"), "clusters")
