@@ -201,12 +201,13 @@ def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents without later copies of repeated lines; every row stays, perhaps with an empty text, a null text as null."""
+    columns = docs.columns
 
     def run(batches):
         for batch in slices(batches):
             at = batch.schema.get_field_index("text")
             new = [t if t is None or not any(c or ()) else _without(t.split("\n"), a, c)[0] for t, a, c in zip(*(batch.column(c).to_pylist() for c in ("text", "__at", "__cut")))]
-            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).select(docs.columns)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type)).select(columns)
 
     out = _with_cuts(spark, docs).mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
