@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,53 +112,74 @@ def _refine(ws: Workspace, rows: DataFrame, name: str) -> DataFrame:
     return full.select("doc_id", "th", "pos", (F.col("r") + start("g1", "first1") - start("g0", "first0")).alias("rank"), tied.alias("tied"), later.alias("later"))
 
 
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column and their number in each row."""
+    counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return column.flatten(), counts
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(values, kind))
+
+
 def _apply(level: int):
     """Takes a round's ranks into the documents' rows, and cuts the windows of later copies."""
+    size = 1 << level
 
     def run(batches):
         for batch in batches:
-            rows = batch.to_pydict()
-            ranks, cuts, opens, deep = [], [], [], []
-            for rank, cut, enough, deepest, news in zip(rows["rank"], rows["cut"], rows["enough"], rows["deepest"], rows["news"]):
-                rank, cut, open_ = list(rank), list(cut), []
-                for x in news or ():
-                    pos = x["pos"]
-                    rank[pos] = x["rank"]
-                    # a suffix shorter than the window equals its like up to the document's end
-                    if not x["tied"] or pos + (1 << level) > len(rank):
-                        continue
-                    open_.append(pos)
-                    deepest = 1 << level
-                    if x["later"] and (level or enough[pos]):
-                        cut[pos : pos + (1 << level)] = [True] * (1 << level)
-                ranks.append(rank)
-                cuts.append(cut)
-                opens.append(open_)
-                deep.append(deepest)
-            yield pa.record_batch([*(batch.column(c) for c in ("doc_id", "th", "at", "enough")), pa.array(ranks, pa.list_(pa.int64())), pa.array(cuts, pa.list_(pa.bool_())), pa.array(deep, pa.int32()), pa.array(opens, pa.list_(pa.int32()))], names=["doc_id", "th", "at", "enough", "rank", "cut", "deepest", "open"])
+            if not len(batch):
+                continue
+            rank, n = _flat(batch.column("rank"))
+            rank = rank.to_numpy(zero_copy_only=False).copy()
+            cut, enough = (_flat(batch.column(c))[0].to_numpy(zero_copy_only=False).copy() for c in ("cut", "enough"))
+            news, m = _flat(batch.column("news"))
+            pos, fresh, tied, later = (news.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "rank", "tied", "later"))
+            doc = np.repeat(np.arange(len(n)), m)
+            at = (np.cumsum(n) - n)[doc] + pos
+            rank[at] = fresh
+            # a suffix shorter than the window equals its like up to the document's end
+            open_ = tied & (pos + size <= n[doc])
+            gone = at[open_ & later] if level else at[open_ & later & enough[at]]
+            edge = np.bincount(gone, minlength=len(rank) + 1) - np.bincount(gone + size, minlength=len(rank) + 1)[: len(rank) + 1]
+            cut |= np.cumsum(edge[: len(rank)]) > 0
+            counts = np.bincount(doc[open_], minlength=len(n))
+            deepest = np.where(counts > 0, size, batch.column("deepest").to_numpy(zero_copy_only=False))
+            columns = [batch.column(c) for c in ("doc_id", "th", "at", "enough")]
+            yield pa.record_batch([*columns, _lists(rank, n, pa.int64()), _lists(cut, n, pa.bool_()), pa.array(deepest, pa.int32()), _lists(pos[open_], counts, pa.int32())], names=["doc_id", "th", "at", "enough", "rank", "cut", "deepest", "open"])
 
     return run
 
 
 def suffix_ranks(ws: Workspace, docs: DataFrame) -> DataFrame:
-    """Per document its lines' suffix ranks, the lines to cut, and the depth of its deepest interval."""
+    """Per document its lines' suffix ranks, the lines to cut, and the depth of its deepest interval.
+
+    A document leaves the rounds with its last open suffix, so a round reads those
+    that are still in it only.
+    """
     ids = ws.save(line_ids(docs), "ids")
     rows = ids.select("doc_id", "th", F.posexplode(F.arrays_zip("h", "g")).alias("pos", "v")).select(F.lit(0).cast("long").alias("r"), F.col("v.h").alias("k1"), F.col("v.g").alias("k2"), "doc_id", "th", "pos")
     state = ids.select("doc_id", "th", "at", "enough", F.transform("at", lambda _: F.lit(-1).cast("long")).alias("rank"), F.transform("at", lambda _: F.lit(False)).alias("cut"), F.lit(0).alias("deepest"))
-    level = 0
+    done, level = [], 0
     while True:
         fresh = _refine(ws, rows, f"scan_{level}")
         news = fresh.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "rank", "tied", "later")).alias("news"))
         same = [F.col(f"s.{c}").eqNullSafe(F.col(f"n.{c}")) for c in ("doc_id", "th")]
-        joined = state.drop("open").alias("s").join(news.alias("n"), same, "left").select("s.*", "n.news")
+        # a document without lines has no news; it is no part of the answer
+        joined = state.drop("open").alias("s").join(news.alias("n"), same).select("s.*", "n.news")
         state = ws.save(joined.mapInArrow(_apply(level), f"{_STATE}, open array<int>"), f"state_{level}")
-        ws.drop(f"scan_{level}", *([f"state_{level - 1}"] if level else ["ids"]))
-        if not state.where(F.size("open") > 0).limit(1).count():
-            return state
-        ahead = 1 << level
-        after = F.coalesce(F.get("rank", F.col("pos") + F.lit(ahead)), F.lit(-1))
+        ws.drop(f"scan_{level}", *([] if level else ["ids"]))
+        done.append(state.where("size(open) = 0"))
+        state = state.where("size(open) > 0")
+        if not state.limit(1).count():
+            break
+        after = F.coalesce(F.get("rank", F.col("pos") + F.lit(1 << level)), F.lit(-1))
         rows = state.select("doc_id", "th", "rank", F.explode("open").alias("pos")).select(F.get("rank", F.col("pos")).alias("r"), after.alias("k1"), F.lit(0).cast("long").alias("k2"), "doc_id", "th", "pos")
         level += 1
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionAll(part)
+    return out
 
 
 def _without(lines: list[str], at, cut) -> tuple[str, int, int, int]:
