@@ -1,29 +1,31 @@
 """Repeated passages by paragraph MinHash banding (operator 6).
 
-A paragraph is a line of the text. Paragraphs of at least ``LEAST_WORDS`` words are collapsed by
-their words, sketched by ``BANDS`` x ``ROWS`` MinHashes of their runs of five words (bands tuned for a recall
+A paragraph is a line of the text. Paragraphs of at least ``LEAST_WORDS`` words are sketched by
+``BANDS`` x ``ROWS`` MinHashes of their runs of five words (bands tuned for a recall
 of 0.998 at similarity 0.8), joined where a band collides, verified by exact Jaccard
 similarity, and clustered by components. Passages also repeat within paragraphs
-that differ as a whole, so each sentence of a longer paragraph with at least ``SENTENCE_WORDS``
-words is a unit of its own, whose one band is its whole word sequence. Of a
-cluster the first place, by doc_id and position, stays; all others are removals.
+that differ as a whole, so each sentence with at least ``SENTENCE_WORDS`` words is a unit
+of its own, whose one band is its whole word sequence. Of a cluster the first
+place, by doc_id and position, stays; all others are removals.
+
+A place is a document, a line number and a range of the line's words (what white space
+parts); a sentence ends with a word that ends in a full stop, question or exclamation mark.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Workspace, slices, texts
-from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
+from .neardup import SIMILARITY, classes, mix, shingles, words_of
 
 BANDS, ROWS = 12, 4
 LEAST_WORDS, SENTENCE_WORDS = 12, 8
-_SENTENCE = re.compile(r"\S(?:.*?[.!?](?=\s|$)|.*$)")
+SALTS = 16
 
 
 def min_hashes(hashed: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
@@ -44,87 +46,126 @@ def min_hashes(hashed: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -
     return out
 
 
-def _units(text: str):
-    """(start, end, is a sentence) of a text's paragraphs and of the sentences of those with several."""
-    at = 0
-    for line in text.split("\n"):
-        if line.strip():
-            yield at, at + len(line), False
-            found = [m.span() for m in _SENTENCE.finditer(line)]
-            if len(found) > 1:
-                for a, b in found:
-                    yield at + a, at + b, True
-        at += len(line) + 1
+def _spans(sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end word of every sentence, and its line; ends marks words that close one, sizes are the lines' words."""
+    edge = ends.copy()
+    last = np.cumsum(sizes)[sizes > 0] - 1
+    edge[last] = True
+    stop = np.flatnonzero(edge) + 1
+    start = np.concatenate([[0], stop])[: len(stop)]
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    return start, stop, line[start] if len(start) else start
+
+
+def _run_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each range of words: sums over the words mixed with their places."""
+    sizes = stop - start
+    place = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    flat = words[np.repeat(start, sizes) + place]
+    out = []
+    for salt in (1, 2):
+        mixed = mix(mix(flat + np.uint64(salt)) ^ place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(mixed, dtype=np.uint64)])
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        out.append(mix(total[at[1:]] - total[at[:-1]] + sizes.astype(np.uint64)).view(np.int64))
+    return out
 
 
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, start, end (code points), sentence, words' 128-bit hash (h1, h2), keys (band keys of a paragraph)."""
+    """doc_id, line, first and end word, the words' 128-bit hash (h1, h2), and a whole paragraph's band keys (null for a sentence)."""
 
     def run(batches):
-        for batch in slices(batches, "text", 3 << 20):
-            places, values = [], []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                for a, b, sentence in _units(text):
-                    # fewer words than this have fewer characters
-                    if b - a >= 2 * (SENTENCE_WORDS if sentence else LEAST_WORDS) - 1:
-                        places.append((doc_id, a, b, sentence))
-                        values.append(text[a:b])
-            words, at = word_hashes(pa.array(values, pa.string()))
+        for batch in slices(batches, "text", 4 << 20):
+            lists = pc.split_pattern(batch.column("text"), "\n")
+            per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            words, at, ends = words_of(lists.flatten(), ".!?")
             sizes = np.diff(at)
-            sentence = np.array([p[3] for p in places], bool)
-            keep = np.flatnonzero(sizes >= np.where(sentence, SENTENCE_WORDS, LEAST_WORDS)) if len(places) else np.empty(0, int)
-            place = (np.arange(len(words)) - np.repeat(at[:-1], sizes)).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)
-            two = []
-            for salt in (1, 2):
-                total = np.concatenate([[np.uint64(0)], np.cumsum(mix(mix(words + np.uint64(salt)) ^ place), dtype=np.uint64)])
-                two.append(mix(total[at[1:]] - total[at[:-1]] + sizes.astype(np.uint64)).view(np.int64)[keep])
-            whole = keep[~sentence[keep]] if len(keep) else keep
-            counts = np.zeros(len(keep), np.int32)
+            start, stop, line = _spans(sizes, ends)
+            # a paragraph of one sentence is a unit once
+            several = np.bincount(line, minlength=len(sizes)) > 1
+            keep = (stop - start >= SENTENCE_WORDS) & (several[line] | (sizes[line] < LEAST_WORDS))
+            whole = np.flatnonzero(sizes >= LEAST_WORDS)
+            start, stop, line = (np.concatenate(x) for x in ((start[keep], at[whole]), (stop[keep], at[whole + 1]), (line[keep], whole)))
+            h1, h2 = _run_hashes(words, start, stop)
+            counts = np.zeros(len(start), np.int32)
             keys = np.empty(0, np.int64)
             if len(whole):
-                picked = np.concatenate([np.arange(at[i], at[i + 1]) for i in whole])
-                hashed, offsets = shingles(words[picked], np.concatenate([[0], np.cumsum(sizes[whole])]))
-                sketch = min_hashes(hashed, offsets).reshape(len(whole), BANDS, ROWS)
+                n = sizes[whole]
+                picked = np.repeat(at[whole] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                sketch = min_hashes(*shingles(words[picked], np.concatenate([[0], np.cumsum(n)]))).reshape(len(whole), BANDS, ROWS)
                 key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sketch.shape[:2]).copy()
                 for k in range(ROWS):
                     key = mix(key ^ sketch[:, :, k].astype(np.uint64))
                 keys = key.view(np.int64).reshape(-1)
-                counts[~sentence[keep]] = BANDS
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(keys))
-            columns = list(zip(*(places[i] for i in keep))) or [[], [], [], []]
-            yield pa.record_batch([*(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()))), pa.array(two[0]), pa.array(two[1]), lists], names=["doc_id", "start", "end", "sentence", "h1", "h2", "keys"])
+                counts[len(start) - len(whole) :] = BANDS
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)
+            first = (np.cumsum(per_doc) - per_doc)[doc]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.concatenate([counts == 0, [False]]))
+            columns = [batch.column("doc_id").take(pa.array(doc[line])), pa.array((line - first[line]).astype(np.int32)), pa.array((start - at[line]).astype(np.int32)), pa.array((stop - at[line]).astype(np.int32)), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(offsets, pa.array(keys))]
+            yield pa.record_batch(columns, names=["doc_id", "line", "first", "end", "h1", "h2", "keys"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, start long, end long, sentence boolean, h1 long, h2 long, keys array<long>")
+    return texts(docs).mapInArrow(run, "doc_id long, line int, first int, end int, h1 long, h2 long, keys array<long>")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row per removal: doc_id, start, end (code points, end exclusive), sentence, cluster, keep_doc_id, keep_start.
+    """One row per removal: doc_id, line, first, end (words, end exclusive), cluster, keep_doc_id, keep_line, keep_first.
 
-    cluster names the component; keep_doc_id and keep_start are its first place. Paragraphs
-    and sentences under the least number of words take no part; null and empty
-    texts have none; rows that repeat a doc_id count as places of it.
+    cluster names the component; keep_* are its first place. Paragraphs and
+    sentences under the least number of words take no part; null and empty texts have none;
+    rows that repeat a doc_id count as places of it.
     """
     ws = Workspace(spark, "repeats")
     found = ws.save(units(docs), "units")
-    place = F.struct("doc_id", "start", "end")
-    # exact copies first: of each word sequence the first place stands for all
-    keys = F.min(F.when(~F.col("sentence"), F.struct(place.alias("p"), "keys"))).getField("keys")
-    distinct = ws.save(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), keys.alias("keys")), "distinct")
-    whole = distinct.where("keys is not null")
-    buckets = ws.save(whole.select(F.explode("keys").alias("key"), F.col("h1").alias("id")).distinct(), "buckets")
-    whole = whole.select(F.col("h1").alias("id"), "first.doc_id", "first.start", "first.end").dropDuplicates(["id"])
+    paragraphs = found.where("keys is not null")
+    buckets = ws.save(paragraphs.select(F.explode("keys").alias("key"), F.col("h1").alias("id")).distinct(), "buckets")
 
     def units_of(ids: DataFrame) -> DataFrame:
-        wanted = whole.join(ids, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("id", "start", "end")).alias("cuts"))
-        cut = texts(docs).dropDuplicates(["doc_id"]).join(wanted, "doc_id").select("text", F.explode("cuts").alias("c"))
-        return cut.select("c.id", F.substring("text", F.col("c.start").cast("int") + 1, (F.col("c.end") - F.col("c.start")).cast("int")).alias("text"))
+        places = paragraphs.select(F.col("h1").alias("id"), "doc_id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("cuts"))
+        cut = texts(docs).join(wanted, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("cuts").alias("c"))
+        return cut.select("c.id", F.get("lines", F.col("c.line")).alias("text")).dropDuplicates(["id"])
 
     cc, _ = classes(ws, buckets, units_of, threshold, multiset=False)
-    labelled = distinct.join(cc.withColumnRenamed("id", "h1"), "h1", "left").select("h1", "h2", "first", "n", F.coalesce("component", "h1").alias("cluster"))
-    keep = labelled.groupBy("cluster").agg(F.min("first").alias("keep"), F.sum("n").alias("total")).where("total > 1")
-    of = ws.save(labelled.select("h1", "h2", "cluster").join(keep.select("cluster", "keep"), "cluster"), "clusters")
-    out = found.drop("keys").join(of, ["h1", "h2"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start")))
-    return out.select("doc_id", "start", "end", "sentence", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.start").alias("keep_start"))
+    cc = ws.save(cc, "components")
+    ws.drop("buckets")
+    # word sequences that occur twice, and those of components
+    twice = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    linked = paragraphs.select("h1", "h2").join(cc.select(F.col("id").alias("h1")), "h1", "left_semi").distinct()
+    label = cc.select(F.col("id").alias("h1"), "component")
+    clusters = twice.unionAll(linked).distinct().join(label, "h1", "left").select("h1", "h2", F.coalesce("component", "h1").alias("cluster"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("part"))
+    members = ws.save(found.drop("keys").join(clusters, ["h1", "h2"]).drop("h1", "h2"), "members")
+    ws.drop("units")
+    keep = members.groupBy("cluster", "part").agg(F.min(F.struct("doc_id", "line", "first", "end")).alias("keep"))
+    # a cluster may hold any share of the places: its first place is sent to each of SALTS parts
+    salted = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    out = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line", "first"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "part", "salt"])
+    other = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")) | (F.col("first") != F.col("keep.first")) | (F.col("end") != F.col("keep.end"))
+    return out.where(other).select("doc_id", "line", "first", "end", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.col("keep.first").alias("keep_first"))
+
+
+def remove(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """doc_id and text without its removals; a line that loses all its words goes as a whole."""
+    cuts = repeats(spark, docs, threshold).groupBy("doc_id").agg(F.collect_list(F.struct("line", "first", "end")).alias("cuts"))
+
+    def run(batches):
+        for batch in slices(batches):
+            out = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("cuts").to_pylist()):
+                lines, gone = text.split("\n"), {}
+                for c in found or ():
+                    gone.setdefault(c["line"], set()).update(range(c["first"], c["end"]))
+                kept = []
+                for i, line in enumerate(lines):
+                    words = line.split()
+                    left = [w for k, w in enumerate(words) if k not in gone.get(i, ())]
+                    if len(left) == len(words):
+                        kept.append(line)
+                    elif left:
+                        kept.append(" ".join(left))
+                out.append("\n".join(kept))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(out, pa.string())], names=["doc_id", "text"])
+
+    return texts(docs).join(cuts, "doc_id", "left").mapInArrow(run, "doc_id long, text string")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
