@@ -23,7 +23,6 @@ def parse(files: DataFrame) -> DataFrame:
     """
     lines = files.select("host", F.posexplode(F.split("text", r"\r?\n")).alias("line", "raw"))
     text = trim_spaces(F.regexp_replace("raw", r"#.*\z", ""))
-    at = F.instr(text, ":")
     pairs = lines.withColumn("t", text).where(F.instr("t", ":") > 1)
     at = F.instr("t", F.lit(":"))
     pairs = pairs.select("host", "line", F.lower(trim_spaces(F.substring("t", F.lit(1), at - 1))).alias("key"), trim_spaces(F.substring("t", at + 1, F.length("t"))).alias("value"))

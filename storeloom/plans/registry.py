@@ -647,3 +647,50 @@ def a07(spark, d):
 
     rows = D.table(spark, d, "events").selectExpr("user_id", "event_id as attempt", "event_id % 100 as total_tokens")
     return usage_totals(rows, "user_id")
+
+
+# --- catalogue and scaffold ----------------------------------------------------------------------------------
+
+
+@query("f15_catalogue_search", "select * from (values ('parse', 'robots'), ('disallowed', 'robots')) as t(symbol, module) order by 1")
+def f15(spark, d):
+    from storeloom.operators import catalogue
+
+    rows = [(s, "robots") for s, axis, _ in catalogue.entries() if axis == "http"]
+    known = spark.createDataFrame(rows, "symbol string, axis string").withColumn("summary", F.col("symbol"))
+    hits = catalogue.search(known, "PARSE").unionAll(catalogue.search(known, "disallowed"))
+    return hits.select("symbol", F.col("axis").alias("module"))
+
+
+@query("f17_scaffold_problems", f"select page_id, case when page_id % 7 = 0 then 'name' when page_id % 5 = 0 then 'rawHost' when page_id % 3 = 0 then 'storeId' when page_id % 2 = 0 then 'imageCdnHost' end as problem from pages")
+def f17(spark, d):
+    from storeloom.operators import scaffold
+
+    n = F.col("page_id")
+    name = F.when(n % 7 == 0, F.lit("Example")).otherwise(F.concat(F.lit("shop"), n.cast("string")))
+    host = F.when(n % 5 == 0, F.lit("https://a.test")).otherwise(F.lit("a.test"))
+    platform = F.when(n % 3 == 0, "bvshop").when(n % 2 == 0, "custom").otherwise("shopline")
+    none = F.lit(None).cast("string")
+    return D.table(spark, d, "pages").select("page_id", scaffold.problem(name, host, F.lit("https://a.test"), platform, F.lit("products"), none, none).alias("problem"))
+
+
+@query("x05_axis_and_search", "select event_type, count(*) as n from events where event_type in (select event_type from events where value > 50) and event_type like '%i%' group by 1")
+def x05(spark, d):
+    rows = D.table(spark, d, "events")
+    return rows.where("event_type like '%i%'").join(rows.where("value > 50").select("event_type").distinct(), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("a12_usefulness", "select count(*) as total, count(*) filter (event_type = 'view') as useful, count(*) filter (event_type = 'view') as role_view, count(*) filter (event_type = 'click') as role_click from events")
+def a12(spark, d):
+    from storeloom.operators.stages import usefulness
+
+    rows = D.table(spark, d, "events").select((F.col("event_type") == "view").alias("useful"), F.col("event_type").alias("role"))
+    return usefulness(rows, ("view", "click"))
+
+
+@query("a11_gate_summary", "select count(*) as total_pages, count(*) filter (page_id % 4 = 0 and page_id % 3 < 2) as parsed_products, count(*) filter (page_id % 4 <> 0) as noJsonLdBlock, count(*) filter (page_id % 4 = 0 and page_id % 3 = 2) as missingProductId from pages")
+def a11_gates(spark, d):
+    from storeloom.operators.stages import gate_summary
+
+    obs = observe.observe(pages(spark, d))
+    return gate_summary(obs, {"noJsonLdBlock": ~F.col("has_product_data"), "missingProductId": F.col("product_path_segment").isNull()})
