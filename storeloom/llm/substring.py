@@ -9,7 +9,8 @@ of its own, whose one band is its whole word sequence. Of a cluster the first
 place, by doc_id and position, stays; all others are removals.
 
 A place is a document, a line number and a range of the line's words (what white space
-parts); a sentence ends with a word that ends in a full stop, question or exclamation mark.
+parts); a sentence ends with a word that ends in a full stop, question or exclamation mark,
+and one of more than ``LONG`` words is cut further at words that their hash picks.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .neardup import SIMILARITY, classes, mix, shingles, words_of
 BANDS, ROWS = 12, 4
 LEAST_WORDS, SENTENCE_WORDS = 12, 8
 SALTS = 16
+#: A sentence of more words than LONG is also cut behind one word in ANCHOR.
+LONG, ANCHOR = 40, 16
 
 
 def min_hashes(hashed: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
@@ -46,11 +49,14 @@ def min_hashes(hashed: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -
     return out
 
 
-def _spans(sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _spans(words: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and end word of every sentence, and its line; ends marks words that close one, sizes are the lines' words."""
     edge = ends.copy()
-    last = np.cumsum(sizes)[sizes > 0] - 1
-    edge[last] = True
+    edge[np.cumsum(sizes)[sizes > 0] - 1] = True
+    stop = np.flatnonzero(edge) + 1
+    length = np.diff(stop, prepend=0)
+    # text without stops is cut behind words that their own hash picks, wherever it stands
+    edge |= (np.repeat(length, length) > LONG) & (words % np.uint64(ANCHOR) == 0)
     stop = np.flatnonzero(edge) + 1
     start = np.concatenate([[0], stop])[: len(stop)]
     line = np.repeat(np.arange(len(sizes)), sizes)
@@ -80,7 +86,7 @@ def units(docs: DataFrame) -> DataFrame:
             per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
             words, at, ends = words_of(lists.flatten(), ".!?")
             sizes = np.diff(at)
-            start, stop, line = _spans(sizes, ends)
+            start, stop, line = _spans(words, sizes, ends)
             # a paragraph of one sentence is a unit once
             several = np.bincount(line, minlength=len(sizes)) > 1
             keep = (stop - start >= SENTENCE_WORDS) & (several[line] | (sizes[line] < LEAST_WORDS))
