@@ -1,0 +1,356 @@
+"""Every operator over a small table of hard rows, against brute force."""
+
+import hashlib
+import itertools
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+
+from storeloom.llm import ann, binary, bpe, lines, minhash, neardup, packing, pii, quality, substring, webp
+from storeloom.llm.common import Workspace, components
+from storeloom.llm.tokens import default_path, tokenizer
+
+WORD, BYTE = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
+PROSE = "the quick brown fox jumps over the lazy dog while seven wise men watch from afar and write all of it down."
+PASSAGE = "Every passage that stands in two documents is written out here once more. It has several sentences of a fair length, so that it is found."
+
+
+def texts():
+    rng = np.random.default_rng(0)
+    word = lambda: "".join(rng.choice(list("abcdeés"), rng.integers(2, 7)))
+    fresh = lambda n: " ".join(word() for _ in range(n))
+    base = fresh(120)
+    parts = base.split()
+    near = " ".join([*parts[:60], "changed", *parts[61:]])
+    chain = " ".join([*parts[:30], "other", *parts[31:60], "changed", *parts[61:]])
+    far = " ".join(x if i % 6 else "zzz" for i, x in enumerate(parts))
+    out = [None, "", "   ", "\n\n", base, near, chain, far, base, base.upper(), PROSE, PROSE + "\n" + fresh(30), fresh(40) + "\n" + PROSE, "word", "word", "two words", fresh(30_000), "日本語 <|endoftext|> é", "x\ty\x00z"]
+    out += [fresh(20) + " " + PASSAGE + " " + fresh(20), fresh(15) + ". " + PASSAGE + " " + fresh(9), "alpha\nbeta\ngamma", "start\nalpha\nbeta\nend", "alpha\ngamma", "a b c d e f\n\na b c d e f", "mail a@b.co or +1 (555) 010-9999, 10.0.0.1"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return [(i * 3, t, "en", "s", None if t is None else len(t), "clash", 7, 0.5) for i, t in enumerate(texts())]
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, start string, th int, score double"
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    # columns of its own whose names an operator uses too
+    return spark.createDataFrame([*rows, rows[4]], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(frame):
+    return {r.doc_id: r for r in frame.collect()}
+
+
+def test_components(spark):
+    rng = np.random.default_rng(1)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(i, i + 1) for i in range(1000, 1100)] + [(5000, 5000 + i) for i in range(300)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    got = components(Workspace(spark, "t"), spark.createDataFrame(edges, "a long, b long"))
+    found = {r.id: r.component for r in got.collect()}
+    assert found == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+    assert components(Workspace(spark, "t"), spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_pii(docs, rows, empty):
+    got = by_id(pii.find(docs))
+    for doc_id, text, *_ in rows:
+        base = pii.base_spans(text or "")
+        r = got[doc_id]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(base[k]) for k in pii.KINDS]
+        assert r.base_sha256 == hashlib.sha256(pii.written(base).encode()).hexdigest()
+    assert [got[25 * 3][c] for c in ("n_email", "n_ip", "n_phone")] == [1, 1, 1]
+    clean = pii.redact(docs)
+    assert clean.columns == docs.columns
+    r = by_id(clean)
+    assert r[75].text == "mail <email> or <phone>, <ip>" and r[75].n_chars == len(r[75].text) and r[0].text is None and r[30].text == PROSE
+    assert pii.find(empty).count() == pii.redact(empty).count() == 0
+
+
+def brute_classes(rows, threshold=0.8):
+    bags = [neardup.bag(t or "") for _, t, *_ in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        same = (rows[i][1] or "").lower().split() == (rows[j][1] or "").lower().split()
+        if same or (len(bags[i][0]) and len(bags[j][0]) and neardup.multiset_jaccard(bags[i], bags[j]) >= threshold):
+            a, b = find(i), find(j)
+            parent[max(a, b)] = min(a, b)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_near_duplicates(spark, docs, rows, empty):
+    got = minhash.near_duplicates(spark, docs).collect()
+    assert len(got) == len(rows) + 1
+    want = brute_classes(rows)
+    assert {r.doc_id: r.class_id for r in got} == want
+    assert want[15] == want[12] and want[18] == want[12] and want[21] != want[12]
+    left = minhash.deduplicate(spark, docs)
+    assert left.columns == docs.columns
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(want.values()))
+    assert minhash.near_duplicates(spark, empty).count() == 0
+
+
+def test_large_groups(spark):
+    """Many edited copies whose links to each other don't all lead over their source."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(260):
+        copy = list(words)
+        for j in rng.integers(0, 100, rng.integers(0, 9)):
+            copy[j] = f"e{rng.integers(0, 3)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, "just the same text in a great many rows") for i in range(300)]
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = brute_classes(rows[:260]) | {1000 + i: 1000 for i in range(300)}
+    wrong = sum(want[r.doc_id] != r.class_id for r in got)
+    # a link at the threshold itself is missed with a probability of 5 in 100,000
+    assert wrong == 0
+
+
+def vectors():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((700, 16)).astype(np.float32)
+    x[100:300] = x[100]
+    x[300] = x[5] * 2
+    rows = [(i, [float(v) for v in r], i % 3) for i, r in enumerate(x)]
+    bad = [None, [0.0] * 16, [float("nan")] * 16, [1.0] * 15 + [float("inf")], [None] * 16, [], [1.0] * 4]
+    return rows + [(700 + i, b, 0) for i, b in enumerate(bad)], x.astype(float)
+
+
+def test_neighbours(spark):
+    rows, x = vectors()
+    got = defaultdict(list)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    for r in ann.nearest(spark, frame).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert set(got) == set(range(0, 700, 50))
+    hits = 0
+    for q in got:
+        s = unit @ unit[q]
+        s[q] = -9
+        want = np.lexsort((np.arange(700), -np.round(s, 12)))[:5]
+        assert [r for r, *_ in got[q]] == [1, 2, 3, 4, 5]
+        assert all(abs(s[v] - score) < 1e-12 for _, v, score in got[q])
+        hits += len(set(want.tolist()) & {v for _, v, _ in got[q]})
+        assert [v for _, v, _ in got[q]] == sorted([v for _, v, _ in got[q]], key=lambda v: (-round(s[v], 12), v))
+    assert hits >= 0.9 * 5 * len(got)
+    # of the vectors that are all one, the smallest ids
+    assert [v for _, v, _ in got[100]] == [101, 102, 103, 104, 105] and [v for _, v, _ in got[150]] == [100, 101, 102, 103, 104]
+    few = ann.nearest(spark, frame.where("vec_id in (0, 7, 9)")).collect()
+    assert sorted(r.vec_id for r in few) == [7, 9]
+    assert ann.nearest(spark, frame.where("vec_id >= 700")).count() == 0
+
+
+def test_quality(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(r[0], i % 2, 0) for i, r in enumerate(rows)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    scored = quality.score(docs, model)
+    assert set(docs.columns) <= {*scored.columns} and scored.count() == len(rows) + 1
+    assert all(0 <= r.score <= 1 for r in scored.collect())
+    held = {r.doc_id for r in docs.where(quality.held_out()).select("doc_id").collect()}
+    assert held == {d for d, *_ in rows if zlib.crc32(str(d).encode()) % 5 == 0}
+    # labels of held-out rows don't matter
+    other = spark.createDataFrame([(r[0], i % 2 if r[0] not in held else 1 - i % 2, 0) for i, r in enumerate(rows)], labels.schema)
+    assert np.array_equal(quality.train(docs, other).p["filters"], model.p["filters"])
+    assert quality.train(docs, labels.where("quality = 1")) > 0.5
+    assert quality.train(empty, labels) == 0.5
+    assert quality.score(empty, 0.5).count() == 0
+
+
+def test_bpe(docs, rows, empty):
+    tok = tokenizer(WORD).library
+    got = by_id(bpe.encode(docs, WORD))
+    digests = by_id(bpe.encode_digests(docs, WORD))
+    for doc_id, text, *_ in rows:
+        ids = tok.encode(text or "", add_special_tokens=False).ids
+        said = tok.decode(ids, skip_special_tokens=False)
+        r, d = got[doc_id], digests[doc_id]
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids and r.decoded.decode() == said and r.n_tokens == len(ids)
+        assert d.ids_sha256 == hashlib.sha256(r.ids).hexdigest() and d.decoded_sha256 == hashlib.sha256(said.encode()).hexdigest()
+    assert bpe.encode(empty, WORD).count() == 0
+    whole = by_id(bpe.encode(docs, BYTE))
+    assert all(whole[d].decoded.decode() == tokenizer(BYTE).library.decode(np.frombuffer(whole[d].ids, "<u4").tolist(), skip_special_tokens=False) for d, *_ in rows)
+
+
+def brute_repeats(rows, threshold=0.8):
+    places = []
+    for doc_id, text, *_ in rows:
+        for n, line in enumerate((text or "").split("\n")):
+            words = line.lower().split()
+            ends = [i + 1 for i, w in enumerate(words) if w[-1] in ".!?" or i == len(words) - 1]
+            for a, b in zip([0, *ends], list(ends)):
+                if b - a > substring.LONG:
+                    ends += [i + 1 for i in range(a, b) if xxhash.xxh3_64_intdigest(words[i]) % substring.ANCHOR == 0]
+            ends = sorted(set(ends))
+            if len(words) >= substring.LEAST_WORDS:
+                places.append((doc_id, n, 0, len(words), tuple(words), True))
+            if len(ends) > 1 or len(words) < substring.LEAST_WORDS:
+                for a, b in zip([0, *ends], ends):
+                    if b - a >= substring.SENTENCE_WORDS:
+                        places.append((doc_id, n, a, b, tuple(words[a:b]), False))
+    parent = list(range(len(places)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    whole = {p[4] for p in places if p[5]}
+    bags = {w: neardup.bag(" ".join(w)) for w in whole}
+    for i, j in itertools.combinations(range(len(places)), 2):
+        a, b = places[i][4], places[j][4]
+        if a == b or (a in whole and b in whole and neardup.set_jaccard(bags[a], bags[b]) >= threshold):
+            x, y = find(i), find(j)
+            parent[max(x, y)] = min(x, y)
+    groups = defaultdict(list)
+    for i, p in enumerate(places):
+        groups[find(i)].append(p[:4])
+    return {(*p, min(g)[0], min(g)[1], min(g)[2]) for g in groups.values() for p in g if p != min(g)}
+
+
+def test_repeats(spark, docs, rows, empty):
+    frame = docs.dropDuplicates(["doc_id"])
+    got = {tuple(r[c] for c in ("doc_id", "line", "first", "end", "keep_doc_id", "keep_line", "keep_first")) for r in substring.repeats(spark, frame).collect()}
+    assert got == brute_repeats(rows)
+    passage = {r[0] for r in got}
+    assert 20 * 3 in passage and 19 * 3 not in passage
+    left = by_id(substring.remove(spark, frame))
+    assert "It has several sentences" in left[57].text and "It has several sentences" not in left[60].text
+    assert substring.repeats(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_token_files(spark, docs, rows, empty, path, tmp_path):
+    tok = tokenizer(path).library
+    binary.write_ids(spark, docs, str(tmp_path / "ids"), path, end_id=0)
+    got = sorted(binary.read_ids(spark, str(tmp_path / "ids")).collect(), key=lambda r: r.start)
+    every = sorted([*rows, rows[4]], key=lambda r: r[0])
+    start = 0
+    for r, (doc_id, text, *_) in zip(got, every, strict=True):
+        ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    binary.write_ids(spark, empty, str(tmp_path / "none"), path)
+    assert binary.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_packing(spark, docs, rows, empty):
+    got = packing.best_fit_pack(spark, docs, WORD, capacity=256).collect()
+    tok = tokenizer(WORD).library
+    want = Counter()
+    for doc_id, text, *_ in [*rows, rows[4]]:
+        ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k in range(0, len(ids), 256):
+            want[doc_id, k // 256, k, len(ids[k : k + 256]), zlib.crc32(ids[k : k + 256].tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for parts in bins.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 256
+    total = sum(r.length for r in got)
+    assert len(bins) <= -(-total // 256) + 1
+    assert packing.best_fit_pack(spark, empty, WORD).count() == 0
+
+
+def brute_lines(rows):
+    seen, cut = {1: set(), 2: set()}, defaultdict(set)
+    for doc_id, text, *_ in sorted(rows, key=lambda r: r[0]):
+        held = [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip()]
+        for size in (1, 2):
+            for k in range(len(held) - size + 1):
+                window = tuple(x for _, x in held[k : k + size])
+                if window in seen[size] and (size == 2 or len(window[0].split()) >= lines.LEAST_WORDS):
+                    cut[doc_id] |= {i for i, _ in held[k : k + size]}
+                seen[size].add(window)
+    return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in cut[d]) for d, t, *_ in rows}
+
+
+def test_lines(spark, docs, rows, empty):
+    want = brute_lines(rows)
+    got = by_id(lines.report(spark, docs))
+    assert {d: r.text_sha256 for d, r in got.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+    left = lines.deduplicate(spark, docs)
+    assert left.columns == docs.columns and left.count() == len(rows) + 1
+    r = by_id(left)
+    assert {d: x.text or "" for d, x in r.items()} == want and r[0].text is None
+    assert r[66].text == "start\nend" and r[69].text == "alpha\ngamma"
+    assert lines.report(spark, empty).count() == lines.deduplicate(spark, empty).count() == 0
+
+
+def test_suffix_order(spark):
+    """Ranks order the suffixes as their sequences of line ids do."""
+    rng = np.random.default_rng(7)
+    rows = [(i, "\n".join(rng.choice(["a a", "b b", "c c"], rng.integers(0, 12)))) for i in range(25)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    ranks = {r.doc_id: r.rank for r in lines.suffix_ranks(Workspace(spark, "t"), frame).collect()}
+    ids = {r.doc_id: list(zip(r.h, r.g)) for r in lines.line_ids(frame.withColumnRenamed("x", "x")).collect()}
+    suffixes = [(ids[d][k:], ranks[d][k]) for d in ranks for k in range(len(ranks[d]))]
+    for (a, ra), (b, rb) in itertools.combinations(suffixes, 2):
+        assert (ra < rb) == (a < b) and (ra == rb) == (a == b)
+
+
+def test_pictures(docs, rows, empty):
+    got = by_id(webp.features(webp.store(docs)))
+    for doc_id, text, *_ in rows:
+        raw = (text or "").encode()
+        payload = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
+        r, media = got[doc_id], webp.encode(payload)
+        assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), len(payload), len(media))
+        assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media).hexdigest()
+        assert r.tail_crc32 == zlib.crc32(payload[-64:])
+    assert got[12].feature == got[24].feature
+    assert webp.features(webp.store(empty)).count() == 0
+
+
+def test_pipeline(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], 1, 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, frame, str(tmp_path))
+        assert out.columns == docs.columns, name
+        out.write.parquet(str(tmp_path / str(i)))
+        frame = spark.read.parquet(str(tmp_path / str(i)))
+    # one label only: all scores are its share, so nothing goes in the first stage
+    lined = brute_lines(rows)
+    want = set(brute_classes([(d, lined[d]) for d, *_ in rows]).values())
+    assert {r.doc_id for r in frame.collect()} == want
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == want
