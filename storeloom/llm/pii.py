@@ -205,8 +205,31 @@ def _spelled_email(t: Traced) -> Traced:
     return t.rewrite(edits)
 
 
+#: The sign as markup or URLs escape it.
+_ESCAPED_AT, _ESCAPED_DOT = re.compile("&#0*64;|&#x0*40;|&commat;|%40", re.I), re.compile("&#0*46;|&#x0*2e;|&period;", re.I)
+#: One word throughout: name_at_site_dot_org.
+_TIED = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9.%+]+[_-](?:{'|'.join(AT_WORDS)})[_-][A-Za-z0-9]+(?:[_-](?:{'|'.join(DOT_WORDS)})[_-][A-Za-z0-9]+)+", re.I)
+_TIED_AT, _TIED_DOT = re.compile(rf"[_-](?:{'|'.join(AT_WORDS)})[_-]", re.I), re.compile(rf"[_-](?:{'|'.join(DOT_WORDS)})[_-]", re.I)
+#: Spaces about the signs themselves: name @ site . org.
+_SPACED = re.compile(r"[A-Za-z0-9._%+-](?: @ ?| ?@ )[A-Za-z0-9-]+(?:(?:\.| \. )[A-Za-z]{2,})+|[A-Za-z0-9._%+-]@[A-Za-z0-9-]+(?: \. [A-Za-z]{2,})+")
+_SPACE_ABOUT = re.compile(r" ?@ ?| \. ")
+
+
+def _signs(t: Traced) -> Traced:
+    for rule, new in ((_ESCAPED_AT, "@"), (_ESCAPED_DOT, ".")):
+        t = t.rewrite([(m.start(), m.end(), new) for m in rule.finditer(t.text)])
+    edits = []
+    for m in _TIED.finditer(t.text):
+        at = _TIED_AT.search(t.text, m.start(), m.end())
+        dots = _TIED_DOT.finditer(t.text, at.end() - 1, m.end())
+        edits += [(at.start(), at.end(), "@"), *((d.start(), d.end(), ".") for d in dots)]
+    t = t.rewrite(edits)
+    spaced = [(x.start(), x.end(), x[0].strip()) for m in _SPACED.finditer(t.text) for x in _SPACE_ABOUT.finditer(t.text, m.start(), m.end())]
+    return t.rewrite(spaced)
+
+
 def at_dot(t: Traced) -> Traced:
-    return _spelled_email(_bracketed(t))
+    return _spelled_email(_bracketed(_signs(t)))
 
 
 _DIGIT = rf"(?:{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))})"
@@ -223,6 +246,9 @@ _LETTER_DIGIT = re.compile(r"(?<=[0-9])(?:[Oo](?=[0-9. -])|[lI](?=[0-9. -]))(?![
 _NUMBER_DOT = re.compile(rf"(?<=[0-9])\s+(?:{'|'.join(DOT_WORDS)})\s+(?=[0-9])", re.I)
 
 
+_LOOSE_PLUS = re.compile(r"(?<=\+)\s+(?=[0-9])")
+
+
 def spelled_digits(t: Traced) -> Traced:
     t = t.rewrite([(m.start(), m.end(), ".") for m in _NUMBER_DOT.finditer(t.text)])
     edits = []
@@ -236,6 +262,8 @@ def spelled_digits(t: Traced) -> Traced:
             end = tokens[k + 1].start() if k + 1 < len(tokens) else x.end()
             edits.append((x.start(), end, DIGIT_WORDS.get(word) or _SIGNS.get(word) or x[0]))
     t = t.rewrite(edits)
+    if edits:
+        t = t.rewrite([(m.start(), m.end(), "") for m in _LOOSE_PLUS.finditer(t.text)])
     return t.rewrite([(m.start(), m.end(), "0" if m[0] in "Oo" else "1") for m in _LETTER_DIGIT.finditer(t.text)])
 
 
@@ -248,8 +276,10 @@ def disguised(text: str) -> bool:
     low = text.lower()
     return bool(
         _FOREIGN.search(text)
+        or ("@" in text and _SPACED.search(text))
+        or (("&" in text or "%40" in text) and (_ESCAPED_AT.search(text) or _ESCAPED_DOT.search(text)))
         or (any(c in text for c in "[({<") and _BRACKETED_HINT.search(text))
-        or (any(w in low for w in DOT_WORDS) and _HAS_DOT.search(text))
+        or (any(w in low for w in DOT_WORDS) and (_HAS_DOT.search(text) or _TIED.search(text)))
         or (_has_digit_word(low) and _SPELLED_HINT.search(text))
         or (_ANY_DIGIT.search(text) and _LETTER_DIGIT.search(text))
     )
