@@ -8,7 +8,7 @@ for a token in each of thousands of streams (``decode_many``).
 
 Texts are stored as pixels of four bytes (alpha, red, green, blue), 16 pixels a
 row. The encoder writes entropy-coded literals under one fixed prefix code,
-back-references for runs of equal pixels, and no transform: neighbouring
+places in a colour cache, back-references for runs of equal pixels, and no transform: neighbouring
 bytes of a text don't predict each other as neighbouring samples of a picture do.
 """
 
@@ -366,18 +366,22 @@ def byte_weights() -> list[int]:
 WIDTH, TALLEST = 16, 16_383
 #: A run this long of one pixel is a back-reference; longer ones are cut.
 RUN_LEAST, RUN_MOST = 8, 4096
-DEPTH = 12
+#: The colour cache's size, and how often a pixel is expected there (in parts of all green symbols).
+CACHE_BITS, CACHED = 8, 0.18
+DEPTH = 13
 
 
 @lru_cache(maxsize=1)
 def text_code():
-    """The encoder's fixed code: literal bytes, run lengths, the distance of the pixel before; and the header that states it."""
+    """The encoder's fixed code: literal bytes, run lengths, places in the cache, the distance of the pixel before; and the header that states it."""
     weights = byte_weights()
-    green = code_lengths(weights + [1] * LENGTHS, DEPTH)
+    cached = [max(1, round(sum(weights) * CACHED / (1 - CACHED) / (1 << CACHE_BITS)))] * (1 << CACHE_BITS)
+    green = code_lengths(weights + [1] * LENGTHS + cached, DEPTH)
     other = code_lengths(weights, DEPTH)
     writer = Writer()
     writer.put(0, 1)  # no transform
-    writer.put(0, 1)  # no colour cache
+    writer.put(1, 1)  # a colour cache
+    writer.put(CACHE_BITS, 4)
     writer.put(0, 1)  # one group of codes
     for lengths in (green, other, other, other):
         writer.code(lengths)
@@ -476,7 +480,15 @@ def encode(payload: bytes) -> bytes:
     gl, rl, bl = gn[g], on[r], on[b]
     codes = gc[g] | oc[r] << gl | oc[b] << (gl + rl) | oc[a] << (gl + rl + bl)
     sizes = (gl + rl + bl + on[a]).astype(np.int64)
-    word = px.copy().view("<u4").ravel()
+    word = px.copy().view(">u4").ravel().astype(np.uint64)
+    # a pixel is in the cache if the last one of its place there was equal to it
+    place = (word * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - CACHE_BITS)
+    order = np.argsort(place, kind="stable")
+    again = order[1:][(place[order[1:]] == place[order[:-1]]) & (word[order[1:]] == word[order[:-1]])]
+    symbol = 256 + LENGTHS + place[again].astype(np.int64)
+    shorter = gn[symbol] < sizes[again]
+    codes[again[shorter]] = gc[symbol[shorter]]
+    sizes[again[shorter]] = gn[symbol[shorter]]
     starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     runs = np.diff(np.append(starts, len(word)))
     long = np.flatnonzero(runs > RUN_LEAST)
@@ -507,26 +519,29 @@ def encode(payload: bytes) -> bytes:
 
 
 def _open(data: bytes):
-    """(bits at the tokens, width, height, codes) of a stream without transforms, cache or meta codes, else None."""
+    """(chunk, bits at the codes, width, height, cache bits) of a stream with one group of codes and no transform, else None."""
     chunk = vp8l(data)
     bits = Bits(chunk)
     if bits.read(8) != 0x2F:
         raise ValueError("bad VP8L signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
-    if not bits.read(1) or bits.read(3) or bits.read(1) or bits.read(1) or bits.read(1):
+    if not bits.read(1) or bits.read(3) or bits.read(1):
         return None
-    return chunk, bits, width, height
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    if cache_bits > 11 or bits.read(1):
+        return None
+    return chunk, bits, width, height, cache_bits
 
 
 _known: dict[bytes, tuple] = {}
 
 
-def _codes(chunk: bytes, bits: Bits):
+def _codes(chunk: bytes, bits: Bits, cache_bits: int):
     """The stream's five codes and where its tokens begin; codes of a header that was read before are reused."""
     for raw, (codes, size) in _known.items():
         if chunk[5 : 5 + len(raw) - 1] == raw[:-1] and (chunk[4 + len(raw)] ^ raw[-1]) & ((1 << ((size & 7) or 8)) - 1) == 0:
             return codes, 40 + size
-    codes = [read_code(bits, n) for n in (256 + LENGTHS, 256, 256, 256, DISTANCES)]
+    codes = [read_code(bits, n) for n in (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)]
     size = bits.at - 40
     if len(_known) < 16:
         _known[chunk[5 : 5 + (size + 7) // 8]] = (codes, size)
@@ -541,20 +556,20 @@ def decode_many(files: list[bytes]) -> list[np.ndarray]:
     for i, data in enumerate(files):
         opened = _open(data)
         if opened:
-            chunk, bits, width, height = opened
-            codes, at = _codes(chunk, bits)
+            chunk, bits, width, height, cache_bits = opened
+            codes, at = _codes(chunk, bits, cache_bits)
             if all(c.single is None for c in codes[:4]):
-                held[id(codes)] = codes
+                held[id(codes)] = codes, cache_bits
                 lanes.setdefault(id(codes), []).append((i, chunk, at, width, height))
                 continue
         out[i] = decode(data).reshape(-1, 4)
     for key, group in lanes.items():
-        for (i, *_), pixels in zip(group, _lockstep(held[key], [x[1:] for x in group])):
+        for (i, *_), pixels in zip(group, _lockstep(*held[key], [x[1:] for x in group])):
             out[i] = pixels
     return out
 
 
-def _lockstep(codes, streams) -> list[np.ndarray]:
+def _lockstep(codes, cache_bits: int, streams) -> list[np.ndarray]:
     """A token of each live stream a step; streams with more pixels come first, so that the live ones stay a prefix."""
     order = sorted(range(len(streams)), key=lambda k: -streams[k][2] * streams[k][3])
     totals = np.array([streams[k][2] * streams[k][3] for k in order], np.int64)
@@ -562,41 +577,58 @@ def _lockstep(codes, streams) -> list[np.ndarray]:
     bases = np.cumsum([0] + [len(c) + 16 for c in chunks])[:-1]
     data = np.frombuffer(b"".join(c + b"\0" * 16 for c in chunks), np.uint8)
     at = np.array([streams[k][1] for k in order], np.int64) + bases * 8
+    limit = bases * 8 + np.array([len(c) * 8 for c in chunks])
     widths = np.array([streams[k][2] for k in order], np.int64)
     # every unaligned 64-bit word of the data, by its first byte
     words = np.ndarray((len(data) - 7,), "<u8", data, 0, (1,))
     depths = [np.uint64((1 << c.depth) - 1) for c in codes[:4]]
     ends = np.cumsum(totals)
     lead = ends - totals
-    pixels = np.zeros((int(ends[-1]), 4), np.uint8)
+    pixels = np.zeros(int(ends[-1]), np.uint32)
     place = lead.copy()
-    copies: list[tuple[int, int, int]] = []
+    slots = 1 << cache_bits if cache_bits else 0
+    cache = np.zeros((len(order), max(slots, 1)), np.uint32)
+    lanes = np.arange(len(order))
+    down = np.uint32(32 - cache_bits)
     live = len(order)
-    green, red, blue, alpha = codes[:4]
     seven, three = np.uint64(7), np.int64(3)
     sizes = [c.sizes.astype(np.uint64) for c in codes[:4]]
-    symbols = [c.symbols.astype(np.int16) for c in codes[:4]]
+    symbols = [c.symbols.astype(np.uint32) for c in codes[:4]]
+    eight, sixteen, full = np.uint32(8), np.uint32(16), np.uint32(24)
     while live:
         p = at[:live]
         w = words[p >> three] >> (p.astype(np.uint64) & seven)
         k = w & depths[0]
         s, used = symbols[0][k], sizes[0][k]
-        literal = w >> used
-        k = literal & depths[1]
-        r, n = symbols[1][k], sizes[1][k]
-        literal >>= n
+        rest = w >> used
+        k = rest & depths[1]
+        made, n = symbols[1][k] << sixteen | s << eight, sizes[1][k]
+        rest >>= n
         total = used + n
-        k = literal & depths[2]
-        b, n = symbols[2][k], sizes[2][k]
-        literal >>= n
-        total = total + n
-        k = literal & depths[3]
-        a, n = symbols[3][k], sizes[3][k]
-        total = total + n
+        k = rest & depths[2]
+        made |= symbols[2][k]
+        n = sizes[2][k]
+        rest >>= n
+        total += n
+        k = rest & depths[3]
+        made |= symbols[3][k] << full
+        total += sizes[3][k]
         here = place[:live]
-        pixels[here] = np.stack([a, r, s, b], 1).astype(np.uint8)
         step = np.ones(live, np.int64)
-        for lane in np.flatnonzero(s >= 256):
+        special = np.flatnonzero(s >= 256)
+        cached = special[s[special] >= 256 + LENGTHS]
+        if len(cached):
+            made[cached] = cache[cached, s[cached] - (256 + LENGTHS)]
+            total[cached] = used[cached]
+        pixels[here] = made
+        if slots:
+            key = made * np.uint32(CACHE_FACTOR) >> down
+            if len(special) > len(cached):
+                plain = np.flatnonzero((s < 256) | (s >= 256 + LENGTHS))
+                cache[plain, key[plain]] = made[plain]
+            else:
+                cache[lanes[:live], key] = made
+        for lane in special[s[special] < 256 + LENGTHS]:
             bits = Bits(chunks[lane])
             bits.at = int(p[lane] - bases[lane] * 8 + int(used[lane]))
             length = prefix_value(int(s[lane]) - 256, bits)
@@ -604,29 +636,31 @@ def _lockstep(codes, streams) -> list[np.ndarray]:
             start = int(here[lane])
             if back > start - lead[lane] or start + length > ends[lane]:
                 raise ValueError("a back-reference leaves the image")
-            copies.append((start, length, back))
+            copied = pixels[start - back : start][np.arange(length) % back]
+            pixels[start : start + length] = copied
+            if slots:
+                cache[lane, copied * np.uint32(CACHE_FACTOR) >> down] = copied
             step[lane] = length
             total[lane] = np.uint64(bits.at + int(bases[lane]) * 8 - int(p[lane]))
         at[:live] += total.astype(np.int64)
         place[:live] += step
+        if (at[:live] > limit[:live]).any():
+            raise ValueError("the stream ends too early")
         while live and place[live - 1] >= ends[live - 1]:
             live -= 1
         if live and (done := place[:live] >= ends[:live]).any():
             # a stream of runs ended before shorter ones: move it behind the live
             keep = np.concatenate([np.flatnonzero(~done), np.flatnonzero(done)])
-            for x in (at, place, ends, widths, lead, bases):
+            for x in (at, place, ends, widths, lead, bases, limit, cache):
                 x[:live] = x[:live][keep]
             order[:live] = [order[j] for j in keep]
             chunks[:live] = [chunks[j] for j in keep]
             live -= int(done.sum())
-    for start, length, back in copies:
-        source = pixels[start - back : start]
-        pixels[start : start + length] = source[np.arange(length) % back]
+    raw = pixels.astype(">u4").view(np.uint8).reshape(-1, 4)
     out: list = [None] * len(order)
     for j, k in enumerate(order):
         n = streams[k][2] * streams[k][3]
-        first = int(ends[j]) - n
-        out[k] = pixels[first : first + n]
+        out[k] = raw[int(ends[j]) - n : int(ends[j])]
     return out
 
 
