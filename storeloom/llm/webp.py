@@ -367,7 +367,7 @@ WIDTH, TALLEST = 16, 16_383
 #: A run this long of one pixel is a back-reference; longer ones are cut.
 RUN_LEAST, RUN_MOST = 8, 4096
 #: The colour cache's size, and how often a pixel is expected there (in parts of all green symbols).
-CACHE_BITS, CACHED = 8, 0.18
+CACHE_BITS, CACHED = 8, 0.1
 DEPTH = 13
 
 
