@@ -98,11 +98,13 @@ def project(artifacts: DataFrame, heads: DataFrame, classified: DataFrame, proje
     the chosen ones. The provider's own reason shows as PROVIDER_FALLBACK.
     """
     preferred = v.preferences.get(projection)
+    # summaries need lengths only, so that no text is shuffled for them
+    sized = artifacts.select("page_id", "id", "artifact_kind", utf16_length(F.col("raw_markdown")).alias("chars"))
     pages = artifacts.select("page_id").union(heads.select("page_id")).distinct()
-    n_in = artifacts.groupBy("page_id").agg(F.count("*").alias("n_in"), F.sum(utf16_length(F.col("raw_markdown"))).alias("chars_before"), F.count_if(F.col("artifact_kind") == "html").alias("n_html"))
+    n_in = sized.groupBy("page_id").agg(F.count("*").alias("n_in"), F.sum("chars").alias("chars_before"))
     flagged = classified.withColumn("ok", selectable(F.col("roles"), preferred or (), v)).withColumn("informs", informative(F.col("roles"), v))
     sums = flagged.groupBy("page_id").agg(F.max("informs").alias("informs"), F.count_if("ok").alias("n_ok"))
-    h = pages.join(heads, "page_id", "left").join(n_in, "page_id", "left").join(sums, "page_id", "left").fillna(0, ["n_in", "chars_before", "n_html", "n_ok"]).withColumn("informs", F.coalesce("informs", F.lit(False)))
+    h = pages.join(heads, "page_id", "left").join(n_in, "page_id", "left").join(sums, "page_id", "left").fillna(0, ["n_in", "chars_before", "n_ok"]).withColumn("informs", F.coalesce("informs", F.lit(False)))
     own = F.when(F.col("provider_reason").isNotNull(), "PROVIDER_FALLBACK")
     mode_full = F.col("selection_mode") == "full"
     whole = F.lit(preferred is None)
@@ -115,7 +117,7 @@ def project(artifacts: DataFrame, heads: DataFrame, classified: DataFrame, proje
     some = flagged.where("ok").join(verdict.where("outcome = 'chosen'"), "page_id", "left_semi").join(artifacts.select("page_id", "id", "artifact_kind", "raw_markdown").dropDuplicates(["page_id", "id"]), ["page_id", "id"], "left")
     columns = ["page_id", "pos", "id", "artifact_kind", "raw_markdown", "roles", "reason"]
     detail = everything.select(columns).unionByName(some.select(columns))
-    after = characters(detail, "page_id").withColumnRenamed("chars", "kept_chars")
+    after = flagged.where("ok").select("page_id", "id").join(sized.dropDuplicates(["page_id", "id"]), ["page_id", "id"]).groupBy("page_id").agg(F.sum("chars").alias("kept_chars"))
     summary = h.join(after, "page_id", "left").select(
         "page_id",
         F.coalesce("provider_name", F.lit("default")).alias("provider_name"),

@@ -52,13 +52,34 @@ def tiny(url: Column, threshold: int = TINY) -> Column:
     return drop_as(url.rlike(U.SHOPLINE_HOST) & (size < threshold), "decorative_asset", note)
 
 
+def _fresh(images: DataFrame) -> DataFrame:
+    """Rows of a page, or a selection's rows, whose drops stay and take no part in what follows."""
+    return images if "kept" in images.columns else keep_all(images)
+
+
+def _decided(rows: DataFrame, drop: Column, note: Column, order: Column, pos: Column | None = None) -> DataFrame:
+    """The selection after another rule's drops; ``stage`` tells which rule dropped a row, as later rules' drops come after."""
+    stage = F.col("stage") if "stage" in rows.columns else F.lit(1)
+    drop = F.col("kept") & drop
+    return rows.select(
+        "page_id",
+        (F.col("pos") if pos is None else pos).alias("pos"),
+        "url",
+        (F.col("kept") & ~drop).alias("kept"),
+        F.when(drop, "duplicate").otherwise(F.col("reason")).alias("reason"),
+        F.when(drop, note).otherwise(F.col("note")).alias("note"),
+        F.when(drop, order).otherwise(F.col("drop_order")).cast("long").alias("drop_order"),
+        F.when(drop, stage + 1).otherwise(stage).alias("stage"),
+    )
+
+
 def largest_by_id(images: DataFrame) -> DataFrame:
     """Of each image id's resizes the largest stays, the earliest of equal ones; URLs without an id stay.
 
     A row beaten on arrival names the largest until then; one that was the
     largest names what superseded it, and is dropped when that arrives.
     """
-    rows = images.withColumn("s", U.sized(F.col("url"))).withColumn("image_id", F.col("s.image_id")).withColumn("size", F.col("s.size"))
+    rows = _fresh(images).withColumn("s", F.when(F.col("kept"), U.sized(F.col("url")))).withColumn("image_id", F.col("s.image_id")).withColumn("size", F.col("s.size"))
     # rows without an id form no group: each is one of its own
     key = F.coalesce("image_id", F.concat(F.lit("\0"), F.col("pos").cast("string")))
     page = Window.partitionBy("page_id", "key").orderBy("pos")
@@ -67,34 +88,25 @@ def largest_by_id(images: DataFrame) -> DataFrame:
     among = Window.partitionBy("page_id", "key", "record").orderBy("pos")
     rows = rows.withColumn("next_size", F.when(F.col("record"), F.lead("size").over(among))).withColumn("next_pos", F.when(F.col("record"), F.lead("pos").over(among)))
     beaten = F.when(F.col("record"), F.col("next_size")).otherwise(F.col("before"))
-    kept = F.col("image_id").isNull() | beaten.isNull()
     px = lambda c: c.cast("long").cast("string")
     note = F.concat(F.lit("Shopline image_id "), F.col("image_id"), F.lit(" : "), px(F.col("size")), F.lit("px superseded by "), px(beaten), F.lit("px"))
-    order = F.when(~kept, F.when(F.col("record"), F.col("next_pos")).otherwise(F.col("pos")))
-    return rows.select("page_id", "pos", "url", kept.alias("kept"), F.when(~kept, "duplicate").alias("reason"), F.when(~kept, note).alias("note"), order.cast("long").alias("drop_order"))
-
-
-def _then(first: DataFrame, second: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Another selection of what the first one kept; its drops come after."""
-    left = second(first.where("kept").select("page_id", "pos", "url"))
-    later = left.withColumn("stage", F.lit(2))
-    return first.where("not kept").withColumn("stage", F.lit(1)).unionByName(later)
+    return _decided(rows, F.col("image_id").isNotNull() & beaten.isNotNull(), note, F.when(F.col("record"), F.col("next_pos")).otherwise(F.col("pos")))
 
 
 def shopline(images: DataFrame) -> DataFrame:
     """Exact repeats, then tiny resizes, then all but the largest resize of an image."""
-    return _then(select_by(images, tiny, "exact URL duplicate"), largest_by_id)
+    return largest_by_id(select_by(images, tiny, "exact URL duplicate"))
 
 
 def one_per_alias(images: DataFrame) -> DataFrame:
     """Of each picture's format aliases the best form stays, at the place of the first."""
-    rows = images.withColumn("key", U.alias_key(F.col("url"))).withColumn("rank", U.alias_rank(F.col("url")))
+    alone = F.concat(F.lit("\0"), F.col("pos").cast("string"))
+    rows = _fresh(images).withColumn("key", F.when(F.col("kept"), U.alias_key(F.col("url"))).otherwise(alone)).withColumn("rank", U.alias_rank(F.col("url")))
     best = Window.partitionBy("page_id", "key").orderBy("rank", "pos")
-    group = Window.partitionBy("page_id", "key")
-    rows = rows.withColumn("nth", F.row_number().over(best)).withColumn("preferred", F.first("url").over(best)).withColumn("place", F.min("pos").over(group))
-    kept = F.col("nth") == 1
-    note = F.concat(F.lit("BvShop format alias of "), F.col("preferred"))
-    return rows.select("page_id", F.when(kept, F.col("place")).otherwise(F.col("pos")).alias("pos"), "url", kept.alias("kept"), F.when(~kept, "duplicate").alias("reason"), F.when(~kept, note).alias("note"), F.when(~kept, F.col("place")).cast("long").alias("drop_order"))
+    whole = best.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("nth", F.row_number().over(best)).withColumn("preferred", F.first("url").over(whole)).withColumn("place", F.min("pos").over(whole))
+    first = F.col("kept") & (F.col("nth") == 1)
+    return _decided(rows, F.col("nth") > 1, F.concat(F.lit("BvShop format alias of "), F.col("preferred")), F.col("place"), F.when(first, F.col("place")).otherwise(F.col("pos")))
 
 
 def bvshop_decision(store_id: str) -> Callable[[Column], Column]:
@@ -109,7 +121,7 @@ def bvshop_decision(store_id: str) -> Callable[[Column], Column]:
 
 
 def bvshop(images: DataFrame, store_id: str) -> DataFrame:
-    return _then(select_by(images, bvshop_decision(store_id)), one_per_alias)
+    return one_per_alias(select_by(images, bvshop_decision(store_id)))
 
 
 def cap(selection: DataFrame, most: int = CAP, reason: str = "brand_story_asset", note: str | None = None) -> DataFrame:
