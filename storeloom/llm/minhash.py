@@ -23,6 +23,7 @@ from .common import Workspace, slices, texts
 from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
 
 BANDS, ROWS = 25, 5
+SALTS = 16
 REGISTERS = BANDS * ROWS
 #: Arrivals drawn at a time after the first.
 AHEAD = 4
@@ -117,8 +118,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     """
     ws = Workspace(spark, "near_duplicates")
     signed = ws.save(sign(docs), "signed")
-    exact = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("exact_id"))
-    exact = ws.save(signed.join(exact, ["h1", "h2"]).select("doc_id", "exact_id", F.when(F.col("doc_id") == F.col("exact_id"), F.col("keys")).alias("keys")), "exact")
+    # copies of one text may be any share of the rows: what is known of the text is sent to SALTS parts of them
+    copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    known = salted.join(copies, ["h1", "h2", "salt"], "left").withColumn("exact_id", F.coalesce("first", "doc_id"))
+    exact = ws.save(known.select("doc_id", "exact_id", F.when(F.col("doc_id") == F.col("exact_id"), F.col("keys")).alias("keys")), "exact")
     buckets = ws.save(exact.where("keys is not null").select(F.explode("keys").alias("key"), F.col("exact_id").alias("id")).distinct(), "buckets")
     ws.drop("signed")
 
