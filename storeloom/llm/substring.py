@@ -126,7 +126,7 @@ def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY)
     buckets = ws.save(paragraphs.select(F.explode("keys").alias("key"), F.col("h1").alias("id")).distinct(), "buckets")
 
     def units_of(ids: DataFrame) -> DataFrame:
-        places = paragraphs.select(F.col("h1").alias("id"), "doc_id", "line").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        places = paragraphs.select(F.col("h1").alias("id"), "doc_id", "line").dropDuplicates(["id"]).join(ids, "id", "left_semi")
         wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("cuts"))
         cut = texts(docs).join(wanted, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("cuts").alias("c"))
         return cut.select("c.id", F.get("lines", F.col("c.line")).alias("text")).dropDuplicates(["id"])
@@ -136,15 +136,17 @@ def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY)
     ws.drop("buckets")
     # word sequences that occur twice, and those of components
     twice = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    linked = paragraphs.select("h1", "h2").join(cc.select(F.col("id").alias("h1")), "h1", "left_semi").distinct()
+    linked = paragraphs.select("h1", "h2").distinct().join(cc.select(F.col("id").alias("h1")), "h1", "left_semi")
     label = cc.select(F.col("id").alias("h1"), "component")
     clusters = twice.unionAll(linked).distinct().join(label, "h1", "left").select("h1", "h2", F.coalesce("component", "h1").alias("cluster"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("part"))
-    members = ws.save(found.drop("keys").join(clusters, ["h1", "h2"]).drop("h1", "h2"), "members")
+    # a word sequence or cluster may hold any share of the places: what is known of it is sent to SALTS parts of them
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("doc_id", "line", "first"), F.lit(SALTS)).cast("int")
+    members = found.drop("keys").withColumn("salt", salt).join(clusters.withColumn("salt", parts), ["h1", "h2", "salt"])
+    members = ws.save(members.drop("h1", "h2"), "members")
     ws.drop("units")
     keep = members.groupBy("cluster", "part").agg(F.min(F.struct("doc_id", "line", "first", "end")).alias("keep"))
-    # a cluster may hold any share of the places: its first place is sent to each of SALTS parts
-    salted = keep.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = members.withColumn("salt", F.pmod(F.xxhash64("doc_id", "line", "first"), F.lit(SALTS)).cast("int")).join(salted, ["cluster", "part", "salt"])
+    out = members.join(keep.withColumn("salt", parts), ["cluster", "part", "salt"])
     other = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")) | (F.col("first") != F.col("keep.first")) | (F.col("end") != F.col("keep.end"))
     return out.where(other).select("doc_id", "line", "first", "end", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.col("keep.first").alias("keep_first"))
 
