@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Least averages of the bands.
 HIGH, MEDIUM = 0.82, 0.55
 
 

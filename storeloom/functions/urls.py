@@ -14,6 +14,7 @@ CYBERBIZ_HINT = r"(?i)cdn(?:-[a-z0-9-]+)?\.cybassets\.com/(?:media|s/files)/"
 BVSHOP_TEMPLATE = r"(?i)bvshop\.tw/s_template/"
 PLATFORM_HOSTS = (("shopline", SHOPLINE_HOST), ("cyberbiz", r"(?i)cybassets\.com"), ("bvshop", r"(?i)image\.bvshop\.tw"))
 
+# Forms of resized pictures and of format aliases.
 _PICTURE = r"(?:jpe?g|png|webp)"
 _SIZED = rf"(?i)/(\d+)x\.{_PICTURE}"
 _SIZED_ID = rf"(?i)/([a-f0-9]{{20,}})/(\d+)x\.{_PICTURE}"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from storeloom.functions.text import contains_any_pattern
 from storeloom.functions.urls import decoded, try_decoded
 
+# Levels below the root; a location in a sitemap.
 DEEPEST = 2
 _LOC = r"<loc>\s*([^<\s]+)\s*</loc>"
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from storeloom.functions import urls as U
 
+# Reasons of a drop; smallest size, most images of a page.
 REASONS = ("ui_asset", "promo_asset", "decorative_asset", "duplicate", "brand_story_asset")
 TINY, CAP = 96, 16
 
@@ -160,6 +161,7 @@ def validate(images: DataFrame, selection: DataFrame) -> DataFrame:
 
 # --- contexts of an image in markup -----------------------------------------------------------
 
+# Classes and words of markup that tell what an image is for.
 _WORD = lambda w: rf"(?<![A-Za-z0-9_])(?:{w})(?![A-Za-z0-9_])"
 _MOBILE = rf"""(?i)class=["'](?=[^"']*{_WORD("use_main_st_bg")})(?=[^"']*{_WORD("mo|mobile|tp")})[^"']*["']"""
 _DECORATIVE = (rf"""(?i)class=["'][^"']*(?:{_WORD("element_img_icon")}|{_WORD("new_pd_bg")})""", rf"""(?i)<video(?![A-Za-z0-9_])[^>]*(?<![A-Za-z0-9_])poster=|product_pop""")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from storeloom.operators.observe import FACTORIES
 
 PLATFORMS = ("shopline", "cyberbiz", "bvshop", "custom")
+# Shapes of names, hosts and path segments.
 _NAME = r"[a-z][a-z0-9-]*"
 _LABEL = "[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
 _HOST = rf"{_LABEL}(?:\.{_LABEL})+"
@@ -87,7 +88,7 @@ def render(spec: Spec) -> str:
         args += [f"store_id={spec.store_id!r}"] if spec.store_id else []
         args += [] if spec.catalog_discovery else ["catalog_discovery=None"]
     else:
-        args += [f"commerce_platform=custom_commerce_platform({spec.custom_label or spec.name!r})" if spec.custom_label is None else f"commerce_platform=custom_commerce_platform({spec.custom_label!r})", f"image_url_hint={'(?i)' + re.escape(spec.image_cdn_host or '') + '/'!r}", f"catalog_discovery={discovery}"]
+        args += [f"commerce_platform=custom_commerce_platform({spec.custom_label or spec.name!r})", f"image_url_hint={'(?i)' + re.escape(spec.image_cdn_host or '') + '/'!r}", f"catalog_discovery={discovery}"]
     # None keeps every image: a start, until the pages are known
     args += ["selector=None", f"download=Download({spec.site_url!r})"]
     lines = [f'"""{spec.name}: a generated declaration; what the engine can\'t know is stated here."""', "", f"from storeloom.operators.platforms import {', '.join(imports)}", "", f"PRODUCT_URL = {product_url_pattern(spec)!r}", "", f"source = {what}(", *(f"    {a}," for a in args), ")", ""]
