@@ -137,13 +137,13 @@ def held_out(doc_id="doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | float:
     """A network, or where fewer than two classes are labelled the share of label 1 as every score."""
-    known = labels.where("quality in (0, 1)").select("doc_id", "quality").where(~held_out()).dropDuplicates(["doc_id"])
+    known = labels.where("quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = None
     for label in (0, 1):
         some = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = some if chosen is None else chosen.unionAll(some)
     # at most 2 * per_class ids: a size known beforehand
-    rows = texts(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "quality").toPandas().sort_values("doc_id")
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     y = rows["quality"].to_numpy(np.float32)
     if len(set(y)) < 2:
         return float((y.sum() + 1) / (len(y) + 2))
