@@ -124,3 +124,15 @@ def cookie_header(set_cookies: Column) -> Column:
 
     pairs = F.transform(set_cookies, lambda c: trim_spaces(F.substring_index(c, ";", 1)))
     return F.nullif(F.array_join(F.filter(pairs, lambda p: p.rlike(r"\A[^=]+=.+")), "; "), F.lit(""))
+
+
+def component(text: Column) -> Column:
+    """Percent-encoding of a URL's component: letters, digits and -_.!~*'() stay, a space is %20."""
+    out = F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    for kept, code in (("!", "%21"), ("~", "%7E"), ("'", "%27"), ("(", "%28"), (")", "%29")):
+        out = F.replace(out, F.lit(code), F.lit(kept))
+    return out
+
+
+def product_url(site_url: Column, slug: Column, segment: str = "products") -> Column:
+    return F.concat_ws("/", F.regexp_replace(site_url, r"/+\z", ""), F.lit(segment.strip("/")), component(slug))

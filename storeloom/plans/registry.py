@@ -694,3 +694,45 @@ def a11_gates(spark, d):
 
     obs = observe.observe(pages(spark, d))
     return gate_summary(obs, {"noJsonLdBlock": ~F.col("has_product_data"), "missingProductId": F.col("product_path_segment").isNull()})
+
+
+@query("c19_product_url", "select page_id, 'https://s.test/item/' || replace(replace(replace(replace(replace(url_encode('a b+é~!*''()' || url), '%21', '!'), '%2A', '*'), '%27', ''''), '%28', '('), '%29', ')') as url from pages")
+def c19(spark, d):
+    slug = F.concat(F.lit("a b+é~!*'()"), F.col("url"))
+    return D.table(spark, d, "pages").select("page_id", U.product_url(F.lit("https://s.test/"), slug, "/item/").alias("url"))
+
+
+@query("u04_per_artifact", f"{_ART} select page_id, id, case when artifact_kind = 'html' then 'html' when id % 3 = 0 then 'datasheet' else 'promo' end as roles from a")
+def u04(spark, d):
+    arts, _ = classified(spark, d)
+    rule = F.array(F.when(F.col("artifact_kind") == "html", "html").when(F.col("id") % 3 == 0, "datasheet").otherwise("promo"))
+    return A.per_artifact(arts, "rule", rule)[1].select("page_id", "id", F.array_join("roles", ",").alias("roles"))
+
+
+@query("u05_default_provider", f"{_ART} select page_id, id, case when artifact_kind = 'html' then 'html' else 'unknown' end as roles from a")
+def u05(spark, d):
+    arts, _ = classified(spark, d)
+    return A.default_classification(arts, VOCABULARY)[1].select("page_id", "id", F.array_join("roles", ",").alias("roles"))
+
+
+@query("f13_informative", f"{_ART}, c as (select page_id, bool_or(list_has_any(string_split(roles_csv, ','), ['product-description','certificate','related-product','promo','ui','datasheet'])) as informs from a where roles_csv is not null group by 1) select page_id, informs from c")
+def f13(spark, d):
+    _, cls = classified(spark, d)
+    return cls.groupBy("page_id").agg(F.max(A.informative(F.col("roles"), VOCABULARY)).alias("informs"))
+
+
+@query("f18_keep_all", f"{_IMG} select page_id, count(*) as total, count(*) as selected, cast(0 as bigint) as dropped from i group by 1")
+def f18(spark, d):
+    return images.stats(images.keep_all(img(spark, d)), ()).select("page_id", "total", "selected", "dropped")
+
+
+@query("c02_unescape", r"select page_id, replace(replace(replace(url, '/', '\/') || '&amp;x', '&amp;', '&'), '\/', '/') as url from pages")
+def c02(spark, d):
+    raw = F.concat(F.replace(F.col("url"), F.lit("/"), F.lit("\\/")), F.lit("&amp;x"))
+    return D.table(spark, d, "pages").select("page_id", T.unescape_markup(raw).alias("url"))
+
+
+@query("c44_empty_result", "select page_id, '' as markdown, 'LOW' as band, 'a; b' as notes, 'NO_TEXT' as reason from pages")
+def c44(spark, d):
+    r = ocr.empty_result("p", "NO_TEXT", ["a", "b"])
+    return D.table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", F.col("r.raw_markdown").alias("markdown"), F.col("r.confidence").alias("band"), "r.notes", F.col("r.fallback_reason").alias("reason"))

@@ -429,3 +429,51 @@ def test_catalogue():
     assert code == 0 and catalogue.run(["--axis", "nope"])[1] == 1
     assert catalogue.run(["--search", "zzzz"]) == ("Nothing here covers that yet.", 0)
     assert len(json.loads(catalogue.run(["--json", "--axis", "ocr"])[0])) == len([r for r in rows if r[1] == "ocr"])
+
+
+def test_snapshots(spark, tmp_path):
+    from storeloom.streaming import snapshots
+
+    path, seen = str(tmp_path / "raw"), []
+    row = lambda *r: spark.createDataFrame([r], snapshots.SCHEMA)
+    handle = lambda rows, _: seen.extend(sorted(r.product_id for r in rows.collect()))
+    snapshots.write_snapshot(row("1", "a", "h.test", "2026-Q2"), path)
+    snapshots.process_new(spark, path, handle, str(tmp_path / "ck"))
+    snapshots.write_snapshot(row("2", "b", "h.test", "2026-Q3"), path)
+    snapshots.process_new(spark, path, handle, str(tmp_path / "ck"))
+    assert seen == ["1", "2"]
+    assert [r.html for r in snapshots.read_snapshot(spark, path, "h.test", "2026-Q2").collect()] == ["a"]
+
+
+def test_phases(spark, tmp_path):
+    from storeloom.plans.phases import run_phases
+
+    ran = []
+
+    def phase(name):
+        def step(rows):
+            ran.append(name)
+            return rows.withColumn("n", F.col("n") + 1)
+
+        return step
+
+    start = spark.createDataFrame([(0,)], "n long")
+    steps = {name: phase(name) for name in ("score", "download", "stage")}
+    assert run_phases(spark, start, steps, str(tmp_path)).first().n == 3
+    assert ran == ["download", "stage", "score"]
+    assert run_phases(spark, start, steps, str(tmp_path)).first().n == 3 and len(ran) == 3
+    with pytest.raises(ValueError, match="nope"):
+        run_phases(spark, start, {"nope": phase("nope")}, str(tmp_path))
+
+
+def test_inspect_command(spark, tmp_path):
+    from storeloom.operators import inspect_page
+
+    page = tmp_path / "p.html"
+    page.write_text('<img src="https://shoplineimg.com/a/b.jpg">')
+    url = "https://shop.example.test/products/thing"
+    assert "shopline" in inspect_page.run([url, "--html", str(page)], spark=spark)[0]
+    text, code = inspect_page.run([url, "--scaffold", "shop"], fetch=lambda u: page.read_text(), spark=spark)
+    assert code == 0 and "define_shopline_source" in text
+    assert inspect_page.run([url], spark=spark)[1] == 1
+    assert inspect_page.run([url, "--scaffold", "x"], fetch=lambda u: "", spark=spark)[1] == 1
