@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, first_by_hash
 
 NEAREST, KEEP = 5, 6
 SAMPLE, LISTS, ROUNDS = 20_000, 1_024, 10
@@ -184,7 +184,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, k: int
     classes = ws.save(parts.groupBy("v1", "v2").agg(F.first("vec").alias("vec"), keep.alias("ids")).withColumn("id", F.get("ids", F.lit(0))), "classes")
     asked = ws.save(ok.where(F.col("vec_id") % every == 0).mapInArrow(_keys, "vec_id long, v1 long, v2 long"), "asked")
     n = classes.count()
-    sample = classes.orderBy(F.xxhash64("id", F.lit(3)), "id").limit(SAMPLE).select("vec").toPandas()
+    sample = first_by_hash(classes, "id", SAMPLE, n).select("vec").toPandas()
     n_lists = max(1, min(LISTS, round(math.sqrt(n)), len(sample)))
     rows = unit(np.frombuffer(b"".join(sample["vec"]), float).reshape(-1, d))
     centres = kmeans(rows, n_lists)

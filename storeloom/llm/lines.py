@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -114,7 +114,7 @@ def _refine(ws: Workspace, rows: DataFrame, name: str) -> DataFrame:
 
 def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     """Values of a list column and their number in each row."""
-    counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     return column.flatten(), counts
 
 

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import first_by_hash, texts
 
 PER_CLASS, BATCH, RATE = 1_000, 64, 4e-3
 #: Passes over the sample: as many as make STEPS steps, within bounds.
@@ -138,9 +138,10 @@ def held_out(doc_id="doc_id"):
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Network | float:
     """A network, or where fewer than two classes are labelled the share of label 1 as every score."""
     known = labels.where("quality in (0, 1)").where(~held_out()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    totals = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
     chosen = None
     for label in (0, 1):
-        some = known.where(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        some = first_by_hash(known.where(F.col("quality") == label), "doc_id", per_class, totals.get(label, 0))
         chosen = some if chosen is None else chosen.unionAll(some)
     # at most 2 * per_class ids: a size known beforehand
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
