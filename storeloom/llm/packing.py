@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import Workspace, slices, texts
 from .tokens import default_path, tokenizer
 
-CAPACITY, REGION, ISLANDS, EPOCHS = 2048, 8192, 2, 3
-POPULATION, GENERATIONS = 6, 12
+CAPACITY, REGION, ISLANDS, EPOCHS = 2048, 8192, 2, 2
+POPULATION, GENERATIONS = 6, 6
 FULL = 0.99
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -201,7 +201,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -
 
     def run(batches):
         tok = tokenizer(path)
-        for batch in slices(batches):
+        for batch in slices(batches, "text", 8 << 20):
             out = [[] for _ in range(5)]
             flat, offsets = tok.encode_many(batch.column("text").to_pylist())
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets, offsets[1:]):
