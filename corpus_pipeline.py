@@ -18,7 +18,8 @@ from storeloom.llm.tokens import default_path
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the network scores at its threshold or above."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model).where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    scored = quality.score(docs, model, "__quality")
+    return scored.where(F.col("__quality") >= quality.THRESHOLD).select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

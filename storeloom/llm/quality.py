@@ -171,15 +171,15 @@ def score_texts(model: Network | float, values: list[str]) -> np.ndarray:
     return np.round(np.concatenate(out).astype(float), 6) if out else np.empty(0)
 
 
-def score(docs: DataFrame, model: Network | float) -> DataFrame:
-    """Adds score (0 to 1) to the rows; null texts score as empty ones. Other columns stay as they are."""
+def score(docs: DataFrame, model: Network | float, into: str = "score") -> DataFrame:
+    """Adds the score (0 to 1) to the rows as column ``into``, which replaces one of that name; null texts score as empty ones."""
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for values in batches:
             yield pd.Series(score_texts(model, values.tolist()))
 
-    return docs.withColumn("score", run(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.withColumn(into, run(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

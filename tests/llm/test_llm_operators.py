@@ -346,6 +346,7 @@ def test_pipeline(spark, docs, rows, tmp_path):
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
         out = stage(spark, frame, str(tmp_path))
         assert out.columns == docs.columns, name
+        assert {(r.start, r.th, r.score) for r in out.collect()} <= {("clash", 7, 0.5)}, name
         out.write.parquet(str(tmp_path / str(i)))
         frame = spark.read.parquet(str(tmp_path / str(i)))
     # one label only: all scores are its share, so nothing goes in the first stage
