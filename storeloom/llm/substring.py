@@ -26,7 +26,7 @@ from .neardup import SIMILARITY, classes, mix, shingles, words_of
 
 BANDS, ROWS = 12, 4
 LEAST_WORDS, SENTENCE_WORDS = 12, 8
-SALTS = 16
+SALTS = 4
 #: A sentence of more words than LONG is also cut behind one word in ANCHOR.
 LONG, ANCHOR = 40, 16
 
