@@ -11,6 +11,13 @@ place, by doc_id and position, stays; all others are removals.
 A place is a document, a line number and a range of the line's words (what white space
 parts); a sentence ends with a word that ends in a full stop, question or exclamation mark,
 and one of more than ``LONG`` words is cut further at words that their hash picks.
+
+Whatever the lines and sentences, every run of ``RUN`` words that stands earlier too, as
+the same words in lower case, is a removal: each window of RUN words picks the least
+hash of its runs of ``GRAM`` words, so equal windows pick the same one. Windows in a row with one
+pick are a range. A range that stands earlier goes as a whole; of ranges that share their
+pick only, the single windows are compared. Windows in a row with one shift against
+one document are a run, as long as it is equal. A window that overlaps its own first place stays.
 """
 
 from __future__ import annotations
@@ -29,6 +36,12 @@ LEAST_WORDS, SENTENCE_WORDS = 12, 8
 SALTS = 4
 #: A sentence of more words than LONG is also cut behind one word in ANCHOR.
 LONG, ANCHOR = 40, 16
+#: Words of the shortest run that is found wherever it stands, and of the runs that its windows pick from.
+RUN, GRAM = 50, 16
+#: Rows of the table of units: units, ranges, and the line offsets of documents of RUN words.
+UNIT, RANGE, LINES = 0, 1, 2
+_ODD = np.uint64(0xD1B54A32D192ED03)
+_UNITS = "doc_id long, line int, first int, end int, h1 long, h2 long, keys array<long>, kind int, lo int, hi int"
 
 
 def min_hashes(hashed: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -> np.ndarray:
@@ -77,14 +90,85 @@ def _run_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[
     return out
 
 
+def _runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of GRAM and of RUN words from each word on."""
+    n = len(words) - RUN + 1
+    hashed, size = {1: words}, 1
+    while size < 32:
+        hashed[2 * size] = mix(hashed[size][:-size] * _ODD + hashed[size][size:])
+        size *= 2
+    return hashed[GRAM], mix(mix(hashed[32][:n] * _ODD + hashed[16][32 : 32 + n]) * _ODD + hashed[2][48 : 48 + n])
+
+
+def ranges(words: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Ranges of windows with one pick: document, first and last window's first word, hash of the range and of the pick."""
+    none = np.empty(0, np.int64)
+    if len(words) < RUN:
+        return none, none, none, none, none
+    grams, windows = _runs(words)
+    doc = np.repeat(np.arange(len(doc_at) - 1), np.diff(doc_at))
+    starts = np.flatnonzero(doc[: len(windows)] == doc[RUN - 1 :])
+    if not len(starts):
+        return none, none, none, none, none
+    # of equal hashes the leftmost: the place is the key's low part
+    bits = np.uint64(max(24, len(words).bit_length()))
+    least = grams >> bits << bits | np.arange(len(grams), dtype=np.uint64)
+    size, width = 1, RUN - GRAM + 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    least = np.minimum(least[: len(windows)], least[width - size : width - size + len(windows)])
+    pick = (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)[starts]
+    edge = np.flatnonzero((np.diff(pick) != 0) | (np.diff(starts) != 1))
+    a, b = np.concatenate([[0], edge + 1]), np.append(edge, len(starts) - 1)
+    lo, hi = starts[a], starts[b]
+    # the first and the last window cover the range
+    whole = mix(windows[lo] * _ODD + windows[hi] + (hi - lo).astype(np.uint64))
+    return doc[lo], lo, hi, whole.view(np.int64), grams[pick[a]].view(np.int64)
+
+
+def _lines_of(batch: pa.RecordBatch):
+    """Lines of each document, the words of all, offsets of each line's and of each document's, which words end a sentence."""
+    lists = pc.split_pattern(batch.column("text"), "\n")
+    per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    words, at, ends = words_of(lists.flatten(), ".!?")
+    return per_doc, words, at, at[np.concatenate([[0], np.cumsum(per_doc)])], ends
+
+
+def _place(word: np.ndarray, at: np.ndarray, per_doc: np.ndarray, doc: np.ndarray) -> list[pa.Array]:
+    """Line in its document, and place in the line, of words of all lines."""
+    line = np.searchsorted(at, word, "right") - 1
+    return [pa.array((line - (np.cumsum(per_doc) - per_doc)[doc]).astype(np.int32)), pa.array((word - at[line]).astype(np.int32))]
+
+
 def units(docs: DataFrame) -> DataFrame:
-    """doc_id, line, first and end word, the words' 128-bit hash (h1, h2), and a whole paragraph's band keys (null for a sentence)."""
+    """Rows of three kinds.
+
+    UNIT: doc_id, line, first and end word, the words' 128-bit hash (h1, h2), and a whole paragraph's band keys (null for a sentence).
+    RANGE: first word's line and place in it, lo and hi (first words of its windows, from the document's begin), its hash h1 and its pick's h2.
+    LINES: in keys, how many words of the document stand before each line, and in all.
+    """
+    names = [c.split(" ")[0] for c in _UNITS.split(", ")]
+
+    def rows(kind, columns, n):
+        held = dict(columns) | {"kind": pa.array(np.full(n, kind, np.int32))}
+        types = {"doc_id": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "keys": pa.list_(pa.int64())}
+        return pa.record_batch([held.get(c, pa.nulls(n, types.get(c, pa.int32()))) for c in names], names=names)
 
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
-            lists = pc.split_pattern(batch.column("text"), "\n")
-            per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-            words, at, ends = words_of(lists.flatten(), ".!?")
+            per_doc, words, at, doc_at, ends = _lines_of(batch)
+            ids = batch.column("doc_id")
+            doc, lo, hi, whole, pick = ranges(words, doc_at)
+            if len(doc):
+                line, place = _place(lo, at, per_doc, doc)
+                yield rows(RANGE, {"doc_id": ids.take(pa.array(doc)), "line": line, "first": place, "h1": pa.array(whole), "h2": pa.array(pick), "lo": pa.array((lo - doc_at[doc]).astype(np.int32)), "hi": pa.array((hi - doc_at[doc]).astype(np.int32))}, len(doc))
+                held = np.flatnonzero(np.diff(doc_at) >= RUN)
+                n = per_doc[held] + 1
+                begin = np.cumsum(n) - n
+                flat = np.repeat((np.cumsum(per_doc) - per_doc)[held] - begin, n) + np.arange(n.sum())
+                before = at[flat] - np.repeat(doc_at[held], n)
+                yield rows(LINES, {"doc_id": ids.take(pa.array(held)), "keys": pa.ListArray.from_arrays(pa.array(np.append(begin, n.sum()).astype(np.int32)), pa.array(before))}, len(held))
             sizes = np.diff(at)
             start, stop, line = _spans(words, sizes, ends)
             # a paragraph of one sentence is a unit once
@@ -107,21 +191,113 @@ def units(docs: DataFrame) -> DataFrame:
             doc = np.repeat(np.arange(len(per_doc)), per_doc)
             first = (np.cumsum(per_doc) - per_doc)[doc]
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.concatenate([counts == 0, [False]]))
-            columns = [batch.column("doc_id").take(pa.array(doc[line])), pa.array((line - first[line]).astype(np.int32)), pa.array((start - at[line]).astype(np.int32)), pa.array((stop - at[line]).astype(np.int32)), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(offsets, pa.array(keys))]
-            yield pa.record_batch(columns, names=["doc_id", "line", "first", "end", "h1", "h2", "keys"])
+            columns = [ids.take(pa.array(doc[line])), pa.array((line - first[line]).astype(np.int32)), pa.array((start - at[line]).astype(np.int32)), pa.array((stop - at[line]).astype(np.int32)), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(offsets, pa.array(keys))]
+            yield rows(UNIT, zip(names, columns), len(start))
 
-    return texts(docs).mapInArrow(run, "doc_id long, line int, first int, end int, h1 long, h2 long, keys array<long>")
+    return texts(docs).mapInArrow(run, _UNITS)
+
+
+def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every window of the wanted ranges: its hash, doc_id, lo (first word), line and first."""
+
+    def run(batches):
+        for batch in slices(batches, "text", 4 << 20):
+            per_doc, words, at, doc_at, _ = _lines_of(batch)
+            found = batch.column("cuts")
+            doc = np.repeat(np.arange(len(batch)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+            lo, hi = (found.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) + doc_at[doc] for c in ("lo", "hi"))
+            size = hi - lo + 1
+            word = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            doc = np.repeat(doc, size)
+            line, place = _place(word, at, per_doc, doc)
+            columns = [pa.array(_runs(words)[1][word].view(np.int64)), batch.column("doc_id").take(pa.array(doc)), pa.array((word - doc_at[doc]).astype(np.int32)), line, place]
+            yield pa.record_batch(columns, names=["h", "doc_id", "lo", "line", "first"])
+
+    cuts = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    return texts(docs).join(cuts, "doc_id").mapInArrow(run, "h long, doc_id long, lo int, line int, first int")
+
+
+def _pieces(batches):
+    """Joins the later windows of each document to runs, and cuts these at lines; what ``gone`` covers is left out."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        found, before, gone = (batch.column(c) for c in ("found", "before", "gone"))
+        doc = np.repeat(np.arange(len(batch)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
+        lo, stop, keep, start, line, first = (found.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "stop", "keep_doc_id", "keep_lo", "keep_line", "keep_first"))
+        order = np.lexsort((lo, start - lo, keep, doc))
+        doc, lo, stop, keep, start, line, first = (x[order] for x in (doc, lo, stop, keep, start, line, first))
+        new = np.append(True, (np.diff(doc) != 0) | (np.diff(keep) != 0) | (np.diff(start - lo) != 0) | (lo[1:] > stop[:-1]))
+        last = np.append(np.flatnonzero(new)[1:] - 1, len(new) - 1)
+        stop = stop[last]
+        doc, lo, keep, line, first = (x[new] for x in (doc, lo, keep, line, first))
+        # all documents' words one after the other, so line offsets ascend
+        per_doc = pc.list_value_length(before).to_numpy(zero_copy_only=False).astype(np.int64)
+        at = before.flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum(per_doc)
+        sizes = at[ends - 1]
+        base = np.cumsum(sizes) - sizes
+        at = at + np.repeat(base, per_doc)
+        lo, stop = lo + base[doc], stop + base[doc]
+        order = np.lexsort((-stop, lo))
+        doc, lo, stop, keep, line, first = (x[order] for x in (doc, lo, stop, keep, line, first))
+        outer = np.append(True, stop[1:] > np.maximum.accumulate(stop)[:-1])
+        doc, lo, stop, keep, line, first = (x[outer] for x in (doc, lo, stop, keep, line, first))
+        g_doc = np.repeat(np.arange(len(batch)), pc.fill_null(pc.list_value_length(gone), 0).to_numpy(zero_copy_only=False))
+        g_line, g_first, g_end = (gone.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("line", "first", "end"))
+        g_at = at[(ends - per_doc)[g_doc] + g_line]
+        edges = np.bincount(g_at + g_first, minlength=sizes.sum() + 1) - np.bincount(g_at + g_end, minlength=sizes.sum() + 1)
+        covered = np.append(0, np.cumsum(np.cumsum(edges) > 0))
+        a = np.searchsorted(at, lo, "right") - 1
+        n = np.searchsorted(at, stop - 1, "right") - a
+        which = np.repeat(np.arange(len(lo)), n)
+        part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + a[which]
+        # the entry after a document's last line is its end
+        following = at[np.minimum(part + 1, len(at) - 1)]
+        left, right = np.maximum(at[part], lo[which]), np.minimum(following, stop[which])
+        new = (right > left) & (covered[right] - covered[left] < right - left)
+        which, part, left, right = which[new], part[new], left[new], right[new]
+        doc = doc[which]
+        columns = [batch.column("doc_id").take(pa.array(doc)), *(pa.array(x.astype(np.int32)) for x in (part - (ends - per_doc)[doc], left - at[part], right - at[part])), pa.array(keep[which]), *(pa.array(x[which].astype(np.int32)) for x in (line, first))]
+        yield pa.record_batch(columns, names=["doc_id", "line", "first", "end", "keep_doc_id", "keep_line", "keep_first"])
+
+
+def _later_runs(ws: Workspace, docs: DataFrame, found: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows like those of ``repeats`` for runs of RUN words and more that ``gone`` doesn't hold already."""
+    every = found.where(F.col("kind") == RANGE).select("doc_id", "line", "first", "h1", "h2", "lo", "hi")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salt = F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int")
+    place = F.min(F.struct("doc_id", "lo", "line", "first")).alias("keep")
+    again = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("lo") - F.col("keep.lo") >= RUN)
+    keep = [F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("doc_id", "lo", "line", "first")]
+    picks = every.groupBy("h2").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1").select("h2", "mixed")
+    met = ws.save(every.withColumn("salt", salt).join(picks.withColumn("salt", parts), ["h2", "salt"]), "ranges")
+    kept = met.groupBy("h1", "h2").agg(place)
+    met = ws.save(met.join(kept.withColumn("salt", parts), ["h1", "h2", "salt"]).withColumn("again", again), "ranges_kept")
+    ws.drop("ranges")
+    whole = met.where("again").select("doc_id", "lo", (F.col("hi") + RUN).alias("stop"), *keep)
+    windows = ws.save(_windows(docs, met.where("mixed and not again").select("doc_id", "lo", "hi")), "windows")
+    twice = windows.groupBy("h").agg(F.count("*").alias("n"), place).where("n > 1").select("h", "keep")
+    single = windows.withColumn("salt", salt).join(twice.withColumn("salt", parts), ["h", "salt"]).where(again).select("doc_id", "lo", (F.col("lo") + RUN).alias("stop"), *keep)
+    later = whole.unionAll(single).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "stop", "keep_doc_id", "keep_lo", "keep_line", "keep_first")).alias("found"))
+    lines = found.where(F.col("kind") == LINES).select("doc_id", F.col("keys").alias("before")).dropDuplicates(["doc_id"])
+    removed = gone.groupBy("doc_id").agg(F.collect_list(F.struct("line", "first", "end")).alias("gone"))
+    out = later.join(lines, "doc_id").join(removed, "doc_id", "left").select("doc_id", "found", "before", "gone")
+    out = out.mapInArrow(_pieces, "doc_id long, line int, first int, end int, keep_doc_id long, keep_line int, keep_first int")
+    return out.select("doc_id", "line", "first", "end", F.xxhash64("keep_doc_id", "keep_line", "keep_first").alias("cluster"), "keep_doc_id", "keep_line", "keep_first")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     """One row per removal: doc_id, line, first, end (words, end exclusive), cluster, keep_doc_id, keep_line, keep_first.
 
     cluster names the component; keep_* are its first place. Paragraphs and
-    sentences under the least number of words take no part; null and empty texts have none;
+    sentences under the least number of words take no part but in runs of RUN words. Of such a run each line that
+    isn't removed already is a row, and keep_* is where the run begins at its first place; null and empty texts have none;
     rows that repeat a doc_id count as places of it.
     """
     ws = Workspace(spark, "repeats")
-    found = ws.save(units(docs), "units")
+    table = ws.save(units(docs), "units")
+    found = table.where(F.col("kind") == UNIT).drop("kind", "lo", "hi")
     paragraphs = found.where("keys is not null")
     buckets = ws.save(paragraphs.select(F.explode("keys").alias("key"), F.col("h1").alias("id")).distinct(), "buckets")
 
@@ -144,11 +320,15 @@ def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY)
     salt = F.pmod(F.xxhash64("doc_id", "line", "first"), F.lit(SALTS)).cast("int")
     members = found.drop("keys").withColumn("salt", salt).join(clusters.withColumn("salt", parts), ["h1", "h2", "salt"])
     members = ws.save(members.drop("h1", "h2"), "members")
-    ws.drop("units")
     keep = members.groupBy("cluster", "part").agg(F.min(F.struct("doc_id", "line", "first", "end")).alias("keep"))
     out = members.join(keep.withColumn("salt", parts), ["cluster", "part", "salt"])
     other = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")) | (F.col("first") != F.col("keep.first")) | (F.col("end") != F.col("keep.end"))
-    return out.where(other).select("doc_id", "line", "first", "end", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.col("keep.first").alias("keep_first"))
+    out = out.where(other).select("doc_id", "line", "first", "end", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.col("keep.first").alias("keep_first"))
+    out = ws.save(out, "removals")
+    ws.drop("members")
+    runs = ws.save(_later_runs(ws, docs, table, out), "runs")
+    ws.drop("units", "ranges_kept", "windows")
+    return out.unionAll(runs)
 
 
 def remove(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:

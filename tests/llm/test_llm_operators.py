@@ -355,3 +355,44 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert {r.doc_id for r in frame.collect()} == want
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == want
+
+
+def brute_runs(rows, size=50):
+    """Words, as (doc_id, line, place), of windows of ``size`` words that stand earlier too and don't overlap their first place."""
+    first, gone = {}, set()
+    for doc_id, text in sorted(rows):
+        words = [(w, n, k) for n, line in enumerate(text.split("\n")) for k, w in enumerate(line.lower().split())]
+        for a in range(len(words) - size + 1):
+            d, b = first.setdefault(tuple(w for w, *_ in words[a : a + size]), (doc_id, a))
+            if d != doc_id or a - b >= size:
+                gone |= {(doc_id, n, k) for _, n, k in words[a : a + size]}
+    return gone
+
+
+def test_runs_across_lines_and_sentences(spark):
+    """Every run of 50 words is removed, whatever its lines and sentences; nothing but runs and whole units goes."""
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    fresh = lambda n: [word() for _ in range(n)]
+    wrapped = lambda words, every: "".join(w + ("\n" if i % every == every - 1 else " ") for i, w in enumerate(words))
+    source, rows = fresh(400), []
+    rows.append((0, " ".join(source)))
+    for k, size in enumerate((49, 50, 51, 55, 60, 80, 120, 50, 50, 70)):
+        a = int(rng.integers(0, 400 - size))
+        words = fresh(90 + k) + source[a : a + size] + fresh(100)
+        # one line, lines of 5, 7 or 11 words, a stop behind every sixth word of the frame
+        rows.append((k + 1, " ".join(words) if k % 3 == 0 else wrapped(words, (5, 7, 11)[k % 3])))
+    rows.append((20, wrapped(source[100:200], 6).upper()))
+    rows.append((21, " ".join(["so"] * 130)))
+    rows.append((22, " ".join(fresh(30) + ["so"] * 70 + fresh(30))))
+    own = fresh(60)
+    rows.append((23, " ".join(own + fresh(20) + own)))
+    short = [w + "." if i % 6 == 5 else w for i, w in enumerate(fresh(66))]
+    rows += [(24, " ".join(fresh(80) + short + fresh(80))), (25, wrapped(fresh(81) + short + fresh(80), 4))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring.repeats(spark, frame).collect()
+    got = {(r.doc_id, r.line, k) for r in found for k in range(r.first, r.end)}
+    want = brute_runs(rows)
+    assert {d for d, *_ in want} == {*range(2, 11), 20, 21, 22, 23, 25} and want <= got
+    units = {(d, n, k) for d, n, a, b, *_ in brute_repeats(rows) for k in range(a, b)}
+    assert got == want | units
