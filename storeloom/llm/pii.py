@@ -4,8 +4,9 @@ Base spans are found in the source text by linear scans. For disguised ones,
 transducers rewrite the text step by step (look-alike and invisible characters,
 bracketed or spelled at/dot, spelled digits); each keeps, for every character it
 writes, the source characters that it stands for. Identifiers found in the last
-writing map back to source spans. A span is added only if it overlaps no base
-span of its kind, so base ones stay.
+writing map back to source spans. Base spans all stay; a span is added unless it
+lies wholly inside the base spans that it overlaps, which a disguise may leave behind
+as shorter matches, or overlaps one added before.
 """
 
 from __future__ import annotations
@@ -161,7 +162,7 @@ def _plain_form(c: str) -> str:
 
 
 #: Look-alikes are undone beside Latin letters, digits or signs only, and words of another script stay.
-_FOREIGN = re.compile(r"[^\x00-ɏ‘-‟•…€]|[­ ]")
+_FOREIGN = re.compile(r"[^\x00-ɏ‘-‟•…€]|[­ ı]")
 
 
 def unmask(t: Traced) -> Traced:
@@ -292,6 +293,16 @@ def _has_digit_word(low: str) -> bool:
     return _RARE_DIGITS.search(low) is not None
 
 
+def _inside(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
+    """Whether the ascending spans hold every character of the span."""
+    done = span[0]
+    for x, y in taken:
+        if x > done:
+            break
+        done = max(done, y)
+    return done >= span[1]
+
+
 def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """Base spans, and base with added ones, by kind, ascending."""
     base = base_spans(text)
@@ -305,12 +316,12 @@ def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, li
     both = {}
     taken = sorted(s for spans in base.values() for s in spans)
     for kind, spans in base_spans(t.text).items():
-        found = list(base[kind])
+        added = []
         for a, b in spans:
             span = t.source(a, b)
-            if not any(x < span[1] and span[0] < y for x, y in taken) and not any(x < span[1] and span[0] < y for x, y in found):
-                found.append(span)
-        both[kind] = sorted(found)
+            if not _inside(span, taken) and not any(x < span[1] and span[0] < y for x, y in added):
+                added.append(span)
+        both[kind] = sorted(base[kind] + added)
     return base, both
 
 

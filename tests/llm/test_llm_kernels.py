@@ -378,6 +378,33 @@ def test_disguises(text, kind, found):
     assert found not in pii.masked(text) and f"<{kind}>" in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "base", "found"),
+    [
+        ("to jоhn@example.com ok", "email", "hn@example.com", "jоhn@example.com"),
+        ("to johո@example.com ok", "email", None, "johո@example.com"),
+        ("to john@mail.exаmple.com ok", "email", "john@mail.ex", "john@mail.exаmple.com"),
+        ("to john@mail.example.cоm ok", "email", "john@mail.example.c", "john@mail.example.cоm"),
+        ("at 192.168.1.1O ok", "ip", "192.168.1.1", "192.168.1.1O"),
+        ("call +1 415 555 01 two three four", "phone", "+1 415 555 01", "+1 415 555 01 two three four"),
+    ],
+)
+def test_disguises_that_leave_a_base_match(text, kind, base, found):
+    held, both = pii.all_spans(text)
+    assert [text[a:b] for a, b in held[kind]] == ([base] if base else [])
+    assert {text[a:b] for a, b in both[kind]} == {found} | {base} - {None}
+    assert pii.masked(text) == text.replace(found, f"<{kind}>")
+
+
+def test_single_lookalikes_anywhere():
+    twins = {v: k for k, v in pii.LOOKALIKES.items()}
+    address = "john.doe@mail.example.com"
+    for i, c in enumerate(address):
+        if c.isalpha() and c in twins:
+            text = address[:i] + twins[c] + address[i + 1 :]
+            assert pii.masked(f"to {text} now") == "to <email> now", text
+
+
 def test_clean_text_stays():
     for text in ("He was at home. The dot com boom.", "one two buckle my shoe", "Привет, мир", "seven or eight at nine", "", "point one two", "look_at_this", "a & b @ c", "50%40", "AT&T rocks. Then"):
         base, both = pii.all_spans(text)
