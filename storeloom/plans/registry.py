@@ -104,7 +104,7 @@ def s08(spark, d):
 
 @query("s09_product_slugs", f"{_XML}, u as (select page_id, unnest({_LOCS}) as url from x where page_id % 10 <> 0) select page_id, url, url_decode(regexp_extract(url, '/products/([^/?#]+)', 1)) as product_id from u where regexp_extract(url, '/products/([^/?#]+)', 1) <> ''")
 def s09(spark, d):
-    urls = derived(spark, d, D.SITEMAPS).where("page_id % 10 <> 0").select("page_id", F.explode(discovery.sitemap_locs(F.col("xml"))).alias("url"))
+    urls = derived(spark, d, D.SITEMAPS).select("page_id", F.explode(discovery.sitemap_locs(F.col("xml"))).alias("url"))
     return discovery.product_candidates(urls, "/products/([^/?#]+)")
 
 
