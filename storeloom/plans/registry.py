@@ -285,7 +285,7 @@ def f10(spark, d):
 def f11(spark, d):
     pages = D.table(spark, d, "pages")
     tail = '<div class="person_img">' + "x" * 400 + '<img src="https:\\/\\/a.test\\/1.jpg?a=1&amp;b=2"></div><i class="element_img_icon"><img src="//a.test/1.jpg?a=1&b=2">'
-    rows = pages.select("page_id", F.concat(F.lit(tail)).alias("html"))
+    rows = pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit(tail)).alias("html"))
     return rows.select("page_id", images.html_decision(F.col("html"), F.lit("https://a.test/1.jpg?a=1&b=2"))["reason"].alias("reason"))
 
 

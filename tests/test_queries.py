@@ -51,3 +51,11 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_html_context_reads_the_page(spark, tmp_path):
+    image = '<img src="https://a.test/1.jpg?a=1&b=2">'
+    pages = [(1, "u", f'<div class="use_main_st_bg mobile">{image}</div>' + "x" * 400), (2, "u", "<p>none</p>"), (3, "u", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: r.reason for r in registry.queries()["f11_html_context"](spark, str(tmp_path)).collect()}
+    assert got == {1: "duplicate", 2: "decorative_asset", 3: "decorative_asset"}
