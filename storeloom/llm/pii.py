@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -174,13 +175,19 @@ def unmask(t: Traced) -> Traced:
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _BRACKET_AT = re.compile(rf"\s?{_OPEN}(?:{'|'.join(AT_WORDS)}|@){_CLOSE}\s?", re.I)
 _BRACKET_DOT = re.compile(rf"\s?{_OPEN}(?:{'|'.join(DOT_WORDS)}|\.){_CLOSE}\s?", re.I)
-_AT = rf"(?:\s+(?:{'|'.join(AT_WORDS)})\s+|\s?@\s?)"
-_DOT = rf"(?:\s+(?:{'|'.join(DOT_WORDS)})\s+|\s\.\s)"
-#: Words are joined only as a whole address: local at name dot name.
-_SPELLED_EMAIL = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:\.|{_DOT})[A-Za-z0-9_%+-]+)*{_AT}[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*", re.I)
-_AT_RE, _DOT_RE = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+# Space is taken whole and from its begin, so that a long run of it is scanned once.
+_AT_RE = re.compile(rf"(?<!\s)\s++(?:{'|'.join(AT_WORDS)})(?=\s)\s++|\s?@\s?", re.I)
+_DOT = rf"(?:(?<!\s)\s++(?:{'|'.join(DOT_WORDS)})\s++|\s\.\s)"
+_DOT_RE = re.compile(_DOT, re.I)
+_LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*", re.I)
+#: A local part read backward from its sign.
+_BACKWARD = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.|\s++(?:{'|'.join(w[::-1] for w in DOT_WORDS)})\s++|\s\.\s)[A-Za-z0-9_%+-]++)*+(?![.])", re.I)
 _HAS_DOT = re.compile(rf"\b(?:{'|'.join(DOT_WORDS)})\b", re.I)
-_NEAR_DOT = 120
+_HAS_AT = re.compile(rf"\s(?:{'|'.join(AT_WORDS)})\s", re.I)
+#: A spelled at before a plain domain: the local part has a sign within, or a word for mail stands before it.
+_SIGNED = re.compile(r"[A-Za-z][A-Za-z0-9]*[._+][A-Za-z0-9]+")
+_MAIL_WORD = re.compile(r"(?:mail|e-mail|contact|write|reach)(?: (?:to|me|us))?[:\s]\s?\Z", re.I)
+_PLAIN_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|info|io|dev|example|test|de|fr|es|uk|eu)\Z", re.I)
 
 
 def _bracketed(t: Traced) -> Traced:
@@ -190,19 +197,30 @@ def _bracketed(t: Traced) -> Traced:
 
 
 def _spelled_email(t: Traced) -> Traced:
-    """at and dot as words, within a window about each spelled dot."""
-    edits, done = [], 0
-    for hit in _HAS_DOT.finditer(t.text):
-        if hit.start() < done:
+    """at and dot as words: a domain forward and a local part backward from each sign, neither beyond the next sign."""
+    text, edits = t.text, []
+    signs = [m.span() for m in _AT_RE.finditer(text)]
+    if not signs:
+        return t
+    backward = text[::-1]
+    done = 0
+    for k, (a, b) in enumerate(signs):
+        stop = signs[k + 1][0] if k + 1 < len(signs) else len(text)
+        domain = _LABELS.match(text, b, stop)
+        local = _BACKWARD.match(backward, len(text) - a, len(text) - done) if domain else None
+        if not local:
+            done = b
             continue
-        left = max(done, hit.start() - _NEAR_DOT)
-        for m in _SPELLED_EMAIL.finditer(t.text, left, min(len(t.text), hit.end() + _NEAR_DOT)):
-            ats = list(_AT_RE.finditer(t.text, m.start(), m.end()))
-            dots = list(_DOT_RE.finditer(t.text, m.start(), m.end()))
-            if len(ats) == 1 and any(d.start() > ats[0].start() for d in dots):
-                edits += sorted([(ats[0].start(), ats[0].end(), "@"), *((d.start(), d.end(), ".") for d in dots)])
-                done = m.end()
-        done = max(done, hit.end())
+        start = len(text) - local.end()
+        dots = [d.span() for d in _DOT_RE.finditer(text, start, a)]
+        after = [d.span() for d in _DOT_RE.finditer(text, domain.start(), domain.end())]
+        spelled = text[a:b].strip() != "@"
+        plain = not after and spelled and _PLAIN_DOMAIN.match(domain[0])
+        if after or (plain and (_SIGNED.fullmatch(text, start, a) or _MAIL_WORD.search(text, max(0, start - 24), start))):
+            edits += [*((x, y, ".") for x, y in dots), (a, b, "@"), *((x, y, ".") for x, y in after)]
+            done = domain.end()
+        else:
+            done = b
     return t.rewrite(edits)
 
 
@@ -281,6 +299,7 @@ def disguised(text: str) -> bool:
         or (("&" in text or "%40" in text) and (_ESCAPED_AT.search(text) or _ESCAPED_DOT.search(text)))
         or (any(c in text for c in "[({<") and _BRACKETED_HINT.search(text))
         or (any(w in low for w in DOT_WORDS) and (_HAS_DOT.search(text) or _TIED.search(text)))
+        or ("." in text and _HAS_AT.search(text))
         or (_has_digit_word(low) and _SPELLED_HINT.search(text))
         or (_ANY_DIGIT.search(text) and _LETTER_DIGIT.search(text))
     )
@@ -293,14 +312,16 @@ def _has_digit_word(low: str) -> bool:
     return _RARE_DIGITS.search(low) is not None
 
 
-def _inside(span: tuple[int, int], taken: list[tuple[int, int]]) -> bool:
-    """Whether the ascending spans hold every character of the span."""
-    done = span[0]
-    for x, y in taken:
-        if x > done:
-            break
-        done = max(done, y)
-    return done >= span[1]
+def _union(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what the spans cover, as ranges that neither overlap nor touch."""
+    starts, ends = [], []
+    for a, b in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
@@ -314,13 +335,15 @@ def all_spans(text: str) -> tuple[dict[str, list[tuple[int, int]]], dict[str, li
     if t.text == text:
         return base, base
     both = {}
-    taken = sorted(s for spans in base.values() for s in spans)
+    starts, ends = _union([s for spans in base.values() for s in spans])
     for kind, spans in base_spans(t.text).items():
-        added = []
-        for a, b in spans:
-            span = t.source(a, b)
-            if not _inside(span, taken) and not any(x < span[1] and span[0] < y for x, y in added):
+        added, done = [], 0
+        for span in (t.source(a, b) for a, b in spans):
+            # spans ascend in the writing and in the source alike
+            held = bisect_right(starts, span[0]) - 1
+            if not (held >= 0 and ends[held] >= span[1]) and span[0] >= done:
                 added.append(span)
+                done = span[1]
         both[kind] = sorted(base[kind] + added)
     return base, both
 
@@ -335,7 +358,8 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_
 def find(docs: DataFrame) -> DataFrame:
     """Every text's personal data: base counts by kind, a digest of the base spans, all spans, and how many were added.
 
-    Null and empty texts have none; repeated rows give repeated rows.
+    Null and empty texts have none; repeated rows give repeated rows; other columns are ignored. Work and
+    memory grow with a text's length.
     """
 
     def run(batches):
