@@ -479,6 +479,43 @@ def test_network_learns_and_covers_whole_texts():
     assert quality.score_texts(net, ["", "a", "the cat " * 500]) == pytest.approx(alone, abs=1e-5)
 
 
+def plain_score(net, raw):
+    """A chunk, a window and a filter at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    n, logits = max(1, -(-len(raw) // quality.STRIDE)), []
+    first = 0
+    while not logits or first + quality.CHUNK - quality.STEP < n:
+        best = np.full(quality.FILTERS, -np.inf)
+        for k in range(first, min(first + quality.CHUNK, n)):
+            window = raw[k * quality.STRIDE : k * quality.STRIDE + quality.WINDOW].ljust(quality.WINDOW, b"\0")
+            best = np.maximum(best, np.concatenate([p["embed"][c] for c in window]) @ p["filters"])
+        logits.append(np.maximum(best @ p["hidden"] + p["hidden_bias"], 0) @ p["logit"])
+        first += quality.STEP
+    a, b, c = p["combine"]
+    return 1 / (1 + np.exp(-(a * np.mean(logits) + b * min(logits) + c)))
+
+
+@pytest.mark.parametrize("block", [quality.BLOCK, 300])
+def test_scores_equal_a_plain_pass(block, monkeypatch):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    raw = [b"", b"a", b"abc", rng.bytes(8), rng.bytes(448), rng.bytes(449), rng.bytes(512), rng.bytes(513), *(rng.bytes(int(n)) for n in rng.integers(1, 6000, 12))]
+    net = quality.Network(5)
+    assert net.score(raw) == pytest.approx([plain_score(net, r) for r in raw], abs=1e-5)
+
+
+def test_scores_of_a_long_text_in_bounded_memory():
+    import tracemalloc
+
+    net, text = quality.Network(5), "word after word " * 1_300_000  # 20 MB
+    net.score([text[:1000]])
+    tracemalloc.start()
+    long, part = net.score([text, text[: 1 << 20]])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+    assert long == pytest.approx(part, abs=1e-4)
+
+
 def test_gradients():
     net = quality.Network(3)
     raw, y = [b"abcdefgh" * 100, b"zzz", b""], np.array([1, 0, 1], np.float32)
