@@ -78,6 +78,26 @@ def first_by_hash(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
     return rows.orderBy(h, key).limit(n)
 
 
+#: A key held by more than one in SHARE rows is dealt over several parts; there are fewer than SHARE such keys.
+SHARE = 4096
+
+
+def meet(rows: DataFrame, table: DataFrame, on: list[str], place: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a saved ``table`` of one row for each key ``on``, where ``n`` says how many rows have the key.
+
+    A key may have any share of all ``total`` rows: its rows are dealt by ``place`` over as many parts
+    as it has shares of total / SHARE, and its row of the table is sent to each. The keys that this takes are
+    fewer than SHARE by their count, so telling every task of them has a proven bound.
+    """
+    share = max(1, total // SHARE)
+    parts = F.ceil(F.col("n") / share).cast("int")
+    hot = table.where(F.col("n") > share).select(*on, parts.alias("__parts"))
+    dealt = rows.join(F.broadcast(hot), on, "left")
+    dealt = dealt.withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*place), F.col("__parts"))).cast("int"))
+    spread = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
+    return dealt.drop("__parts").join(spread, [*on, "__part"], how).drop("__part")
+
+
 def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), component the smallest id.
 

@@ -44,8 +44,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def words_of(texts: pa.Array, marks: str = "") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-case words of all texts, the offsets of each text's, and which words end in one of ``marks``."""
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lower-case words of all texts, and the offsets of each text's."""
     import xxhash
 
     lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(pc.fill_null(texts, ""))))
@@ -53,17 +53,12 @@ def words_of(texts: pa.Array, marks: str = "") -> tuple[np.ndarray, np.ndarray,
     coded = pc.dictionary_encode(lists.flatten())
     table, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in table), np.uint64, len(table))
-    marked = np.fromiter((w[-1:] in marks for w in table), bool, len(table)) if marks else np.zeros(len(table), bool)
     offsets = np.concatenate([[0], np.cumsum(counts)])
     if "" in table:
         # a text without words splits into one empty word
         keep = codes != table.index("")
         codes, offsets = codes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets]
-    return hashed[codes], offsets, marked[codes]
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return words_of(texts)[:2]
+    return hashed[codes], offsets
 
 
 def shingles(words: np.ndarray, offsets: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:

@@ -3,19 +3,14 @@
 A paragraph is a line of the text. Paragraphs of at least ``LEAST_WORDS`` words are sketched by
 ``BANDS`` x ``ROWS`` MinHashes of their runs of five words (bands tuned for a recall
 of 0.998 at similarity 0.8), joined where a band collides, verified by exact Jaccard
-similarity, and clustered by components. Passages also repeat within paragraphs
-that differ as a whole, so each sentence with at least ``SENTENCE_WORDS`` words is a unit
-of its own, whose one band is its whole word sequence. Of a cluster the first
-place, by doc_id and position, stays; all others are removals.
-
-A place is a document, a line number and a range of the line's words (what white space
-parts); a sentence ends with a word that ends in a full stop, question or exclamation mark,
-and one of more than ``LONG`` words is cut further at words that their hash picks.
-
-Whatever the lines and sentences, every run of ``RUN`` words that stands earlier too, as
-the same words in lower case, is a removal: each window of RUN words picks the least
-hash of its runs of ``GRAM`` words, so equal windows pick the same one. Windows in a row with one
-pick are a range. A range that stands earlier goes as a whole; of ranges that share their
+similarity, and clustered by components. Of a cluster the first place, by doc_id and
+position, stays; all others are removals.
+
+Passages also repeat within paragraphs that differ as a whole, and across lines. So every
+run of ``RUN`` words is a passage too, with one MinHash as its band: each window of RUN words
+picks the least hash of its runs of ``GRAM`` words, so equal windows pick the same one, and
+windows whose picks collide are verified by their whole word sequence (lower case). Windows in a
+row with one pick are a range. A range that stands earlier goes as a whole; of ranges that share their
 pick only, the single windows are compared. Windows in a row with one shift against
 one document are a run, as long as it is equal. A window that overlaps its own first place stays.
 """
@@ -28,14 +23,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, texts
-from .neardup import SIMILARITY, classes, mix, shingles, words_of
+from .common import Workspace, meet, slices, texts
+from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
 
 BANDS, ROWS = 12, 4
-LEAST_WORDS, SENTENCE_WORDS = 12, 8
-SALTS = 4
-#: A sentence of more words than LONG is also cut behind one word in ANCHOR.
-LONG, ANCHOR = 40, 16
+LEAST_WORDS = 12
 #: Words of the shortest run that is found wherever it stands, and of the runs that its windows pick from.
 RUN, GRAM = 50, 16
 #: Rows of the table of units: units, ranges, and the line offsets of documents of RUN words.
@@ -62,20 +54,6 @@ def min_hashes(hashed: np.ndarray, offsets: np.ndarray, n: int = BANDS * ROWS) -
     return out
 
 
-def _spans(words: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end word of every sentence, and its line; ends marks words that close one, sizes are the lines' words."""
-    edge = ends.copy()
-    edge[np.cumsum(sizes)[sizes > 0] - 1] = True
-    stop = np.flatnonzero(edge) + 1
-    length = np.diff(stop, prepend=0)
-    # text without stops is cut behind words that their own hash picks, wherever it stands
-    edge |= (np.repeat(length, length) > LONG) & (words % np.uint64(ANCHOR) == 0)
-    stop = np.flatnonzero(edge) + 1
-    start = np.concatenate([[0], stop])[: len(stop)]
-    line = np.repeat(np.arange(len(sizes)), sizes)
-    return start, stop, line[start] if len(start) else start
-
-
 def _run_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit hashes of each range of words: sums over the words mixed with their places."""
     sizes = stop - start
@@ -128,11 +106,11 @@ def ranges(words: np.ndarray, doc_at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _lines_of(batch: pa.RecordBatch):
-    """Lines of each document, the words of all, offsets of each line's and of each document's, which words end a sentence."""
+    """Lines of each document, the words of all, offsets of each line's and of each document's."""
     lists = pc.split_pattern(batch.column("text"), "\n")
     per_doc = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    words, at, ends = words_of(lists.flatten(), ".!?")
-    return per_doc, words, at, at[np.concatenate([[0], np.cumsum(per_doc)])], ends
+    words, at = word_hashes(lists.flatten())
+    return per_doc, words, at, at[np.concatenate([[0], np.cumsum(per_doc)])]
 
 
 def _place(word: np.ndarray, at: np.ndarray, per_doc: np.ndarray, doc: np.ndarray) -> list[pa.Array]:
@@ -144,7 +122,7 @@ def _place(word: np.ndarray, at: np.ndarray, per_doc: np.ndarray, doc: np.ndarra
 def units(docs: DataFrame) -> DataFrame:
     """Rows of three kinds.
 
-    UNIT: doc_id, line, first and end word, the words' 128-bit hash (h1, h2), and a whole paragraph's band keys (null for a sentence).
+    UNIT: doc_id, line, first and end word of a paragraph, the words' 128-bit hash (h1, h2), and its band keys.
     RANGE: first word's line and place in it, lo and hi (first words of its windows, from the document's begin), its hash h1 and its pick's h2.
     LINES: in keys, how many words of the document stand before each line, and in all.
     """
@@ -157,7 +135,7 @@ def units(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
-            per_doc, words, at, doc_at, ends = _lines_of(batch)
+            per_doc, words, at, doc_at = _lines_of(batch)
             ids = batch.column("doc_id")
             doc, lo, hi, whole, pick = ranges(words, doc_at)
             if len(doc):
@@ -170,29 +148,21 @@ def units(docs: DataFrame) -> DataFrame:
                 before = at[flat] - np.repeat(doc_at[held], n)
                 yield rows(LINES, {"doc_id": ids.take(pa.array(held)), "keys": pa.ListArray.from_arrays(pa.array(np.append(begin, n.sum()).astype(np.int32)), pa.array(before))}, len(held))
             sizes = np.diff(at)
-            start, stop, line = _spans(words, sizes, ends)
-            # a paragraph of one sentence is a unit once
-            several = np.bincount(line, minlength=len(sizes)) > 1
-            keep = (stop - start >= SENTENCE_WORDS) & (several[line] | (sizes[line] < LEAST_WORDS))
             whole = np.flatnonzero(sizes >= LEAST_WORDS)
-            start, stop, line = (np.concatenate(x) for x in ((start[keep], at[whole]), (stop[keep], at[whole + 1]), (line[keep], whole)))
-            h1, h2 = _run_hashes(words, start, stop)
-            counts = np.zeros(len(start), np.int32)
-            keys = np.empty(0, np.int64)
-            if len(whole):
-                n = sizes[whole]
-                picked = np.repeat(at[whole] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                sketch = min_hashes(*shingles(words[picked], np.concatenate([[0], np.cumsum(n)]))).reshape(len(whole), BANDS, ROWS)
-                key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sketch.shape[:2]).copy()
-                for k in range(ROWS):
-                    key = mix(key ^ sketch[:, :, k].astype(np.uint64))
-                keys = key.view(np.int64).reshape(-1)
-                counts[len(start) - len(whole) :] = BANDS
-            doc = np.repeat(np.arange(len(per_doc)), per_doc)
-            first = (np.cumsum(per_doc) - per_doc)[doc]
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), mask=np.concatenate([counts == 0, [False]]))
-            columns = [ids.take(pa.array(doc[line])), pa.array((line - first[line]).astype(np.int32)), pa.array((start - at[line]).astype(np.int32)), pa.array((stop - at[line]).astype(np.int32)), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(offsets, pa.array(keys))]
-            yield rows(UNIT, zip(names, columns), len(start))
+            if not len(whole):
+                continue
+            h1, h2 = _run_hashes(words, at[whole], at[whole + 1])
+            n = sizes[whole]
+            picked = np.repeat(at[whole] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            sketch = min_hashes(*shingles(words[picked], np.concatenate([[0], np.cumsum(n)]))).reshape(len(whole), BANDS, ROWS)
+            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), sketch.shape[:2]).copy()
+            for k in range(ROWS):
+                key = mix(key ^ sketch[:, :, k].astype(np.uint64))
+            doc = np.repeat(np.arange(len(per_doc)), per_doc)[whole]
+            line = whole - (np.cumsum(per_doc) - per_doc)[doc]
+            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1, dtype=np.int32) * BANDS), pa.array(key.view(np.int64).reshape(-1)))
+            columns = {"doc_id": ids.take(pa.array(doc)), "line": pa.array(line.astype(np.int32)), "first": pa.array(np.zeros(len(whole), np.int32)), "end": pa.array(n.astype(np.int32)), "h1": pa.array(h1), "h2": pa.array(h2), "keys": keys}
+            yield rows(UNIT, columns, len(whole))
 
     return texts(docs).mapInArrow(run, _UNITS)
 
@@ -202,7 +172,7 @@ def _windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
-            per_doc, words, at, doc_at, _ = _lines_of(batch)
+            per_doc, words, at, doc_at = _lines_of(batch)
             found = batch.column("cuts")
             doc = np.repeat(np.arange(len(batch)), pc.list_value_length(found).to_numpy(zero_copy_only=False))
             lo, hi = (found.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) + doc_at[doc] for c in ("lo", "hi"))
@@ -265,69 +235,68 @@ def _pieces(batches):
 def _later_runs(ws: Workspace, docs: DataFrame, found: DataFrame, gone: DataFrame) -> DataFrame:
     """Rows like those of ``repeats`` for runs of RUN words and more that ``gone`` doesn't hold already."""
     every = found.where(F.col("kind") == RANGE).select("doc_id", "line", "first", "h1", "h2", "lo", "hi")
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salt = F.pmod(F.xxhash64("doc_id", "lo"), F.lit(SALTS)).cast("int")
     place = F.min(F.struct("doc_id", "lo", "line", "first")).alias("keep")
     again = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("lo") - F.col("keep.lo") >= RUN)
     keep = [F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("doc_id", "lo", "line", "first")]
-    picks = every.groupBy("h2").agg(F.count("*").alias("n"), (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1").select("h2", "mixed")
-    met = ws.save(every.withColumn("salt", salt).join(picks.withColumn("salt", parts), ["h2", "salt"]), "ranges")
-    kept = met.groupBy("h1", "h2").agg(place)
-    met = ws.save(met.join(kept.withColumn("salt", parts), ["h1", "h2", "salt"]).withColumn("again", again), "ranges_kept")
-    ws.drop("ranges")
+    count = F.count("*").alias("n")
+    total = found.count()
+    picks = ws.save(every.groupBy("h2").agg(count, (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1"), "picks")
+    met = ws.save(meet(every, picks, ["h2"], ["doc_id", "lo"], total), "ranges")
+    kept = ws.save(met.groupBy("h1", "h2").agg(count, place), "kept")
+    met = ws.save(meet(ws.load("ranges", met.schema), kept, ["h1", "h2"], ["doc_id", "lo"], total).withColumn("again", again), "ranges_kept")
+    ws.drop("picks", "ranges", "kept")
     whole = met.where("again").select("doc_id", "lo", (F.col("hi") + RUN).alias("stop"), *keep)
     windows = ws.save(_windows(docs, met.where("mixed and not again").select("doc_id", "lo", "hi")), "windows")
-    twice = windows.groupBy("h").agg(F.count("*").alias("n"), place).where("n > 1").select("h", "keep")
-    single = windows.withColumn("salt", salt).join(twice.withColumn("salt", parts), ["h", "salt"]).where(again).select("doc_id", "lo", (F.col("lo") + RUN).alias("stop"), *keep)
+    twice = ws.save(windows.groupBy("h").agg(count, place).where("n > 1"), "twice")
+    single = meet(windows, twice, ["h"], ["doc_id", "lo"], windows.count()).where(again).select("doc_id", "lo", (F.col("lo") + RUN).alias("stop"), *keep)
     later = whole.unionAll(single).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "stop", "keep_doc_id", "keep_lo", "keep_line", "keep_first")).alias("found"))
     lines = found.where(F.col("kind") == LINES).select("doc_id", F.col("keys").alias("before")).dropDuplicates(["doc_id"])
     removed = gone.groupBy("doc_id").agg(F.collect_list(F.struct("line", "first", "end")).alias("gone"))
     out = later.join(lines, "doc_id").join(removed, "doc_id", "left").select("doc_id", "found", "before", "gone")
     out = out.mapInArrow(_pieces, "doc_id long, line int, first int, end int, keep_doc_id long, keep_line int, keep_first int")
-    return out.select("doc_id", "line", "first", "end", F.xxhash64("keep_doc_id", "keep_line", "keep_first").alias("cluster"), "keep_doc_id", "keep_line", "keep_first")
+    return out.select("doc_id", "line", "first", "end", F.xxhash64("keep_doc_id", "keep_line", "keep_first").alias("cluster"), F.lit(1.0).alias("similarity"), "keep_doc_id", "keep_line", "keep_first")
 
 
 def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """One row per removal: doc_id, line, first, end (words, end exclusive), cluster, keep_doc_id, keep_line, keep_first.
+    """One row per removal: doc_id, line, first, end (words, end exclusive), cluster, similarity, keep_doc_id, keep_line, keep_first.
 
-    cluster names the component; keep_* are its first place. Paragraphs and
-    sentences under the least number of words take no part but in runs of RUN words. Of such a run each line that
+    cluster names the component; keep_* are its first place; similarity is the largest verified Jaccard similarity
+    of the paragraph to another of its cluster (1 for equal ones and for runs). Paragraphs under the least
+    number of words take part in runs of RUN words only. Of such a run each line that
     isn't removed already is a row, and keep_* is where the run begins at its first place; null and empty texts have none;
     rows that repeat a doc_id count as places of it.
     """
     ws = Workspace(spark, "repeats")
     table = ws.save(units(docs), "units")
     found = table.where(F.col("kind") == UNIT).drop("kind", "lo", "hi")
-    paragraphs = found.where("keys is not null")
-    buckets = ws.save(paragraphs.select(F.explode("keys").alias("key"), F.col("h1").alias("id")).distinct(), "buckets")
+    buckets = ws.save(found.select(F.explode("keys").alias("key"), F.col("h1").alias("id")).distinct(), "buckets")
 
     def units_of(ids: DataFrame) -> DataFrame:
-        places = paragraphs.select(F.col("h1").alias("id"), "doc_id", "line").dropDuplicates(["id"]).join(ids, "id", "left_semi")
+        places = found.select(F.col("h1").alias("id"), "doc_id", "line").dropDuplicates(["id"]).join(ids, "id", "left_semi")
         wanted = places.groupBy("doc_id").agg(F.collect_list(F.struct("id", "line")).alias("cuts"))
         cut = texts(docs).join(wanted, "doc_id").select(F.split("text", "\n").alias("lines"), F.explode("cuts").alias("c"))
         return cut.select("c.id", F.get("lines", F.col("c.line")).alias("text")).dropDuplicates(["id"])
 
-    cc, _ = classes(ws, buckets, units_of, threshold, multiset=False)
-    cc = ws.save(cc, "components")
+    cc, links = classes(ws, buckets, units_of, threshold, multiset=False)
+    near = links.select(F.explode(F.array("a", "b")).alias("h1"), "sim").groupBy("h1").agg(F.max("sim").alias("sim"))
+    label = ws.save(cc.withColumnRenamed("id", "h1").join(near, "h1"), "components")
     ws.drop("buckets")
     # word sequences that occur twice, and those of components
-    twice = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    linked = paragraphs.select("h1", "h2").distinct().join(cc.select(F.col("id").alias("h1")), "h1", "left_semi")
-    label = cc.select(F.col("id").alias("h1"), "component")
-    clusters = twice.unionAll(linked).distinct().join(label, "h1", "left").select("h1", "h2", F.coalesce("component", "h1").alias("cluster"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("part"))
-    # a word sequence or cluster may hold any share of the places: what is known of it is sent to SALTS parts of them
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salt = F.pmod(F.xxhash64("doc_id", "line", "first"), F.lit(SALTS)).cast("int")
-    members = found.drop("keys").withColumn("salt", salt).join(clusters.withColumn("salt", parts), ["h1", "h2", "salt"])
-    members = ws.save(members.drop("h1", "h2"), "members")
-    keep = members.groupBy("cluster", "part").agg(F.min(F.struct("doc_id", "line", "first", "end")).alias("keep"))
-    out = members.join(keep.withColumn("salt", parts), ["cluster", "part", "salt"])
-    other = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line")) | (F.col("first") != F.col("keep.first")) | (F.col("end") != F.col("keep.end"))
-    out = out.where(other).select("doc_id", "line", "first", "end", "cluster", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.col("keep.first").alias("keep_first"))
+    place = F.min(F.struct("doc_id", "line")).alias("place")
+    sequences = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), place).join(label, "h1", "left").where("n > 1 or component is not null")
+    sequences = sequences.select("h1", "h2", "n", "place", F.coalesce("component", "h1").alias("cluster"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("part"), F.when(F.col("n") > 1, 1.0).otherwise(F.col("sim")).alias("similarity"))
+    sequences = ws.save(sequences, "sequences")
+    clusters = ws.save(sequences.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.min("place").alias("keep")), "clusters")
+    kept = meet(sequences.withColumnRenamed("n", "places"), clusters, ["cluster", "part"], ["h1", "h2"], sequences.count())
+    kept = ws.save(kept.select("h1", "h2", F.col("places").alias("n"), "cluster", "similarity", "keep"), "sequences_kept")
+    # a word sequence may hold any share of the places
+    out = meet(found.drop("keys"), kept, ["h1", "h2"], ["doc_id", "line"], table.count())
+    other = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line"))
+    out = out.where(other).select("doc_id", "line", "first", "end", "cluster", "similarity", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.lit(0).alias("keep_first"))
     out = ws.save(out, "removals")
-    ws.drop("members")
+    ws.drop("sequences", "clusters", "sequences_kept", "components")
     runs = ws.save(_later_runs(ws, docs, table, out), "runs")
-    ws.drop("units", "ranges_kept", "windows")
+    ws.drop("units", "ranges_kept", "windows", "twice")
     return out.unionAll(runs)
 
 

@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
-import xxhash
 
 from storeloom.llm import ann, binary, bpe, lines, minhash, neardup, packing, pii, quality, substring, webp
 from storeloom.llm.common import Workspace, components
@@ -15,7 +14,7 @@ from storeloom.llm.tokens import default_path, tokenizer
 
 WORD, BYTE = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
 PROSE = "the quick brown fox jumps over the lazy dog while seven wise men watch from afar and write all of it down."
-PASSAGE = "Every passage that stands in two documents is written out here once more. It has several sentences of a fair length, so that it is found."
+PASSAGE = "Every passage that stands in two documents is written out here once more. It has several sentences of a fair length, so that it is found. " + " ".join(f"part{i}" for i in range(30))
 
 
 def texts():
@@ -207,17 +206,8 @@ def brute_repeats(rows, threshold=0.8):
     for doc_id, text, *_ in rows:
         for n, line in enumerate((text or "").split("\n")):
             words = line.lower().split()
-            ends = [i + 1 for i, w in enumerate(words) if w[-1] in ".!?" or i == len(words) - 1]
-            for a, b in zip([0, *ends], list(ends)):
-                if b - a > substring.LONG:
-                    ends += [i + 1 for i in range(a, b) if xxhash.xxh3_64_intdigest(words[i]) % substring.ANCHOR == 0]
-            ends = sorted(set(ends))
             if len(words) >= substring.LEAST_WORDS:
-                places.append((doc_id, n, 0, len(words), tuple(words), True))
-            if len(ends) > 1 or len(words) < substring.LEAST_WORDS:
-                for a, b in zip([0, *ends], ends):
-                    if b - a >= substring.SENTENCE_WORDS:
-                        places.append((doc_id, n, a, b, tuple(words[a:b]), False))
+                places.append((doc_id, n, 0, len(words), tuple(words)))
     parent = list(range(len(places)))
 
     def find(x):
@@ -225,11 +215,10 @@ def brute_repeats(rows, threshold=0.8):
             x = parent[x]
         return x
 
-    whole = {p[4] for p in places if p[5]}
-    bags = {w: neardup.bag(" ".join(w)) for w in whole}
+    bags = {p[4]: neardup.bag(" ".join(p[4])) for p in places}
     for i, j in itertools.combinations(range(len(places)), 2):
         a, b = places[i][4], places[j][4]
-        if a == b or (a in whole and b in whole and neardup.set_jaccard(bags[a], bags[b]) >= threshold):
+        if a == b or neardup.set_jaccard(bags[a], bags[b]) >= threshold:
             x, y = find(i), find(j)
             parent[max(x, y)] = min(x, y)
     groups = defaultdict(list)
@@ -240,8 +229,11 @@ def brute_repeats(rows, threshold=0.8):
 
 def test_repeats(spark, docs, rows, empty):
     frame = docs.dropDuplicates(["doc_id"])
-    got = {tuple(r[c] for c in ("doc_id", "line", "first", "end", "keep_doc_id", "keep_line", "keep_first")) for r in substring.repeats(spark, frame).collect()}
-    assert got == brute_repeats(rows)
+    found = substring.repeats(spark, frame).collect()
+    got = {tuple(r[c] for c in ("doc_id", "line", "first", "end", "keep_doc_id", "keep_line", "keep_first")) for r in found}
+    units = brute_repeats(rows)
+    assert units <= got and all(r.similarity >= neardup.SIMILARITY for r in found)
+    assert {(d, n, k) for d, n, a, b, *_ in got for k in range(a, b)} == {(d, n, k) for d, n, a, b, *_ in units for k in range(a, b)} | brute_runs(rows)
     passage = {r[0] for r in got}
     assert 20 * 3 in passage and 19 * 3 not in passage
     left = by_id(substring.remove(spark, frame))
@@ -360,8 +352,8 @@ def test_pipeline(spark, docs, rows, tmp_path):
 def brute_runs(rows, size=50):
     """Words, as (doc_id, line, place), of windows of ``size`` words that stand earlier too and don't overlap their first place."""
     first, gone = {}, set()
-    for doc_id, text in sorted(rows):
-        words = [(w, n, k) for n, line in enumerate(text.split("\n")) for k, w in enumerate(line.lower().split())]
+    for doc_id, text, *_ in sorted(rows, key=lambda r: r[0]):
+        words = [(w, n, k) for n, line in enumerate((text or "").split("\n")) for k, w in enumerate(line.lower().split())]
         for a in range(len(words) - size + 1):
             d, b = first.setdefault(tuple(w for w, *_ in words[a : a + size]), (doc_id, a))
             if d != doc_id or a - b >= size:
