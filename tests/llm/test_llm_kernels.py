@@ -533,4 +533,7 @@ def test_gradients():
 
 
 def test_without():
-    assert lines._without(["a", "", "b", "c"], [0, 2, 3], [True, False, True]) == ("\nb", 2, 2, 1)
+    at = lambda *runs: [{"start": a, "size": n} for a, n in runs]
+    assert lines._without(["a", "", "b", "c"], [0, 2, 3], at((0, 1), (2, 1))) == ("\nb", 2, 2, 1)
+    assert lines._without(list("abcdef"), range(6), at((0, 2), (1, 2), (3, 1), (5, 1))) == ("e", 5, 2, 4)
+    assert lines._without(["a"], [0], []) == ("a", 0, 0, 0)

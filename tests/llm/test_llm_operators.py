@@ -279,31 +279,83 @@ def test_packing(spark, docs, rows, empty):
     assert packing.best_fit_pack(spark, empty, WORD).count() == 0
 
 
-def brute_lines(rows):
-    seen, cut = {1: set(), 2: set()}, defaultdict(set)
-    for doc_id, text, *_ in sorted(rows, key=lambda r: r[0]):
-        held = [(i, x) for i, x in enumerate((text or "").split("\n")) if x.strip()]
-        for size in (1, 2):
+def brute_lines(rows, depth=1 << 30):
+    """Texts without their repeats, and the repeats: chains of windows of 1, 2, 4, ... lines that are copies with one shift against their first places."""
+    texts = {d: [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r")] for d, t, *_ in rows}
+    chains, size = defaultdict(list), 1
+    while size <= depth and any(len(x) >= size for x in texts.values()):
+        seen = {}
+        for d in sorted(texts):
+            held, open_ = texts[d], None
             for k in range(len(held) - size + 1):
-                window = tuple(x for _, x in held[k : k + size])
-                if window in seen[size] and (size == 2 or len(window[0].split()) >= lines.LEAST_WORDS):
-                    cut[doc_id] |= {i for i, _ in held[k : k + size]}
-                seen[size].add(window)
-    return {d: "\n".join(x for i, x in enumerate((t or "").split("\n")) if i not in cut[d]) for d, t, *_ in rows}
+                first = seen.setdefault(tuple(x for _, x in held[k : k + size]), (d, k))
+                if first == (d, k):
+                    open_ = None
+                elif open_ and (open_[2], open_[3] - open_[0]) == (first[0], first[1] - k):
+                    open_[1] = k + size
+                else:
+                    open_ = [k, k + size, *first]
+                    chains[d].append(open_)
+        size *= 2
+    out, said = {}, {}
+    for d, text, *_ in rows:
+        enough = {tuple(c) for c in chains[d] if sum(len(x.strip(" \t\r")) for _, x in texts[d][c[0] : c[1]]) >= lines.LEAST_CHARS}
+        outer = sorted(c for c in enough if not any(o[:2] != c[:2] and o[0] <= c[0] and c[1] <= o[1] for o in enough))
+        gone = {i for a, b, *_ in outer for i, _ in texts[d][a:b]}
+        out[d] = "\n".join(x for i, x in enumerate((text or "").split("\n")) if i not in gone)
+        said[d] = ",".join(f"{a}:{b - a}:{fd}:{fp}" for a, b, fd, fp in outer)
+    return out, said
 
 
 def test_lines(spark, docs, rows, empty):
-    want = brute_lines(rows)
+    want, said = brute_lines(rows)
     got = by_id(lines.report(spark, docs))
     assert {d: r.text_sha256 for d, r in got.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+    assert {d: r.repeats for d, r in got.items()} == said
     left = lines.deduplicate(spark, docs)
     assert left.columns == docs.columns and left.count() == len(rows) + 1
     r = by_id(left)
     assert {d: x.text or "" for d, x in r.items()} == want and r[0].text is None
-    assert r[66].text == "start\nend" and r[69].text == "alpha\ngamma"
     assert lines.report(spark, empty).count() == lines.deduplicate(spark, empty).count() == 0
 
 
+def mixed_runs():
+    """Runs of many depths, copied from random places, of lines so short that the depth decides."""
+    rng = np.random.default_rng(12)
+    source = ["".join(rng.choice(list("abc"), rng.integers(1, 3))) for _ in range(60)]
+    rows = [(i, "\n".join(rng.choice(source, rng.integers(0, 6)))) for i in range(20)]
+    rows.append((20, "\n".join(source)))
+    for i in range(21, 45):
+        parts = []
+        for _ in range(rng.integers(1, 4)):
+            a, n = rng.integers(0, 50), rng.integers(1, 24)
+            parts += source[a : a + n] + (["  "] if rng.random() < 0.3 else []) + [f"only here {i}"] * int(rng.integers(0, 2))
+        rows.append((i, "\n".join(parts)))
+    rows += [(50, "\n".join(["x"] * 40)), (51, "\n".join(["x"] * 25)), (52, "日本\n語の\n文章は\nここ"), (53, "前\n日本\n語の\n文章は\nここ")]
+    return rows
+
+
+def test_depth_of_lines_decides(spark):
+    rows = mixed_runs()
+    want, said = brute_lines(rows)
+    # the same rule with windows of one and two lines only leaves more
+    assert brute_lines(rows, 2)[0] != want and brute_lines(rows, 4)[0] != want
+    got = by_id(lines.report(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {d: r.repeats for d, r in got.items()} == said
+    assert {d: r.text_sha256 for d, r in got.items()} == {d: hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+
+
+def test_lines_equal_their_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = mixed_runs()
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])  # noqa: F841
+    want = {r[0]: r for r in duckdb.sql(lines.ORACLE).fetchall()}
+    got = {r.doc_id: tuple(r) for r in lines.report(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_suffix_order(spark):
     """Ranks order the suffixes as their sequences of line ids do."""
     rng = np.random.default_rng(7)
