@@ -7,9 +7,10 @@ the id-to-piece table, whose size is the vocabulary's. The table is a block's
 and not the corpus's, as a join over the corpus would shuffle a row for each
 word occurrence, several times the input.
 
-Words are split in Spark only for texts of plain Latin letters, digits and
-punctuation; on others Java's, Python's and the library's Unicode tables may
-differ, so they go through the library as a whole.
+Spark splits texts of plain Latin letters, digits and punctuation into the
+tokenizer's words. On other characters Java's, Python's and the library's Unicode tables may
+differ, so it splits other texts at white space only, and the library encodes each distinct
+chunk that holds such a character.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, texts
-from .tokens import default_path, tokenizer
+from .tokens import CHUNK, default_path, tokenizer
 
 BLOCK_BYTES = 6 << 20
 #: The complement of the alphabet that the rank table takes (tokens.py), in Java's syntax.
@@ -32,14 +33,17 @@ SCHEMA = "doc_id long, n_tokens long, ids binary, decoded binary"
 
 
 def split_words(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, words (null where the library takes the whole text), text (null elsewhere)."""
+    """doc_id and words: the tokenizer's words, or chunks that CHUNK marks."""
     tok = tokenizer(path)
     text = F.col("text")
-    plain = ~text.rlike(_NOT_PLAIN) if tok.fast and tok.by_word else F.lit(False)
+    if not (tok.parts and tok.by_word):
+        return texts(docs).select("doc_id", F.array(F.concat(F.lit(CHUNK), text)).alias("words"))
+    plain = ~text.rlike(_NOT_PLAIN)
     for special in tok.special:
         plain = plain & ~F.contains(text, F.lit(special))
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({getattr(tok, 'pattern', '.')})"), F.lit(1))
-    return texts(docs).select("doc_id", F.when(plain, words).alias("words"), F.when(~plain, text).alias("text"))
+    words = F.regexp_extract_all(F.lower(text), F.lit(f"({tok.pattern})"), F.lit(1))
+    chunks = F.transform(F.split(text, "[ \\t\\n\\r]+"), lambda x: F.concat(F.lit(CHUNK), x))
+    return texts(docs).select("doc_id", F.when(plain, words).otherwise(chunks).alias("words"))
 
 
 class _Pieces:
@@ -67,10 +71,13 @@ def _run(path: str, digest: bool):
         tok = tokenizer(path)
         pieces = _Pieces(tok)
         for batch in batches:
-            for block in slices(slices([batch], "words", BLOCK_BYTES), "text", BLOCK_BYTES):
+            for block in slices([batch], "words", BLOCK_BYTES):
                 words = block.column("words")
-                counts = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-                ids, offsets = tok.by_position(words.flatten(), counts, block.column("text").to_pylist())
+                counts = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+                if tok.by_word and tok.fast:
+                    ids, offsets = tok.by_position(words.flatten(), counts)
+                else:
+                    ids, offsets = tok.encode_many([w[len(CHUNK) :] for w in words.flatten().to_pylist()])
                 decoded = pieces.decode(ids, offsets)
                 raw = [ids[a:b].astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:])]
                 lengths = pa.array(np.diff(offsets), pa.int64())

@@ -1,10 +1,11 @@
 """Token ids of whole texts, equal to the tokenizers library's, at a few times its speed.
 
-The tokenizer's own file is the only source. Texts of Latin letters, digits and
+The tokenizer's own file is the only source. Words of Latin letters, digits and
 common punctuation go through a rank table made from that file's vocabulary
-and merges (byte-pair merging by tiktoken, one call a text); any other text, and
-any that holds the string of a special token, goes through the tokenizers
-library itself. tests/llm holds both paths against each other.
+and merges (byte-pair merging by tiktoken, one call a text). Only the words with another
+character, or with the string of a special token, go through the tokenizers
+library itself, each distinct one of a block once: a text is parted where no match
+of the tokenizer's pattern can run on, which is at white space. tests/llm holds both paths against each other.
 """
 
 from __future__ import annotations
@@ -27,7 +28,15 @@ def default_path(name: str) -> str:
 
 
 #: Characters on which the libraries' Unicode tables and normalisations can't differ.
-_PLAIN = re.compile("[^\t\n\r -~¡-įı-ɏ]")
+_NOT_PLAIN = "[^\t\n\r -~¡-įı-ɏ]"
+_PLAIN = re.compile(_NOT_PLAIN)
+#: White space that parts a text for the word tokenizer, and a space that begins a word for the byte tokenizer:
+#: what stands on both sides of it is white space in no version of Unicode.
+_SPACE = re.compile("[ \t\n\r]+")
+_SOLID = "[^\x00- \x7f-\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u206f\u3000\ufeff]"
+_BEGIN = re.compile(f"(?<={_SOLID}) (?={_SOLID})")
+#: Stands before a chunk that isn't normalised nor parted into words yet; not in _PLAIN either.
+CHUNK = "\x01"
 #: Closes a word in the rank table; not in _PLAIN, so never part of a text there.
 _END = "\x00"
 
@@ -82,10 +91,14 @@ class FastTokenizer:
 
             self.fast = self.fast and spec["normalizer"] is None and bool(steps) and steps[0].get("use_regex") and not steps[0]["add_prefix_space"]
             rule = public_tokenizers.PATTERN
-        self._ranked = tiktoken.Encoding("ranked", pat_str=rule, mergeable_ranks=ranks, special_tokens={}) if self.fast else None
-        self.ends = np.zeros(self.vocab_size, bool)
+        #: Whether an id ends a word.
+        self._closes = np.zeros(self.vocab_size, bool)
         if self.by_word:
-            self.ends[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+            self._closes[[i for piece, i in model["vocab"].items() if piece.endswith(suffix)]] = True
+        self._ranked = tiktoken.Encoding("ranked", pat_str=rule, mergeable_ranks=ranks, special_tokens={}) if self.fast else None
+        self._odd = re.compile("|".join([_NOT_PLAIN, *map(re.escape, self.special)]))
+        # a special token that takes white space about it, or holds some, leaves no place to part a text at
+        self.parts = self.fast and not any(t["lstrip"] or t["rstrip"] or t["normalized"] or _SPACE.search(t["content"]) for t in spec["added_tokens"])
 
     def plain(self, text: str) -> bool:
         """Whether the rank table gives the ids of this text."""
@@ -93,55 +106,79 @@ class FastTokenizer:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as uint32."""
-        if not self.plain(text):
-            return self.slow(text)
-        if self._words is None:
-            return self._ranked.encode_to_numpy(text)
-        words = self._words(text.lower())
-        return self.encode_words(words) if words else np.empty(0, np.uint32)
-
-    def encode_words(self, words: list[str]) -> np.ndarray:
-        """Ids of plain, normalised words, one after the other; each word's last id is in ``ends``."""
-        return self._ranked.encode_to_numpy(_END.join(words) + _END)
+        return self.encode_many([text])[0]
+
+    def words(self, text: str) -> list[str]:
+        """The words of a plain text; of another, its chunks between white space, each marked by CHUNK."""
+        if self.plain(text):
+            return self._words(text.lower())
+        if not self.parts:
+            return [CHUNK + text]
+        return [CHUNK + x for x in _SPACE.split(text) if x]
+
+    def segments(self, text: str) -> list[tuple[str, bool]]:
+        """A text for the byte tokenizer as runs of plain words, and as single words that aren't plain (True)."""
+        odd = [m.start() for m in self._odd.finditer(text)]
+        if not odd and self.fast:
+            return [(text, False)]
+        if not self.parts:
+            return [(text, True)]
+        cuts = np.array([0, *(m.start() for m in _BEGIN.finditer(text)), len(text)])
+        out, done = [], 0
+        for k in np.unique(np.searchsorted(cuts, odd, "right") - 1).tolist():
+            a, b = int(cuts[k]), int(cuts[k + 1])
+            if done < a:
+                out.append((text[done:a], False))
+            out.append((text[a:b], True))
+            done = b
+        return out + ([(text[done:], False)] if done < len(text) else [])
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts one after the other, and the offsets of each; a distinct word is encoded once."""
-        if not self.by_word or not self.fast:
-            parts = [self.encode(t) for t in texts]
-            return np.concatenate([np.empty(0, np.uint32), *parts]), np.cumsum([0, *map(len, parts)])
-        words: list[str] = []
-        counts, whole = [], []
-        for text in texts:
-            plain = self.plain(text)
-            found = self._words(text.lower()) if plain else []
-            words += found
-            counts.append(len(found))
-            whole.append(None if plain else text)
-        return self.by_position(pa.array(words, pa.string()), np.array(counts, np.int64), whole)
-
-    def by_position(self, words: pa.Array, counts: np.ndarray, whole: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Joins the ids of a table of distinct words back to where the words stand.
-
-        counts: words of each text; whole: texts that the library takes as they are, null elsewhere.
-        """
+        if self.by_word:
+            found = [self.words(t) if self.fast else [CHUNK + t] for t in texts]
+            return self.by_position(pa.array([w for x in found for w in x], pa.string()), np.array([len(x) for x in found], np.int64))
+        found = [self.segments(t) for t in texts]
+        table = list({x: None for parts in found for x, odd in parts if odd})
+        slow = dict(zip(table, self.slow(table)))
+        parts = [slow[x] if odd else self._ranked.encode_to_numpy(x) for parts in found for x, odd in parts]
+        ends = np.cumsum([0, *map(len, parts)])
+        return np.concatenate([np.empty(0, np.uint32), *parts]), ends[np.cumsum([0, *map(len, found)])]
+
+    def by_position(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Joins the ids of a table of distinct words and chunks back to where they stand; counts: words of each text."""
         coded = pc.dictionary_encode(words)
-        table = coded.dictionary.to_pylist()
-        ids = self.encode_words(table).astype(np.uint32) if table else np.empty(0, np.uint32)
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        starts = np.concatenate([[0], ends])[: len(ends)].astype(np.int64)
-        lengths = ends - starts
+        ids, starts, lengths = self._table(coded.dictionary.to_pylist())
         codes = coded.indices.to_numpy()
         each = lengths[codes]
         before = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
         flat = ids[np.repeat(starts[codes] - before[:-1], each) + np.arange(before[-1])]
-        offsets = before[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
-        if all(t is None for t in whole):
-            return flat, offsets
-        parts = [flat[a:b] if t is None else self.slow(t) for a, b, t in zip(offsets, offsets[1:], whole)]
-        return np.concatenate([flat[:0], *parts]), np.cumsum([0, *map(len, parts)])
-
-    def slow(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return flat, before[np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)]
+
+    def _table(self, table: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words and chunks, and where each one's begin and how many they are."""
+        chunks = [w[1:] for w in table if w.startswith(CHUNK)]
+        plain = [self._words(c.lower()) if self.plain(c) else None for c in chunks]
+        each = [x if x is not None else [] for x in plain]
+        rest = iter(each)
+        parted = [next(rest) if w.startswith(CHUNK) else [w] for w in table]
+        flat = [w for x in parted for w in x]
+        ids = self._ranked.encode_to_numpy(_END.join(flat) + _END) if flat else np.empty(0, np.uint32)
+        ends = np.concatenate([[0], np.flatnonzero(self._closes[ids]) + 1]).astype(np.int64) if flat else np.zeros(1, np.int64)
+        at = np.cumsum([0, *map(len, parted)])
+        starts, lengths = ends[at[:-1]], ends[at[1:]] - ends[at[:-1]]
+        odd = [i for i, w in enumerate(table) if w.startswith(CHUNK)]
+        odd = [i for i, x in zip(odd, plain) if x is None]
+        if odd:
+            slow = self.slow([table[i][1:] for i in odd])
+            sizes = np.array([len(x) for x in slow], np.int64)
+            starts[odd], lengths[odd] = len(ids) + np.cumsum(sizes) - sizes, sizes
+            ids = np.concatenate([ids, *slow])
+        return ids.astype(np.uint32), starts, lengths
+
+    def slow(self, texts: list[str]) -> list[np.ndarray]:
+        """The library's own ids."""
+        return [np.array(x.ids, dtype=np.uint32) for x in self.library.encode_batch(texts, add_special_tokens=False)] if texts else []
 
     def pieces(self) -> list[str]:
         """The piece of each id."""
