@@ -7,9 +7,12 @@ Streams whose one prefix-code group is complete decode in lockstep, a step
 for a token in each of thousands of streams (``decode_many``).
 
 Texts are stored as pixels of four bytes (alpha, red, green, blue), 16 pixels a
-row. The encoder writes entropy-coded literals under one fixed prefix code,
-places in a colour cache, back-references for runs of equal pixels, and no transform: neighbouring
-bytes of a text don't predict each other as neighbouring samples of a picture do.
+row, in files of ``TILE`` bytes of payload at most, one after the other, so that a long text fills as many
+lanes as short ones do. Each file is written in the form that takes the fewest bytes: as it is, after
+subtracting green, after a predictor (left or top), after a cross-colour transform, or under a
+palette. All but the last have entropy-coded literals under one of two fixed prefix codes (of prose, of
+differences), places in a colour cache, and back-references for runs of equal pixels; a palette
+has codes of its own. Prose stays as it is; texts that repeat themselves and short ones do not.
 """
 
 from __future__ import annotations
@@ -229,6 +232,17 @@ def predict(mode: int, left, top, right, corner):
 
 
 def inverse_predictor(pixels: np.ndarray, width: int, modes: np.ndarray, shift: int) -> np.ndarray:
+    if (modes == modes[0]).all() and modes[0] in (1, 2):
+        # one mode that looks left or up only: sums of bytes, which wrap around
+        image = channels(pixels.reshape(-1, width))
+        image[0, 0] += np.array([255, 0, 0, 0], np.uint8)
+        if modes[0] == 1:
+            image[:, 0] = np.cumsum(image[:, 0], axis=0, dtype=np.uint8)
+            image = np.cumsum(image, axis=1, dtype=np.uint8)
+        else:
+            image[0] = np.cumsum(image[0], axis=0, dtype=np.uint8)
+            image = np.cumsum(image, axis=0, dtype=np.uint8)
+        return join_channels(image).reshape(-1)
     image = channels(pixels.reshape(-1, width)).astype(int)
     across = (width + (1 << shift) - 1) >> shift
     black = np.array([255, 0, 0, 0])
@@ -292,8 +306,8 @@ def vp8l(data: bytes) -> bytes:
     raise ValueError("no lossless image in the file")
 
 
-def decode(data: bytes) -> np.ndarray:
-    """(height, width, 4) alpha, red, green, blue of a lossless WebP file."""
+def _begin(data: bytes):
+    """A file's bits after its transforms, width and height of the coded image, and the steps from its pixels to the picture's."""
     bits = Bits(vp8l(data))
     if bits.read(8) != 0x2F:
         raise ValueError("bad VP8L signature")
@@ -301,7 +315,7 @@ def decode(data: bytes) -> np.ndarray:
     opaque = not bits.read(1)
     if bits.read(3):
         raise ValueError("unknown VP8L version")
-    full, steps, seen = width, [], set()
+    steps, seen = [], set()
     while bits.read(1):
         kind = bits.read(2)
         if kind in seen:
@@ -323,13 +337,21 @@ def decode(data: bytes) -> np.ndarray:
             packed = 3 if n <= 2 else 2 if n <= 4 else 1 if n <= 16 else 0
             before, width = width, (width + (1 << packed) - 1) >> packed
             steps.append(lambda p, w=width, f=before, t=table, k=packed: inverse_palette(p, w, f, t, k))
-    pixels = read_pixels(bits, width, height, True)
+    if opaque:
+        steps.insert(0, lambda p: p | np.uint32(0xFF000000))
+    return bits, width, height, steps
+
+
+def _finish(pixels: np.ndarray, steps) -> np.ndarray:
     for step in reversed(steps):
         pixels = step(pixels)
-    image = channels(pixels.reshape(height, full))
-    if opaque:
-        image[..., 0] = 255
-    return image
+    return pixels
+
+
+def decode(data: bytes) -> np.ndarray:
+    """(height, width, 4) alpha, red, green, blue of a lossless WebP file."""
+    bits, width, height, steps = _begin(data)
+    return channels(_finish(read_pixels(bits, width, height, True), steps).reshape(height, -1))
 
 
 # --- the encoder of texts -------------------------------------------------------------------
@@ -363,23 +385,42 @@ def byte_weights() -> list[int]:
     return out
 
 
-WIDTH, TALLEST = 16, 16_383
+#: Pixels a row, and bytes of payload of the largest file.
+WIDTH, TILE = 16, 1 << 14
 #: A run this long of one pixel is a back-reference; longer ones are cut.
 RUN_LEAST, RUN_MOST = 8, 4096
 #: The colour cache's size, and how often a pixel is expected there (in parts of all green symbols).
 CACHE_BITS, CACHED = 8, 0.1
 DEPTH = 13
+PLAIN, GREEN, LEFT, TOP, CROSS = range(5)
+#: Pixels unlike their predecessor in the longest file that is tried under a palette.
+CHANGES = 64
+#: One block of a transform is the whole file.
+_WHOLE = 7
 
 
-@lru_cache(maxsize=1)
-def text_code():
-    """The encoder's fixed code: literal bytes, run lengths, places in the cache, the distance of the pixel before; and the header that states it."""
-    weights = byte_weights()
+def difference_weights() -> list[int]:
+    return [4000 // (1 + min(d, 256 - d)) ** 2 + 4 for d in range(256)]
+
+
+@lru_cache(maxsize=8)
+def text_code(form: int = PLAIN):
+    """A form's fixed code: literal bytes, run lengths, places in the cache, the distance of the pixel before; and the header that states it."""
+    weights = difference_weights() if form else byte_weights()
     cached = [max(1, round(sum(weights) * CACHED / (1 - CACHED) / (1 << CACHE_BITS)))] * (1 << CACHE_BITS)
     green = code_lengths(weights + [1] * LENGTHS + cached, DEPTH)
     other = code_lengths(weights, DEPTH)
     writer = Writer()
-    writer.put(0, 1)  # no transform
+    if form == GREEN:
+        writer.put(1 | SUBTRACT_GREEN << 1, 3)
+    elif form in (LEFT, TOP):
+        writer.put(1 | PREDICTOR << 1 | _WHOLE << 3, 6)
+        writer.pixel(0xFF000000 | (1 if form == LEFT else 2) << 8)
+    elif form == CROSS:
+        writer.put(1 | CROSS_COLOUR << 1 | _WHOLE << 3, 6)
+        # red to blue by 32 / 32, no other
+        writer.pixel(0xFF000000 | 32 << 16)
+    writer.put(0, 1)  # no more transforms
     writer.put(1, 1)  # a colour cache
     writer.put(CACHE_BITS, 4)
     writer.put(0, 1)  # one group of codes
@@ -404,15 +445,41 @@ class Writer:
         self.put(symbol > 1, 1)
         self.put(symbol, 8 if symbol > 1 else 1)
 
+    def pixel(self, value: int) -> None:
+        """An image of one pixel: no cache, and codes of one symbol each."""
+        self.put(0, 1)
+        for shift in (8, 16, 0, 24):
+            self.single(value >> shift & 255)
+        self.single(0)
+
     def code(self, lengths) -> None:
-        """A normal code of code lengths, each length written as itself under a five-bit-at-most code."""
+        """A code of one or two symbols, or code lengths under a code of their own, with runs of zeros."""
         used = [s for s, n in enumerate(lengths) if n]
         if len(used) <= 1:
             self.single(used[0] if used else 0)
             return
+        if len(used) == 2 and used[1] < 256:
+            self.put(0b111, 3)
+            self.put(used[0], 8)
+            self.put(used[1], 8)
+            return
+        # (symbol, extra bits, how many)
+        tokens, at = [], 0
+        while at < len(lengths):
+            end = at
+            while end < len(lengths) and not lengths[end] and end - at < 138:
+                end += 1
+            if end - at >= 11:
+                tokens.append((18, end - at - 11, 7))
+            elif end - at >= 3:
+                tokens.append((17, end - at - 3, 3))
+            else:
+                end = at + 1
+                tokens.append((lengths[at], 0, 0))
+            at = end
         counts = [0] * 19
-        for n in lengths:
-            counts[n] += 1
+        for symbol, *_ in tokens:
+            counts[symbol] += 1
         if sum(1 for c in counts if c) == 1:
             counts[0 if counts[0] == 0 else 1] += 1
         own = code_lengths(counts, 7)
@@ -422,8 +489,9 @@ class Writer:
             self.put(own[k], 3)
         self.put(0, 1)
         codes = canonical(own)
-        for n in lengths:
-            self.put(*codes[n])
+        for symbol, extra, n in tokens:
+            self.put(*codes[symbol])
+            self.put(extra, n)
 
     def bytes(self) -> bytes:
         return np.packbits(np.frombuffer(bytes(self.bits), np.uint8), bitorder="little").tobytes()
@@ -438,19 +506,17 @@ def length_prefix(n: int) -> tuple[int, int, int]:
     return 2 * top + half, (n - 1) & ((1 << (top - 1)) - 1), top - 1
 
 
-@lru_cache(maxsize=1)
-def _tables():
-    green, other, header = text_code()
+@lru_cache(maxsize=8)
+def _tables(form: int):
+    green, other, header = text_code(form)
     g, o = canonical(green), canonical(other)
     arr = lambda x: np.array(x, np.uint64)
     return arr([c for c, _ in g]), arr([n for _, n in g]), arr([c for c, _ in o]), arr([n for _, n in o]), np.frombuffer(bytes(header.bits), np.uint8)
 
 
 def shape(n: int) -> tuple[int, int]:
-    """Width and height of the image of n payload bytes (a multiple of 64)."""
-    rows = n // (4 * WIDTH)
-    wide = -(-rows // TALLEST)
-    return WIDTH * wide, -(-rows // wide)
+    """Width and height of the picture of n payload bytes (a multiple of 64), over all its files."""
+    return WIDTH, n // (4 * WIDTH)
 
 
 def pad(raw: bytes) -> bytes:
@@ -471,11 +537,47 @@ def _scatter(codes: np.ndarray, sizes: np.ndarray, total: int) -> np.ndarray:
     return out.view(np.uint8)[: (total + 7) // 8]
 
 
-def encode(payload: bytes) -> bytes:
-    """A lossless WebP file of a payload of a multiple of 64 bytes; the same payload gives the same file."""
-    gc, gn, oc, on, header = _tables()
-    width, height = shape(len(payload))
-    px = np.frombuffer(payload.ljust(4 * width * height, b"\0"), np.uint8).reshape(-1, 4)  # alpha, red, green, blue
+def _rows(payload: bytes) -> np.ndarray:
+    """(rows, WIDTH, 4) alpha, red, green, blue."""
+    return np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 4)
+
+
+def transformed(rows: np.ndarray, form: int, firsts=(0,)) -> np.ndarray:
+    """What a form codes in place of the rows; a file begins at each of the rows ``firsts``."""
+    if form == PLAIN:
+        return rows
+    out = rows.copy()
+    if form == GREEN:
+        out[..., 1] -= rows[..., 2]
+        out[..., 3] -= rows[..., 2]
+    elif form == CROSS:
+        out[..., 3] -= rows[..., 1]
+    else:
+        firsts = np.asarray(firsts)
+        if form == LEFT:
+            out[:, 1:] -= rows[:, :-1]
+            out[1:, 0] -= rows[:-1, 0]
+        else:
+            out[1:] -= rows[:-1]
+            out[firsts, 1:] = rows[firsts, 1:] - rows[firsts, :-1]
+        out[firsts, 0] = rows[firsts, 0] - np.array([255, 0, 0, 0], np.uint8)
+    return out
+
+
+def _riff(chunk: bytes) -> bytes:
+    odd = len(chunk) & 1
+    return b"RIFF" + (12 + len(chunk) + odd).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + chunk + b"\0" * odd
+
+
+def _top(width: int, height: int) -> int:
+    """8 bits of signature, width, height, alpha used, version."""
+    return 0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36
+
+
+def write_file(rows: np.ndarray, form: int) -> bytes:
+    """One WebP file of the rows in a form with a fixed code."""
+    gc, gn, oc, on, header = _tables(form)
+    px = transformed(rows, form).reshape(-1, 4)
     a, r, g, b = px.T
     gl, rl, bl = gn[g], on[r], on[b]
     codes = gc[g] | oc[r] << gl | oc[b] << (gl + rl) | oc[a] << (gl + rl + bl)
@@ -504,68 +606,177 @@ def encode(payload: bytes) -> bytes:
                 keep[at + 1 : at + n] = False
                 at, left = at + n, left - n
         codes, sizes = codes[keep], sizes[keep]
-    # 8 bits of signature, width, height, alpha used, version; then the code; then the tokens
-    top = 0x2F | (width - 1) << 8 | (height - 1) << 22 | 1 << 36
+    top = _top(WIDTH, len(rows))
     lead = np.concatenate([np.unpackbits(np.frombuffer(top.to_bytes(5, "little"), np.uint8), bitorder="little"), header])
     cut = len(lead) & 7
     tail = np.uint64(int.from_bytes(np.packbits(lead[len(lead) - cut :], bitorder="little").tobytes() or b"\0", "little"))
     codes, sizes = np.concatenate([[tail], codes]), np.concatenate([[cut], sizes])
-    chunk = np.packbits(lead[: len(lead) - cut], bitorder="little").tobytes() + _scatter(codes, sizes, int(sizes.sum())).tobytes()
-    odd = len(chunk) & 1
-    return b"RIFF" + (12 + len(chunk) + odd).to_bytes(4, "little") + b"WEBPVP8L" + len(chunk).to_bytes(4, "little") + chunk + b"\0" * odd
+    return _riff(np.packbits(lead[: len(lead) - cut], bitorder="little").tobytes() + _scatter(codes, sizes, int(sizes.sum())).tobytes())
+
+
+def _small_image(writer: Writer, words: list[int], main: bool) -> None:
+    """An image under codes of its own, runs as back-references to the pixel before."""
+    writer.put(0, 2 if main else 1)
+    tokens, at = [], 0
+    while at < len(words):
+        end = at
+        while at and end < len(words) and words[end] == words[at - 1] and end - at < RUN_MOST:
+            end += 1
+        if end - at > 2:
+            tokens.append(length_prefix(end - at))
+            at = end
+        else:
+            tokens.append(words[at])
+            at += 1
+    tables = []
+    for k, shift in enumerate((8, 16, 0, 24)):
+        counts = [0] * (256 if k else 256 + LENGTHS)
+        for t in tokens:
+            if isinstance(t, int):
+                counts[t >> shift & 255] += 1
+            elif not k:
+                counts[256 + t[0]] += 1
+        several = sum(1 for c in counts if c) > 1
+        lengths = code_lengths(counts, 15) if several else [int(c > 0) for c in counts]
+        writer.code(lengths)
+        tables.append((shift, canonical(lengths) if several else None))
+    writer.single(1)
+    for t in tokens:
+        if isinstance(t, int):
+            for shift, codes in tables:
+                if codes:
+                    writer.put(*codes[t >> shift & 255])
+        else:
+            writer.put(*tables[0][1][256 + t[0]])
+            writer.put(t[1], t[2])
 
 
-# --- decoding many streams at once -----------------------------------------------------------
+@lru_cache(maxsize=4096)
+def write_palette(payload: bytes) -> bytes | None:
+    """A WebP file of the payload under a palette, None if it has over 256 colours."""
+    words = np.frombuffer(payload, ">u4")
+    table, index = np.unique(words, return_inverse=True)
+    if len(table) > 256:
+        return None
+    packed = 3 if len(table) <= 2 else 2 if len(table) <= 4 else 1 if len(table) <= 16 else 0
+    each = index.reshape(-1, 1 << packed) << np.arange(1 << packed) * (8 >> packed)
+    deltas = channels(table.astype(np.uint32))
+    deltas[1:] -= deltas[:-1].copy()
+    writer = Writer()
+    writer.put(_top(WIDTH, len(words) // WIDTH), 40)
+    writer.put(1 | PALETTE << 1, 3)
+    writer.put(len(table) - 1, 8)
+    _small_image(writer, join_channels(deltas).tolist(), False)
+    writer.put(0, 1)
+    _small_image(writer, (each.sum(1) << 8).tolist(), True)
+    return _riff(writer.bytes())
+
+
+def tiles(payload: bytes) -> list[bytes]:
+    return [payload[a : a + TILE] for a in range(0, len(payload), TILE)]
+
+
+def files(data: bytes) -> list[bytes]:
+    """The files that stand one after the other in a stored form."""
+    out, at = [], 0
+    while at < len(data):
+        end = at + 8 + int.from_bytes(data[at + 4 : at + 8], "little")
+        out.append(data[at:end])
+        at = end
+    return out
 
 
-def _open(data: bytes):
-    """(chunk, bits at the codes, width, height, cache bits) of a stream with one group of codes and no transform, else None."""
-    chunk = vp8l(data)
-    bits = Bits(chunk)
-    if bits.read(8) != 0x2F:
-        raise ValueError("bad VP8L signature")
-    width, height = bits.read(14) + 1, bits.read(14) + 1
-    if not bits.read(1) or bits.read(3) or bits.read(1):
-        return None
-    cache_bits = bits.read(4) if bits.read(1) else 0
-    if cache_bits > 11 or bits.read(1):
-        return None
-    return chunk, bits, width, height, cache_bits
+def _promising(parts: list[bytes]) -> np.ndarray:
+    """(forms, parts) whether a form may be smaller than PLAIN, by the lengths of its literals outside of runs; the last row is for the palette."""
+    rows = _rows(b"".join(parts))
+    sizes = np.array([len(p) // (4 * WIDTH) for p in parts])
+    firsts = np.cumsum(sizes) - sizes
+    cost = np.empty((5, len(parts)))
+    for form in range(5):
+        _, gn, _, on, _ = _tables(form)
+        px = transformed(rows, form, firsts).reshape(-1, 4)
+        each = gn[px[:, 2]].astype(np.uint8) + on.astype(np.uint8)[px[:, 0]] + on.astype(np.uint8)[px[:, 1]] + on.astype(np.uint8)[px[:, 3]]
+        word = np.ascontiguousarray(px).view(np.uint32).ravel()
+        new = np.append(True, word[1:] != word[:-1])
+        new[firsts * WIDTH] = True
+        cost[form] = np.add.reduceat(np.where(new, each, 0), firsts * WIDTH, dtype=np.int64)
+        if form == PLAIN:
+            changes = np.add.reduceat(new.astype(np.int64), firsts * WIDTH)
+    return np.vstack([cost < cost[PLAIN], changes <= CHANGES])
+
+
+def encode_many(payloads: list[bytes]) -> list[bytes]:
+    """The stored form of each payload of a multiple of 64 bytes; the same payload gives the same form."""
+    parted = [tiles(p) for p in payloads]
+    flat = [t for parts in parted for t in parts]
+    if not flat:
+        return []
+    hopeful = _promising(flat)
+    made = []
+    for k, tile in enumerate(flat):
+        rows = _rows(tile)
+        found = [write_file(rows, form) for form in (PLAIN, *np.flatnonzero(hopeful[:5, k]).tolist())]
+        if hopeful[5, k] and (small := write_palette(tile)):
+            found.append(small)
+        # of equally short ones the first
+        made.append(min(found, key=len))
+    rest = iter(made)
+    return [b"".join(next(rest) for _ in parts) for parts in parted]
 
 
-_known: dict[bytes, tuple] = {}
+def encode(payload: bytes) -> bytes:
+    return encode_many([payload])[0]
+
+
+# --- decoding many streams at once -----------------------------------------------------------
 
 
-def _codes(chunk: bytes, bits: Bits, cache_bits: int):
-    """The stream's five codes and where its tokens begin; codes of a header that was read before are reused."""
-    for raw, (codes, size) in _known.items():
-        if chunk[5 : 5 + len(raw) - 1] == raw[:-1] and (chunk[4 + len(raw)] ^ raw[-1]) & ((1 << ((size & 7) or 8)) - 1) == 0:
-            return codes, 40 + size
+_known: dict[tuple[int, int, int], list] = {}
+
+
+def _codes(bits: Bits, cache_bits: int):
+    """The five codes that begin here; those of a header that was read before are reused."""
+    at = bits.at
+    for (raw, size, cache), codes in _known.items():
+        if cache == cache_bits and int.from_bytes(bits.data[at >> 3 : (at + size + 7) >> 3], "little") >> (at & 7) & ((1 << size) - 1) == raw:
+            bits.at += size
+            return codes
     codes = [read_code(bits, n) for n in (256 + LENGTHS + (1 << cache_bits if cache_bits else 0), 256, 256, 256, DISTANCES)]
-    size = bits.at - 40
-    if len(_known) < 16:
-        _known[chunk[5 : 5 + (size + 7) // 8]] = (codes, size)
-    return codes, bits.at
+    if len(_known) < 16 and all(c.single is None for c in codes[:4]):
+        size = bits.at - at
+        _known[int.from_bytes(bits.data[at >> 3 : (bits.at + 7) >> 3], "little") >> (at & 7) & ((1 << size) - 1), size, cache_bits] = codes
+    return codes
+
 
+#: Pixels that are decoded in lockstep at once.
+LOCKSTEP = 1 << 22
 
-def decode_many(files: list[bytes]) -> list[np.ndarray]:
-    """The pixels (n, 4) of each file; those under one fixed code group decode in lockstep."""
-    out: list = [None] * len(files)
+
+def decode_many(data: list[bytes]) -> list[np.ndarray]:
+    """The pixels (n, 4) of each file; those under one group of codes, of four that aren't of one symbol, decode in lockstep."""
+    out: list = [None] * len(data)
     lanes: dict[int, list] = {}
     held = {}
-    for i, data in enumerate(files):
-        opened = _open(data)
-        if opened:
-            chunk, bits, width, height, cache_bits = opened
-            codes, at = _codes(chunk, bits, cache_bits)
+    for i, file in enumerate(data):
+        bits, width, height, steps = _begin(file)
+        cache_bits = bits.read(4) if bits.read(1) else 0
+        if cache_bits <= 11 and not bits.read(1):
+            codes = _codes(bits, cache_bits)
             if all(c.single is None for c in codes[:4]):
                 held[id(codes)] = codes, cache_bits
-                lanes.setdefault(id(codes), []).append((i, chunk, at, width, height))
+                lanes.setdefault(id(codes), []).append((i, bits.data[:-8], bits.at, width, height, steps))
                 continue
-        out[i] = decode(data).reshape(-1, 4)
+        out[i] = decode(file).reshape(-1, 4)
     for key, group in lanes.items():
-        for (i, *_), pixels in zip(group, _lockstep(*held[key], [x[1:] for x in group])):
-            out[i] = pixels
+        group.sort(key=lambda x: x[3] * x[4])
+        at = 0
+        while at < len(group):
+            end, room = at + 1, LOCKSTEP - group[at][3] * group[at][4]
+            while end < len(group) and (room := room - group[end][3] * group[end][4]) >= 0:
+                end += 1
+            for (i, *_, steps), pixels in zip(group[at:end], _lockstep(*held[key], [x[1:5] for x in group[at:end]])):
+                out[i] = channels(_finish(join_channels(pixels), steps)) if steps else pixels
+            at = end
     return out
 
 
@@ -668,14 +879,18 @@ SCHEMA = "doc_id long, n_bytes long, width int, height int, media binary"
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, width, height and the lossless WebP file of every whole text (null: empty)."""
+    """doc_id, n_bytes, width, height and the lossless WebP files of every whole text, one after the other.
+
+    A null text is an empty one, repeated rows give repeated rows, other columns are ignored; a text of any length
+    takes files of TILE bytes at most.
+    """
 
     def run(batches):
         for batch in slices(batches):
             raw = [t.encode() for t in batch.column("text").to_pylist()]
             padded = [pad(x) for x in raw]
             sides = [shape(len(p)) for p in padded]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([w for w, _ in sides], pa.int32()), pa.array([h for _, h in sides], pa.int32()), pa.array([encode(p) for p in padded], pa.binary())], names=["doc_id", "n_bytes", "width", "height", "media"])
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([w for w, _ in sides], pa.int32()), pa.array([h for _, h in sides], pa.int32()), pa.array(encode_many(padded), pa.binary())], names=["doc_id", "n_bytes", "width", "height", "media"])
 
     return texts(docs).mapInArrow(run, SCHEMA)
 
@@ -686,18 +901,25 @@ FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 def features(media: DataFrame) -> DataFrame:
     """What the stored files hold: the payload decoded from their pixels, digests, and a feature.
 
-    feature: the image's size and the mean of each channel of all its samples, in thousandths.
+    feature: the picture's size and the mean of each channel of all its samples, in thousandths.
     """
 
     def run(batches):
         for batch in slices(batches, "media"):
             rows = batch.to_pydict()
             out = {k.split(" ")[0]: [] for k in FEATURES.split(", ")}
-            for doc_id, n, w, h, media, pixels in zip(*rows.values(), decode_many(rows["media"])):
-                size = max(64, -(-n // 64) * 64)
-                payload = pixels.tobytes()[:size]
-                means = pixels.sum(0, dtype=np.int64) * 1000 // len(pixels)
-                values = (doc_id, n, size, hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{w}x{h}:" + ",".join(map(str, means)))
+            parted = [files(x) for x in rows["media"]]
+            decoded = iter(decode_many([f for parts in parted for f in parts]))
+            for doc_id, n, w, h, media, parts in zip(*rows.values(), parted):
+                digest, tail, size, total = hashlib.sha256(), b"", 0, np.zeros(4, np.int64)
+                for _ in parts:
+                    pixels = next(decoded)
+                    tail = pixels.tobytes()
+                    digest.update(tail)
+                    size += len(tail)
+                    total += pixels.sum(0, dtype=np.int64)
+                means = total * 4000 // size
+                values = (doc_id, n, size, digest.hexdigest(), zlib.crc32(tail[-64:]), len(media), hashlib.sha256(media).hexdigest(), f"{w}x{h}:" + ",".join(map(str, means)))
                 for column, v in zip(out.values(), values):
                     column.append(v)
             yield pa.record_batch([pa.array(v, pa.string() if k.endswith("sha256") or k == "feature" else pa.int64()) for k, v in out.items()], names=list(out))

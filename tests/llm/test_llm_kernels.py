@@ -13,7 +13,7 @@ from storeloom.llm import ann, binary, lines, minhash, neardup, packing, pii, qu
 from storeloom.llm.tokens import default_path, tokenizer
 
 WORD, BYTE = default_path("word_bpe_49k.json"), default_path("byte_bpe_50k.json")
-TEXT = st.text(alphabet=st.sampled_from("aàeth' \n.,12!-ABßéñ<|endoftx>#°²"), max_size=60) | st.text(max_size=30)
+TEXT = st.text(alphabet=st.sampled_from("aàeth' \n.,12!-ABßéñ<|endoftx>#°²"), max_size=60) | st.text(max_size=30) | st.text(alphabet=st.sampled_from("ab 's\u2019\u201c\u3000\xa0\u0301ЖжΣς日\x1c\x85\u200b\n\t1٣😀<|endoftext|>"), max_size=40)
 
 
 @pytest.mark.parametrize("path", [WORD, BYTE])
@@ -32,6 +32,11 @@ def test_ids_of_hard_texts(path):
     hard += ["".join(rng.choice("aab") for _ in range(rng.randint(1, 80))) for _ in range(500)]
     for text in hard:
         assert tok.encode(text).tolist() == tok.library.encode(text, add_special_tokens=False).ids, text
+    # one odd character in every text, and texts of other scripts
+    words = ["\u201cIt\u2019s", "the", "naïve", "café\u0301", "слово", "ΣΑΣ", "日本語の文", "😀", "<|endoftext|>now", "x\u00a0y", "\u3000", "--", "2024", "\u0301a", "end.\u201d", "a\u200bb", "İ"]
+    hard += [rng.choice(["", " "]) + "".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\n", " \n\t"]) for _ in range(rng.randint(1, 60))) for _ in range(300)]
+    for text in hard[-300:]:
+        assert tok.encode(text).tolist() == tok.library.encode(text, add_special_tokens=False).ids, text
     flat, offsets = tok.encode_many(hard)
     assert [flat[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [tok.encode(t).tolist() for t in hard]
 
@@ -110,19 +115,68 @@ def payloads():
 def test_payloads_round_trip():
     padded = [webp.pad(p) for p in payloads()]
     assert all(len(p) % 64 == 0 and p for p in padded)
-    files = [webp.encode(p) for p in padded]
-    together = webp.decode_many(files)
-    for p, f, pixels in zip(padded, files, together):
-        assert pixels.tobytes()[: len(p)] == p
-        assert webp.decode(f).tobytes()[: len(p)] == p
-        height, width = webp.decode(f).shape[:2]
-        assert (width, height) == webp.shape(len(p))
-
-
-def test_tall_payload():
-    assert webp.shape(64 * 20_000) == (32, 10_000)
-    p = np.random.default_rng(0).integers(0, 256, 64 * 16_500).astype(np.uint8).tobytes()
-    assert webp.decode_many([webp.encode(p)])[0].tobytes()[: len(p)] == p
+    stored = [webp.encode(p) for p in padded]
+    assert stored == webp.encode_many(padded)
+    parted = [webp.files(x) for x in stored]
+    together = iter(webp.decode_many([f for parts in parted for f in parts]))
+    for p, parts in zip(padded, parted):
+        assert b"".join(next(together).tobytes() for _ in parts) == p
+        assert b"".join(webp.decode(f).tobytes() for f in parts) == p
+        assert [webp.decode(f).shape[:2] for f in parts] == [(len(t) // 64, 16) for t in webp.tiles(p)]
+
+
+def test_every_form_round_trips():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5, 256):
+        payload = rng.choice(list(b"the cat sat"), n * 64).astype(np.uint8).tobytes()
+        made = [webp.write_file(webp._rows(payload), form) for form in range(5)]
+        assert all(webp.decode(f).tobytes() == payload for f in made)
+        assert all(x.tobytes() == payload for x in webp.decode_many(made))
+        if small := webp.write_palette(payload):
+            assert webp.decode(small).tobytes() == payload
+
+
+def forms_of(payload):
+    """The first transform of each stored file, None for none."""
+    out = []
+    for f in webp.files(webp.encode(payload)):
+        bits = webp.Bits(webp.vp8l(f))
+        bits.at = 40
+        out.append(bits.read(2) if bits.read(1) else None)
+    return out
+
+
+def test_forms_are_chosen_where_they_pay():
+    rng = np.random.default_rng(6)
+    assert forms_of(webp.pad(b"")) == [webp.PALETTE] == forms_of(webp.pad(b"two words"))
+    prose = ("The story goes on and on, as stories do. " * 40).encode()
+    assert forms_of(webp.pad(bytes(rng.permutation(list(prose)).astype(np.uint8)))) == [None]
+    line = bytes(rng.integers(0, 256, 64).astype(np.uint8))
+    assert forms_of(line * 200) == [webp.PREDICTOR]
+    steps = np.cumsum(rng.integers(0, 3, (900, 4)), 0).astype(np.uint8).tobytes()
+    assert forms_of(webp.pad(steps)) == [webp.PREDICTOR]
+    grey = np.repeat(rng.integers(0, 256, 1600).astype(np.uint8), 4).tobytes()
+    assert forms_of(webp.pad(grey)) == [webp.SUBTRACT_GREEN]
+    r = rng.integers(0, 256, 1600).astype(np.uint8)
+    blue = np.stack([r * 0, r, rng.integers(0, 256, 1600).astype(np.uint8), r], 1).tobytes()
+    assert forms_of(webp.pad(blue)) == [webp.CROSS_COLOUR]
+
+
+def test_a_long_text_is_as_fast_as_short_ones():
+    import time
+
+    rng = np.random.default_rng(9)
+    text = bytes(rng.choice(list(b" etaoinshrdlu"), 4 << 20).astype(np.uint8))
+    short = [webp.pad(text[a : a + 2048]) for a in range(0, len(text), 2048)]
+
+    def took(payloads):
+        began = time.process_time()
+        stored = webp.encode_many(payloads)
+        webp.decode_many([f for x in stored for f in webp.files(x)])
+        return time.process_time() - began
+
+    took(short[:8])
+    assert took([webp.pad(text)]) < 2 * took(short)
 
 
 def stream(width, height, body):

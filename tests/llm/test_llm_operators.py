@@ -378,6 +378,8 @@ def test_pictures(docs, rows, empty):
         assert r.payload_sha256 == hashlib.sha256(payload).hexdigest() and r.media_sha256 == hashlib.sha256(media).hexdigest()
         assert r.tail_crc32 == zlib.crc32(payload[-64:])
     assert got[12].feature == got[24].feature
+    # a long text, in several files
+    assert len(webp.files(webp.encode(webp.pad(rows[16][1].encode())))) > 1
     assert webp.features(webp.store(empty)).count() == 0
 
 
