@@ -1,8 +1,10 @@
 """Nearest neighbours by an adaptive dimension scan of inverted lists (operator 3).
 
 Equal vectors are one class with its ``KEEP`` least ids, so a vector that holds a large
-part of all rows is searched once. Classes are put in the lists of a k-means fitted
-on ``SAMPLE`` classes at most; every class is indexed. How many lists a query probes
+part of all rows is searched once. Classes are put in lists, as many as the square root of their
+number: those of up to ``LISTS`` centres of a k-means, and beyond that of centre and remainder,
+a second k-means of what the nearest centre leaves. Both are fitted on ``SAMPLE`` classes at most; every
+class is indexed. How many lists a query probes
 is set by the recall that it gives within the sample, whose neighbours are
 farther than all rows' and so need more lists rather than fewer. Unit vectors are turned by a random
 rotation and stored in blocks of ``BLOCK`` columns: after each block a candidate whose
@@ -24,6 +26,8 @@ from .common import Workspace, first_by_hash
 
 NEAREST, KEEP = 5, 6
 SAMPLE, LISTS, ROUNDS = 20_000, 1_024, 10
+#: Remainders of a centre at most: 131,072 lists are the square root of 17 thousand million classes.
+REMAINDERS = 128
 #: Lists are probed until this recall is met among TRIALS vectors of the sample, and LEAST_PROBED at least.
 RECALL, TRIALS, LEAST_PROBED = 0.97, 256, 8
 BLOCK, EPSILON = 16, 2.1
@@ -77,7 +81,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), k, replace=False)]
     for _ in range(ROUNDS):
-        near = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
+        near = nearest_row(x, centres)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         full = np.abs(sums).max(1) > 1e-12
@@ -85,19 +89,63 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     return centres
 
 
-def lists_to_probe(x: np.ndarray, centres: np.ndarray, k: int, seed: int = 5) -> int:
+class Lists:
+    """Centres c and remainders r; list (i, j) is about the point c_i + r_j."""
+
+    def __init__(self, x: np.ndarray, wanted: int):
+        self.centres = kmeans(x, max(1, min(LISTS, wanted, len(x))))
+        self.rest = np.zeros((1, x.shape[1]))
+        n = min(REMAINDERS, round(wanted / len(self.centres)), len(x))
+        if n > 1:
+            left = x - self.centres[nearest_row(x, self.centres)]
+            # the remainders' directions, then their mean lengths
+            full = left[np.abs(left).max(1) > 1e-9]
+            if len(full) >= n:
+                way = kmeans(unit(full), n)
+                own = nearest_row(unit(full), way)
+                length = np.bincount(own, np.sqrt((full * full).sum(1)), n) / np.maximum(np.bincount(own, minlength=n), 1)
+                self.rest = way * length[:, None]
+        self.norms = (self.centres * self.centres).sum(1)[:, None] + 2 * self.centres @ self.rest.T + (self.rest * self.rest).sum(1)
+
+    def __len__(self) -> int:
+        return self.norms.size
+
+    def order(self, x: np.ndarray, count: int) -> np.ndarray:
+        """The ``count`` nearest lists of each unit vector, nearest first."""
+        near = 2 * ((x @ self.centres.T)[:, :, None] + (x @ self.rest.T)[:, None]) - self.norms
+        near = near.reshape(len(x), -1)
+        if count == 1:
+            return near.argmax(1)[:, None].astype(np.int32)
+        some = np.argpartition(-near, count - 1, axis=1)[:, :count] if count < near.shape[1] else np.broadcast_to(np.arange(near.shape[1]), near.shape)
+        turn = np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable")
+        return np.take_along_axis(some, turn, 1).astype(np.int32)
+
+    def orders(self, x: np.ndarray, count: int) -> np.ndarray:
+        """order() in blocks of bounded size."""
+        block = max(1, (1 << 21) // len(self))
+        return np.concatenate([np.empty((0, count), np.int32), *(self.order(x[i : i + block], count) for i in range(0, len(x), block))])
+
+
+def nearest_row(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
+
+
+def lists_to_probe(x: np.ndarray, lists: Lists, k: int, seed: int = 5) -> int:
     """The least number of lists that gives RECALL among some of the sample's own vectors."""
     trials = np.random.default_rng(seed).choice(len(x), min(TRIALS, len(x)), replace=False)
-    home = np.concatenate([(x[i : i + 4096] @ centres.T).argmax(1) for i in range(0, len(x), 4096)])
+    home = lists.orders(x, 1)[:, 0]
     near = x[trials] @ x.T
     near[np.arange(len(trials)), trials] = -np.inf
     k = min(k, len(x) - 1)
     if k < 1:
-        return len(centres)
+        return len(lists)
     best = np.argpartition(-near, k - 1, axis=1)[:, :k]
-    place = np.argsort(np.argsort(-(x[trials] @ centres.T), axis=1), axis=1)
-    need = np.take_along_axis(place, home[best], 1)
-    return min(len(centres), max(LEAST_PROBED, 1 + int(np.quantile(need, RECALL, method="higher"))))
+    need = []
+    for t, found in zip(trials, best):
+        place = np.empty(len(lists), np.int64)
+        place[lists.order(x[t : t + 1], len(lists))[0]] = np.arange(len(lists))
+        need += place[home[found]].tolist()
+    return min(len(lists), max(LEAST_PROBED, 1 + int(np.quantile(need, RECALL, method="higher"))))
 
 
 def rotation(d: int, seed: int = 7) -> np.ndarray:
@@ -135,11 +183,19 @@ def scan(query: np.ndarray, blocks: list[np.ndarray], d: int, k: int) -> np.ndar
     return alive
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows by a power of two each, which is exact, so that no square over- or underflows."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(1, keepdims=True))[1])
+
+
 def cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Cosines in double precision on the vectors as they are."""
-    top, tops = np.abs(q).max(), np.abs(c).max(1, keepdims=True)
-    q, c = q / top, c / tops
-    return np.clip((c @ q) / (np.sqrt((c * c).sum(1)) * math.sqrt(q @ q)), -1.0, 1.0)
+    """Cosines in double precision on the vectors as they are.
+
+    Each row is summed by itself in one fixed order, so that a score is a function of the two vectors
+    whatever stands beside them, and the same for both orders of the pair.
+    """
+    q, c = np.ascontiguousarray(_scaled(q[None])), np.ascontiguousarray(_scaled(c))
+    return np.clip((c * q).sum(1) / np.sqrt((c * c).sum(1) * (q * q).sum(1)), -1.0, 1.0)
 
 
 def _search(d: int, k: int):
@@ -185,17 +241,15 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, k: int
     asked = ws.save(ok.where(F.col("vec_id") % every == 0).mapInArrow(_keys, "vec_id long, v1 long, v2 long"), "asked")
     n = classes.count()
     sample = first_by_hash(classes, "id", SAMPLE, n).select("vec").toPandas()
-    n_lists = max(1, min(LISTS, round(math.sqrt(n)), len(sample)))
     rows = unit(np.frombuffer(b"".join(sample["vec"]), float).reshape(-1, d))
-    centres = kmeans(rows, n_lists)
-    probed = lists_to_probe(rows, centres, k)
+    lists = Lists(rows, round(math.sqrt(n)))
+    probed = lists_to_probe(rows, lists, k)
 
     def near(count: int):
         def run(batches):
             for batch in batches:
                 x = unit(np.frombuffer(b"".join(batch.column("vec").to_pylist()), float).reshape(-1, d))
-                order = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :count].astype(np.int32)
-                yield pa.record_batch([batch.column("id"), batch.column("vec"), pa.array(list(order), pa.list_(pa.int32()))], names=["id", "vec", "lists"])
+                yield pa.record_batch([batch.column("id"), batch.column("vec"), pa.array(list(lists.orders(x, count)), pa.list_(pa.int32()))], names=["id", "vec", "lists"])
 
         return run
 
@@ -203,7 +257,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, k: int
     listed = ws.save(classes.select("id", "vec").mapInArrow(near(1), kind).select("id", "vec", F.get("lists", F.lit(0)).alias("list")), "listed")
     query_classes = asked.select("v1", "v2").distinct().join(classes, ["v1", "v2"]).select("id", "vec")
     query = ws.save(query_classes.mapInArrow(near(probed), kind).select(F.col("id").alias("query"), "vec", F.explode("lists").alias("list")), "queries")
-    # one row a list, LISTS at most
+    # one row a list, LISTS * REMAINDERS at most
     cuts = listed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts")).join(query.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("rounds")), "list")
     cuts = F.broadcast(cuts)
     c = listed.join(cuts, "list").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("round", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
