@@ -18,6 +18,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ CAPACITY, REGION, ISLANDS, EPOCHS = 2048, 8192, 2, 3
 POPULATION, GENERATIONS = 6, 12
 FULL = 0.99
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: ``row`` numbers the rows of the table of pieces, so that pieces alike in all else are dealt apart too.
+_NUMBERED = f"{PIECES}, row long"
 
 
 class Bins:
@@ -159,8 +162,8 @@ def _islands(capacity: int, epoch: int):
 def pack_round(ws: Workspace, pieces: DataFrame, n: int, name: str, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
     """Pieces with their region and bin, packed in regions of about REGION."""
     regions = max(1, math.ceil(n / REGION))
-    row = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
-    dealt = pieces.withColumn("region", F.pmod(F.xxhash64("doc_id", "piece", F.lit(name)), F.lit(regions)))
+    row = F.struct("length", "doc_id", "piece", "start", "ids_crc32", "row")
+    dealt = pieces.withColumn("region", F.pmod(F.xxhash64("row", F.lit(name)), F.lit(regions)))
     grouped = ws.save(dealt.groupBy("region").agg(F.sort_array(F.collect_list(row)).alias("rows")), f"{name}_regions")
     state = (
         grouped.select("region", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("rows.length").alias("lengths"), F.lit(None).cast("binary").alias("packing"))
@@ -190,49 +193,51 @@ def pack_round(ws: Workspace, pieces: DataFrame, n: int, name: str, capacity: in
                 offset = np.empty_like(before)
                 offset[order] = before - before[firsts]
                 fill = np.bincount(bins, lengths)[bins].astype(np.int64)
-                cols = [flat.field(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-                yield pa.record_batch([*cols, pa.array([region.as_py()] * len(bins), pa.int64()), pa.array(bins.astype(np.int64)), pa.array(offset), pa.array(fill)], names=["doc_id", "piece", "start", "length", "ids_crc32", "region", "bin", "offset", "fill"])
+                names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
+                cols = [flat.field(c) for c in names]
+                yield pa.record_batch([*cols, pa.array([region.as_py()] * len(bins), pa.int64()), pa.array(bins.astype(np.int64)), pa.array(offset), pa.array(fill)], names=[*names, "region", "bin", "offset", "fill"])
 
-    return grouped.join(best, "region").select("region", "rows", "packing").mapInArrow(place, f"{PIECES}, region long, bin long, offset long, fill long")
+    return grouped.join(best, "region").select("region", "rows", "packing").mapInArrow(place, f"{_NUMBERED}, region long, bin long, offset long, fill long")
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """The pieces of every document: its ids and ``end_id``, cut only where they exceed ``capacity``."""
+    """The pieces of every document: its ids and ``end_id``, cut only where they exceed ``capacity``; and a number for each."""
 
     def run(batches):
-        tok = tokenizer(path)
-        for batch in slices(batches, "text", 8 << 20):
-            out = [[] for _ in range(5)]
+        tok, row = tokenizer(path), TaskContext.get().partitionId() << 40
+        for batch in slices(batches, "text", 4 << 20):
+            out = [[] for _ in range(6)]
             flat, offsets = tok.encode_many(batch.column("text").to_pylist())
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets, offsets[1:]):
                 ids = np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]
-                    for col, v in zip(out, (doc_id, k, at, len(piece), zlib.crc32(piece.tobytes()))):
+                    for col, v in zip(out, (doc_id, k, at, len(piece), zlib.crc32(piece.tobytes()), row)):
                         col.append(v)
-            yield pa.record_batch([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    row += 1
+            yield pa.record_batch([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(out)], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return texts(docs).mapInArrow(run, PIECES)
+    return texts(docs).mapInArrow(run, _NUMBERED)
 
 
 def best_fit_pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece.
 
     Null texts are empty (one piece, the end id), repeated rows are packed as
-    often as they occur, an empty table gives no rows; other columns are ignored.
+    often as they occur, any number of rows may share a doc_id or have none, an empty table gives no rows; other columns are ignored.
     """
     ws = Workspace(spark, "packing")
     pieces = ws.save(cut(docs, path, capacity, end_id), "pieces")
     n = pieces.count()
     if not n:
-        return pieces.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+        return pieces.drop("row").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     first = ws.save(pack_round(ws, pieces, n, "first", capacity), "placed")
     short = first.where(F.col("fill") < int(capacity * FULL))
     left = short.count()
     again = pack_round(ws, short.select(pieces.columns), max(left, 1), "again", capacity)
     key = lambda level: (F.col("region") * (1 << 21) + F.col("bin")) * 2 + level
     kept = first.where(F.col("fill") >= int(capacity * FULL)).withColumn("sequence_id", key(0))
-    return kept.unionByName(again.withColumn("sequence_id", key(1))).select(*pieces.columns, "sequence_id", "offset")
+    return kept.unionByName(again.withColumn("sequence_id", key(1))).select(*pieces.drop("row").columns, "sequence_id", "offset")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
