@@ -106,16 +106,14 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     a count and a checksum per round.
     """
     spark = ws.spark
-    ordered = (
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    )
+    ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, last, step = ws.save(ordered, f"{name}_0"), None, 0
     while True:
+        total = current.count()
         both = current.select("u", "v").unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        )
+        least = ws.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), f"{name}_least_{step}")
+        # a node may have any share of all edges
+        large = meet(both.where("v > u"), least, ["u"], ["v"], 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = ws.save(large, f"{name}_large_{step}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
@@ -127,7 +125,7 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
         )
         step += 1
         small = ws.save(small, f"{name}_{step}")
-        ws.drop(f"{name}_{step - 1}", f"{name}_large_{step - 1}")
+        ws.drop(f"{name}_{step - 1}", f"{name}_large_{step - 1}", f"{name}_least_{step - 1}")
         now = small.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break

@@ -19,11 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, slices, texts
+from .common import Workspace, meet, slices, texts
 from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
 
 BANDS, ROWS = 25, 5
-SALTS = 16
 REGISTERS = BANDS * ROWS
 #: Arrivals drawn at a time after the first.
 AHEAD = 4
@@ -89,7 +88,7 @@ def sign(docs: DataFrame) -> DataFrame:
     """doc_id, a 128-bit hash of its word sequence (h1, h2), its band keys (none without words)."""
 
     def run(batches):
-        for batch in slices(batches, "text", 8 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             words, at = word_hashes(batch.column("text"))
             hashed, offsets = shingles(words, at)
             keys = band_keys(signatures(hashed, offsets))
@@ -114,26 +113,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     copies of each other); class_id: the least doc_id of its component of links of
     similarity ``threshold`` or more; n_links: links of its text to different texts
     that were verified to find the classes. Null texts are empty, rows that repeat a
-    doc_id repeat its row, an empty table gives none.
+    doc_id repeat its row, an empty table gives none; other columns are ignored. Of a doc_id with several texts the least
+    by order of strings is compared. A row without a doc_id is never another's first: it gets the class of
+    the documents with its words, null where there is none.
     """
     ws = Workspace(spark, "near_duplicates")
     signed = ws.save(sign(docs), "signed")
-    # copies of one text may be any share of the rows: what is known of the text is sent to SALTS parts of them
-    copies = signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = copies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = signed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    known = salted.join(copies, ["h1", "h2", "salt"], "left").withColumn("exact_id", F.coalesce("first", "doc_id"))
+    # copies of one text may be any share of the rows
+    copies = ws.save(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    known = meet(signed, copies, ["h1", "h2"], ["doc_id"], signed.count(), "left").withColumn("exact_id", F.coalesce("first", "doc_id"))
     exact = ws.save(known.select("doc_id", "exact_id", F.when(F.col("doc_id") == F.col("exact_id"), F.col("keys")).alias("keys")), "exact")
     buckets = ws.save(exact.where("keys is not null").select(F.explode("keys").alias("key"), F.col("exact_id").alias("id")).distinct(), "buckets")
-    ws.drop("signed")
+    ws.drop("signed", "copies")
 
     def units_of(ids: DataFrame) -> DataFrame:
-        return texts(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").dropDuplicates(["id"])
+        return texts(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
 
     cc, links = classes(ws, buckets, units_of, threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
-    known = cc.join(degree, "id", "left").withColumnRenamed("id", "exact_id")
-    out = exact.select("doc_id", "exact_id").join(known, "exact_id", "left")
+    size = exact.groupBy("exact_id").agg(F.count("*").alias("n"))
+    known = ws.save(cc.join(degree, "id", "left").withColumnRenamed("id", "exact_id").join(size, "exact_id"), "known")
+    out = meet(exact.select("doc_id", "exact_id"), known, ["exact_id"], ["doc_id"], exact.count(), "left")
     return out.select("doc_id", F.coalesce("component", "exact_id").alias("class_id"), "exact_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

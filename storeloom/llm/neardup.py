@@ -4,10 +4,14 @@ A bucket's hub is the member that meets most others over all buckets, so of a
 text and its edited copies it is the text. First every member is compared with
 its buckets' hubs, and the verified pairs make components. A hub's members that are in
 its component are settled: more links among them can't change the classes. The
-others ("outliers") then meet all members of the hub, in blocks of bounded size, a member
-against a whole block of outliers at once; only links leave the block. So
-every pair that shares a bucket is in one component or has been compared, whatever
-the size of the bucket.
+others ("outliers") may still be like a member of another component. What the hub's text and a
+member share, and the member's elements beyond the hub's, are known from the first step. A pair is
+similar if it shares t / (1 + t) of the sum of its sizes, so if either of it shares less with the
+hub, it must have an element beyond the hub's in common; which lookalikes that share a form letter
+and little else don't have. Outliers and members that neither have one in common with a member of another component, nor
+share so much with the hub that they need none, are done. The rest meet in blocks of bounded size, a member against a whole
+block of outliers at once; only links leave the block. So every pair that shares a bucket is
+in one component, has been compared, or can't be similar, whatever the size of the bucket.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, slices
+from .common import Workspace, components, meet, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -29,6 +33,8 @@ SIMILARITY = 0.8
 PER_TASK = 256
 #: Members of a hub, and outliers, that one task compares.
 MEMBERS, OUTLIERS = 512, 64
+#: Shingles of a text that counts once among these; a longer one counts more.
+USUAL = 1_000
 
 
 # --- words and shingles ------------------------------------------------------------------------
@@ -101,38 +107,83 @@ def set_jaccard(a, b) -> float:
     return 1.0 if not total else common / (total - common)
 
 
+def beyond(hub, b) -> tuple[int, np.ndarray]:
+    """How many elements two bags share, and those of b beyond the hub's; of a multiset the n-th occurrence of a shingle is an element."""
+    at = np.minimum(np.searchsorted(hub[0], b[0]), max(len(hub[0]) - 1, 0))
+    held = np.where(hub[0][at] == b[0], hub[1][at], 0) if len(hub[0]) else np.zeros(len(b[0]), np.int64)
+    least = np.minimum(held, b[1])
+    more = b[1] - least
+    nth = np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + np.repeat(least, more)
+    return int(least.sum()), mix(np.repeat(b[0], more) + nth.astype(np.uint64) * _M3)
+
+
 # --- verification --------------------------------------------------------------------------------
 
+_SEEN = "a long, b long, sim double, size long, common long, beyond array<long>"
 
-def _compare(similarity):
+
+def _compare(multiset: bool):
     def run(batches):
         # texts of a pivot come one after the other; a bounded number of bags is kept
         known: OrderedDict[int, tuple] = OrderedDict()
         for batch in slices(batches, "text", 2 << 20):
-            out = []
-            for a, b, pivot_text, text in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "pivot_text", "text"))):
+            out = [[], [], []]
+            rest = [np.empty(0, np.uint64)]
+            for a, pivot_text, own in zip(batch.column("a").to_pylist(), batch.column("pivot_text"), _bags(batch.column("text"), multiset)):
                 if a not in known:
-                    known[a] = bag(pivot_text)
+                    known[a] = _bags(pa.array([pivot_text.as_py()], pa.string()), multiset)[0]
                     if len(known) > 8:
                         known.popitem(last=False)
-                out.append(similarity(known[a], bag(text)))
-            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], names=["a", "b", "sim"])
+                hub = known[a]
+                common, more = beyond(hub, own)
+                size = int(own[1].sum())
+                total = size + int(hub[1].sum()) - common
+                for column, v in zip(out, (common / total if total else 1.0, size, common)):
+                    column.append(v)
+                rest.append(more)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rest[1:])]).astype(np.int32)), pa.array(np.concatenate(rest).view(np.int64)))
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(out[0], pa.float64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), lists], names=[c.split(" ")[0] for c in _SEEN.split(", ")])
 
     return run
 
 
-def verify(ws: Workspace, pairs: DataFrame, units: DataFrame, name: str, similarity=multiset_jaccard) -> DataFrame:
-    """Pairs (a pivot, b) with their exact similarity.
+def verify(ws: Workspace, pairs: DataFrame, units: DataFrame, name: str, multiset: bool = True) -> DataFrame:
+    """Saved pairs (a pivot, b) with their exact similarity, b's size, what it shares with the pivot, and its elements beyond the pivot's.
 
     A pivot may have any number of partners: its pairs are salted, and its text is sent
     once for each salt.
     """
-    count = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.ceil(F.col("n") / PER_TASK).cast("int").alias("salts"))
-    dealt = pairs.join(count, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
+    count = ws.save(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts")), f"{name}_count")
+    dealt = meet(pairs, count, ["a"], ["b"], pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
     with_text = dealt.join(units.select(F.col("id").alias("b"), "text"), "b")
     pivots = count.join(units.select(F.col("id").alias("a"), F.col("text").alias("pivot_text")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "pivot_text")
     both = with_text.join(pivots, ["a", "salt"]).select("a", "b", "pivot_text", "text")
-    return ws.save(both.mapInArrow(_compare(similarity), "a long, b long, sim double"), name)
+    out = ws.save(both.mapInArrow(_compare(multiset), _SEEN), name)
+    ws.drop(f"{name}_count")
+    return out
+
+
+def _survivors(ws: Workspace, state: DataFrame, threshold: float, name: str) -> DataFrame:
+    """hub, id, component, outlying and size of the members that may be similar to one of another component, one of both an outlier."""
+    outlying = F.col("component") != F.col("main")
+    hubs = state.where(outlying).select("hub").distinct()
+    members = ws.save(state.join(hubs, "hub", "left_semi").withColumn("outlying", outlying), f"{name}_members")
+    each = members.select("hub", "id", "component", "outlying", F.explode("beyond").alias("e"))
+    live = each.groupBy("hub", "e").agg(F.count("*").alias("n"), F.max("outlying").alias("any"), F.min("component").alias("low"), F.max("component").alias("high")).where("any and low <> high").select("hub", "e", "n")
+    live = ws.save(live, f"{name}_live")
+    total = members.agg(F.sum(F.size("beyond"))).first()[0] or 0
+    sharing = meet(each.select("hub", "e", "id"), live, ["hub", "e"], ["id"], total).select("hub", "id").distinct()
+    # those that share enough with the hub to be similar without: outliers first, then members that may be so to one of them
+    part = threshold / (1 + threshold)
+    enough = lambda other: F.col("common") + 1e-6 >= part * (F.col("size") + F.greatest(threshold * F.col("size"), other))
+    least = ws.save(members.groupBy("hub").agg(F.count("*").alias("n"), F.min("size").alias("least")), f"{name}_least")
+    inner = ws.save(meet(members.drop("beyond"), least, ["hub"], ["id"], members.count()).withColumn("inner", F.col("outlying") & enough(F.col("least"))), f"{name}_inner")
+    few = ws.save(inner.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.when(F.col("inner"), F.col("size"))).alias("first")), f"{name}_few")
+    out = meet(ws.load(f"{name}_inner", inner.schema), few, ["hub"], ["id"], members.count()).join(sharing.withColumn("shares", F.lit(True)), ["hub", "id"], "left")
+    out = out.where(F.coalesce("shares", F.col("inner") | (F.col("first").isNotNull() & enough(F.col("first")))))
+    out = ws.save(out.select("hub", "id", "component", "outlying", "size"), f"{name}_left")
+    ws.drop(*(f"{name}_{x}" for x in ("members", "live", "least", "inner", "few")))
+    return out
 
 
 # --- classes --------------------------------------------------------------------------------------
@@ -151,8 +202,8 @@ def _overlaps(bags: list[tuple], pooled: np.ndarray, start: np.ndarray, owner: n
     return out
 
 
-def _bags(texts: list[str], multiset: bool) -> list[tuple]:
-    hashed, offsets = shingles(*word_hashes(pa.array(texts, pa.string())))
+def _bags(texts: pa.Array, multiset: bool) -> list[tuple]:
+    hashed, offsets = shingles(*word_hashes(texts))
     out = []
     for a, b in zip(offsets, offsets[1:]):
         values, counts = np.unique(hashed[a:b], return_counts=True)
@@ -164,7 +215,7 @@ def _block(threshold: float, multiset: bool):
     def run(key, members: pd.DataFrame, outliers: pd.DataFrame) -> pd.DataFrame:
         found = {"a": [], "b": [], "sim": []}
         if len(members) and len(outliers):
-            right = _bags(outliers["text"].tolist(), multiset)
+            right = _bags(pa.array(outliers["text"], pa.string()), multiset)
             values = np.concatenate([v for v, _ in right])
             order = np.argsort(values, kind="stable")
             pooled, start = np.unique(values[order], return_index=True)
@@ -172,7 +223,7 @@ def _block(threshold: float, multiset: bool):
             owner = np.repeat(np.arange(len(right)), [len(v) for v, _ in right])[order]
             count = np.concatenate([c for _, c in right])[order]
             totals = np.array([c.sum() for _, c in right])
-            left = _bags(members["text"].tolist(), multiset)
+            left = _bags(pa.array(members["text"], pa.string()), multiset)
             least = _overlaps(left, pooled, start, owner, count, len(right))
             sims = least / np.maximum(np.array([c.sum() for _, c in left])[:, None] + totals - least, 1)
             apart = members["component"].to_numpy()[:, None] != outliers["component"].to_numpy()
@@ -190,37 +241,41 @@ def classes(ws: Workspace, buckets: DataFrame, units_of, threshold: float = SIMI
     another in some bucket, gives (id, text) of these. Returns (id, component)
     for ids with a link, and the links (a, b, sim) that were verified to find them.
     """
-    sizes = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = ws.save(buckets.join(sizes, "key"), f"{name}_met")
-    degree = met.groupBy("id").agg(F.sum("n").alias("degree"))
-    hubs = met.select("key", "id").join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("id"))).alias("hub")).select("key", (-F.col("hub.id")).alias("hub"))
-    pairs = ws.save(met.select("key", "id").join(hubs, "key").where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), f"{name}_pairs")
+    sizes = ws.save(buckets.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("size")).where("n > 1"), f"{name}_sizes")
+    met = ws.save(meet(buckets, sizes, ["key"], ["id"], buckets.count()), f"{name}_met")
+    degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
+    most = F.max(F.struct("degree", (-F.col("id")).alias("id")))
+    hubs = ws.save(met.select("key", "id").join(degree, "id").groupBy("key").agg((-most.getField("id")).alias("hub"), F.count("*").alias("n")), f"{name}_hubs")
+    met_again = ws.load(f"{name}_met", met.schema).select("key", "id")
+    pairs = ws.save(meet(met_again, hubs, ["key"], ["id"], met.count()).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), f"{name}_pairs")
     units = ws.save(units_of(degree.select("id")), f"{name}_units")
-    ws.drop(f"{name}_met")
-    seen = verify(ws, pairs, units, f"{name}_seen", multiset_jaccard if multiset else set_jaccard)
-    links = seen.where(F.col("sim") >= threshold)
+    ws.drop(f"{name}_sizes", f"{name}_met", f"{name}_hubs")
+    seen = verify(ws, pairs, units, f"{name}_seen", multiset)
+    links = seen.where(F.col("sim") >= threshold).select("a", "b", "sim")
     cc = components(ws, links.select("a", "b"), f"{name}_cc_0")
     label = lambda c, i: F.coalesce(F.col(c), F.col(i))
-    of_hub = cc.select(F.col("id").alias("a"), F.col("component").alias("main"))
-    state = seen.join(cc.withColumnRenamed("id", "b"), "b", "left").join(of_hub, "a", "left").select(F.col("a").alias("hub"), F.col("b").alias("id"), label("component", "b").alias("component"), label("main", "a").alias("main"), "sim")
-    state = ws.save(state, f"{name}_state")
+    of_hub = seen.groupBy("a").agg(F.count("*").alias("n")).join(cc.select(F.col("id").alias("a"), F.col("component").alias("main")), "a", "left")
+    of_hub = ws.save(of_hub, f"{name}_of_hub")
+    state = meet(seen.join(cc.withColumnRenamed("id", "b"), "b", "left"), of_hub, ["a"], ["b"], seen.count())
+    state = ws.save(state.select(F.col("a").alias("hub"), F.col("b").alias("id"), label("component", "b").alias("component"), label("main", "a").alias("main"), "size", "common", "beyond"), f"{name}_state")
     # the hub itself has met all its members
-    outlying = ws.load(f"{name}_state", state.schema).where("component <> main")
-    units_again = ws.load(f"{name}_units", units.schema)
-    cuts = ws.save(
-        state.groupBy("hub").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"), F.ceil(F.count_if(F.col("component") != F.col("main")) / OUTLIERS).cast("int").alias("blocks"), F.count("*").alias("n")).where("blocks > 0 and n > 1"),
-        f"{name}_cuts",
-    )
-    cuts_again = ws.load(f"{name}_cuts", cuts.schema)
-    number = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    if not state.where("component <> main").limit(1).count():
+        ws.drop(*(f"{name}_{x}" for x in ("pairs", "units", "of_hub", "state")))
+        return cc, links
+    left = _survivors(ws, state, threshold, name)
+    weight = F.sum(F.greatest(F.lit(1.0), F.col("size") / USUAL))
+    cuts = left.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(weight / MEMBERS).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("outlying"), F.greatest(F.lit(1.0), F.col("size") / USUAL)).otherwise(0.0)) / OUTLIERS).cast("int").alias("blocks"))
+    cuts = ws.save(cuts.where("blocks > 0 and n > 1"), f"{name}_cuts")
+    both = ws.save(meet(left.select("hub", "id", "component", "outlying"), cuts, ["hub"], ["id"], left.count()), f"{name}_dealt")
+    number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = state.join(cuts, "hub").join(units, "id").withColumn("part", number("id", "parts")).withColumn("block", every("blocks")).select("hub", "part", "block", "id", "component", "text")
-    right = outlying.join(cuts_again, "hub").join(units_again, "id").withColumn("block", number("id", "blocks")).withColumn("part", every("parts")).select("hub", "part", "block", "id", "component", "text")
     key = ["hub", "part", "block"]
-    more = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(_block(threshold, multiset), "a long, b long, sim double")
+    members = both.withColumn("part", number("parts")).withColumn("block", every("blocks")).join(units, "id").select(*key, "id", "component", "text")
+    outliers = ws.load(f"{name}_dealt", both.schema).where("outlying").withColumn("block", number("blocks")).withColumn("part", every("parts")).join(ws.load(f"{name}_units", units.schema), "id").select(*key, "id", "component", "text")
+    more = members.groupBy(*key).cogroup(outliers.groupBy(*key)).applyInPandas(_block(threshold, multiset), "a long, b long, sim double")
     more = ws.save(more, f"{name}_more")
     links = ws.save(links.unionAll(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"]), f"{name}_links")
     if more.limit(1).count():
         cc = components(ws, links.select("a", "b"), f"{name}_cc_1")
-    ws.drop(f"{name}_pairs", f"{name}_units", f"{name}_seen", f"{name}_state", f"{name}_more")
+    ws.drop(*(f"{name}_{x}" for x in ("pairs", "units", "seen", "of_hub", "state", "left", "cuts", "dealt", "more")))
     return cc, links

@@ -519,6 +519,32 @@ def test_cosine_of_extremes():
     assert ann.cosine(q, np.array([[1e-200, 2e-200], [-1.0, -2.0]])) == pytest.approx([1.0, -1.0])
 
 
+def test_cosine_is_a_function_of_the_pair():
+    rng = np.random.default_rng(2)
+    for d in (3, 16, 64, 100, 384):
+        x = rng.standard_normal((300, d)) * rng.uniform(0.1, 30, (300, 1))
+        x[7], x[8] = x[5] * 2, x[5] / 1024
+        all_ = ann.cosine(x[0], x)
+        for some in (np.arange(1, 4), np.arange(5, 6), rng.permutation(300), np.arange(0, 300, 7)):
+            assert (ann.cosine(x[0], x[some]) == all_[some]).all()
+        assert all_[5] == all_[7] == all_[8]
+        assert all(ann.cosine(x[i], x[:1])[0] == all_[i] for i in range(300))
+        assert all_ == pytest.approx(x @ x[0] / np.linalg.norm(x, axis=1) / np.linalg.norm(x[0]), abs=1e-14)
+
+
+def test_lists_of_centre_and_remainder():
+    rng = np.random.default_rng(3)
+    x = ann.unit(rng.standard_normal((3000, 12)))
+    one, two = ann.Lists(x, 40), ann.Lists(x, 40_000)
+    assert len(one) == 40 and len(two) == len(two.centres) * len(two.rest) > ann.LISTS
+    for lists in (one, two):
+        points = (lists.centres[:, None] + lists.rest[None]).reshape(-1, 12)
+        far = ((x[:50, None] - points[None]) ** 2).sum(2)
+        got = lists.orders(x[:50], 5)
+        assert np.take_along_axis(far, got, 1) == pytest.approx(np.sort(far, 1)[:, :5])
+        assert (lists.orders(x[:50], 1)[:, 0] == got[:, 0]).all()
+
+
 def test_network_learns_and_covers_whole_texts():
     rng = random.Random(1)
     good = [" ".join(rng.choices(["the", "cat", "sat", "on", "mats"], k=rng.randint(5, 200))).encode() for _ in range(120)]
