@@ -85,6 +85,12 @@ def role_counts(rows: DataFrame, v: Vocabulary, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(*counts)
 
 
+def unknown_roles(classified: DataFrame, v: Vocabulary, *by: str) -> DataFrame:
+    """Roles that classifications use but the vocabulary doesn't have, and how often."""
+    beyond = F.array_except("roles", words(v.roles))
+    return classified.select(*by, F.explode(beyond).alias("role")).groupBy(*by, "role").agg(F.count("*").alias("n"))
+
+
 def characters(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.coalesce(F.sum(utf16_length(F.col("raw_markdown"))), F.lit(0)).alias("chars"))
 

@@ -53,6 +53,17 @@ def search(catalogue: DataFrame, text: str) -> DataFrame:
     return catalogue.where(F.contains(F.lower("symbol"), low) | F.contains(F.lower("summary"), low))
 
 
+def matching(catalogue: DataFrame, axis: str, text: str) -> DataFrame:
+    """What is both on the axis and found by the text."""
+    return on_axis(catalogue, axis).join(search(catalogue, text).select("symbol").distinct(), "symbol", "left_semi")
+
+
+def parity(catalogue: DataFrame, exported: DataFrame) -> DataFrame:
+    """(symbol, missing): symbols that are exported but not in the catalogue, or the other way round."""
+    a, b = catalogue.select("symbol").distinct(), exported.select("symbol").distinct()
+    return b.exceptAll(a).select("symbol", F.lit("catalogue").alias("missing")).unionAll(a.exceptAll(b).select("symbol", F.lit("exports").alias("missing")))
+
+
 def grouped(rows: list[tuple[str, str, str]]) -> str:
     width = max((len(r[0]) for r in rows), default=0)
     lines: list[str] = []

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from storeloom.functions.lineage import new_folder, written
 from storeloom.functions.text import contains_any_pattern
 from storeloom.functions.urls import decoded, try_decoded
 
@@ -85,14 +86,16 @@ def walk_sitemaps(sitemaps: DataFrame, root: str, deepest: int = DEEPEST) -> Dat
     """Pages (url, depth, pos) of a sitemap tree in rows (url, xml), each URL once, first place kept.
 
     A level is a join of the locations with the sitemaps; sitemaps seen before are left
-    out, so cycles end. An index below ``deepest`` is an error, as in a crawl.
+    out, so cycles end. An index below ``deepest`` is an error, as in a crawl. Each level is
+    written to the shared folder, so that the next one doesn't run it again.
     """
     spark = sitemaps.sparkSession
+    folder = new_folder(spark, "walk")
     order = lambda *c: F.concat_ws("/", *c)
     level = spark.createDataFrame([(root, "")], "url string, pos string")
     seen, pages = level.select("url"), None
     for depth in range(deepest + 2):
-        read = level.join(sitemaps, "url").select("pos", split_sitemap(F.col("xml")).alias("s"))
+        read = written(level.join(sitemaps, "url").select("pos", split_sitemap(F.col("xml")).alias("s")), folder, f"read_{depth}")
         listed = lambda field: read.select("pos", F.posexplode(f"s.{field}").alias("i", "url")).select("url", order(F.col("pos"), F.format_string("%09d", "i")).alias("pos"))  # noqa: B023, E731
         children = listed("child_sitemaps")
         if depth > deepest:
@@ -101,7 +104,7 @@ def walk_sitemaps(sitemaps: DataFrame, root: str, deepest: int = DEEPEST) -> Dat
             break
         found = listed("urls").withColumn("depth", F.lit(depth))
         pages = found if pages is None else pages.unionByName(found)
-        level = first_by_url(children).join(seen, "url", "left_anti")
+        level = written(first_by_url(children).join(seen, "url", "left_anti"), folder, f"level_{depth}")
         seen = seen.unionAll(level.select("url"))
     return first_by_url(pages)
 

@@ -182,13 +182,18 @@ def context_windows(html: Column, url: Column, radius: int = 900) -> Column:
     what precedes a place and the start of what follows.
     """
 
+    def cuts(spelling: Column, parts: Column) -> Column:
+        size = F.length(spelling)
+        # where each place begins, by one running sum over the parts before it
+        first = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("end"))
+        step = lambda held, part: F.struct(F.array_append(held["starts"], held["end"] + F.length(part)).alias("starts"), (held["end"] + F.length(part) + size).alias("end"))
+        starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), first, step, lambda held: held["starts"])
+        return F.transform(starts, lambda s: F.substring(html, F.greatest(s - radius, F.lit(0)) + 1, size + radius + F.least(s, F.lit(radius))))
+
     def windows(spelling: Column) -> Column:
         parts = F.split(html, F.concat(F.lit(r"\Q"), spelling, F.lit(r"\E")), -1)
-        lengths = F.transform(parts, F.length)
-        # where each place begins: the parts and spellings before it
-        starts = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda k: F.aggregate(F.slice(lengths, 1, k), F.lit(0), lambda a, x: a + x) + (k - 1) * F.length(spelling))
-        cut = F.transform(starts, lambda s: F.substring(html, F.greatest(s - radius, F.lit(0)) + 1, F.length(spelling) + radius + F.least(s, F.lit(radius))))
-        return F.when(F.size(parts) > 1, cut).otherwise(F.array().cast("array<string>"))
+        # the parts are computed once
+        return F.get(F.transform(F.array(parts), lambda p: cuts(spelling, p)), F.lit(0))
 
     return F.flatten(F.transform(U.lookup_variants(url), windows))
 
@@ -202,9 +207,18 @@ def html_decision(html: Column, url: Column, radius: int = 260) -> Column:
 
 
 def cyberbiz(images: DataFrame, most: int = CAP) -> DataFrame:
-    """Rows (page_id, pos, url, html): repeats, then verdicts of the markup, then the cap."""
+    """Rows (page_id, pos, url, html): repeats, then verdicts of the markup, then the cap.
+
+    The markup is judged before rows are shuffled, which then carry its verdict only.
+    """
+    judged = images.select("page_id", "pos", "url", html_decision(F.col("html"), F.col("url")).alias("d"))
     nth = F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))
-    rows = images.withColumn("nth", nth).withColumn("d", html_decision(F.col("html"), F.col("url")))
+    rows = judged.withColumn("nth", nth)
     reason = F.when(F.col("nth") > 1, "duplicate").otherwise(F.col("d.reason"))
     note = F.when(F.col("nth") > 1, "duplicate image URL").otherwise(F.col("d.note"))
     return cap(rows.select("page_id", "pos", "url", reason.isNull().alias("kept"), reason.alias("reason"), note.alias("note"), F.when(reason.isNotNull(), F.col("pos")).cast("long").alias("drop_order")), most)
+
+
+def unaccounted(images: DataFrame, selection: DataFrame) -> DataFrame:
+    """(page_id, url) of the images that a selection leaves out, as often as it does."""
+    return images.select("page_id", "url").exceptAll(selection.select("page_id", "url"))

@@ -121,17 +121,20 @@ def flags(observation: dict) -> str:
 
 
 def report(observation: dict, suggestions=()) -> str:
-    """Observations for a reader: engine, hosts and labels (eight at most), and what to reach for."""
-    o = observation
-    lines = [f"Observed {o['url']}", "", f"  engine              {o['platform']['kind']}"]
-    lines += [f"                      - {e}" for e in o["platform"]["evidence"] or ["no known engine signature"]]
-    lines += [f"  Product JSON-LD     {'present' if o['has_product_data'] else 'absent'}", f"  product path        {o.get('product_path_segment') or 'unknown'}", f"  lazy-loaded images  {o['lazy_images']}", "", "  image hosts"]
-    lines += [f"    {h['count']:>4}  {h['host']}" for h in o["image_hosts"][:8]] or ["    none found"]
-    if o["label_images"]:
-        lines += ["", "  possible label images", *(f"    {x}" for x in o["label_images"][:8])]
-    for s in suggestions:
-        lines += [f"    {s['symbol']}", f"      because: {s['because']}"]
-    return "\n".join(lines)
+    """The observations as a table of names and values, a line each; lists are written out whole."""
+    rows: list[tuple[str, str]] = []
+    for name, value in observation.items():
+        if name == "platform":
+            rows.append(("platform", value["kind"]))
+            rows += [("platform by", e) for e in value["evidence"]]
+        elif name == "image_hosts":
+            rows += [("images from", f"{h['host']} ({h['count']})") for h in value]
+        elif isinstance(value, list):
+            rows += [(name, str(v)) for v in value]
+        elif name != "page_id":
+            rows.append((name, "-" if value is None else str(value).lower() if isinstance(value, bool) else str(value)))
+    rows += [(f"try {s['symbol']}", s["because"] + (f" ({s['summary']})" if s.get("summary") else "")) for s in suggestions]
+    return "\n".join(f"{name}: {value}" for name, value in rows)
 
 
 def write(path: str, text: str, force: bool = False) -> None:
@@ -164,11 +167,11 @@ def run(argv: list[str]) -> tuple[str, int]:
 
 def inspect_html(spark, url: str, html: str, as_json: bool = False) -> str:
     """One page's observations, as JSON or as a report."""
-    from storeloom.operators import observe
+    from storeloom.operators import catalogue, observe
 
     obs = observe.observe(spark.createDataFrame([(0, url, html)], "page_id long, url string, html string"))
     row = obs.first().asDict(recursive=True)
-    told = [r.asDict() for r in observe.suggestions(obs).orderBy("at").collect()]
+    told = [r.asDict() for r in observe.suggestions(obs, catalogue.table(spark)).orderBy("at").collect()]
     return json.dumps(row, ensure_ascii=False, indent=2) if as_json else report(row, told) + "\n\n" + flags(row)
 
 

@@ -19,6 +19,22 @@ def gate_summary(pages: DataFrame, gates: dict[str, Column]) -> DataFrame:
     return rows.agg(F.count("*").alias("total_pages"), *(F.count_if(F.col("_gate") == g).alias(g) for g in ("parsed_products", *gates)))
 
 
+def run_source(source, pages: DataFrame) -> DataFrame:
+    """A source's own hooks over its parsed pages, in order: stage, reconcile, then its facts joined by page_id.
+
+    A hook is a function from rows to rows; one that the source doesn't have changes nothing.
+    """
+    staged = source.stage(pages) if source.stage else pages
+    whole = source.reconcile(staged) if source.reconcile else staged
+    if not source.structured_facts:
+        return whole
+    facts = source.structured_facts(pages)
+    clash = (set(facts.columns) & set(whole.columns)) - {"page_id"}
+    if "page_id" not in facts.columns or clash:
+        raise ValueError(f"facts need a page_id and columns of their own, not {sorted(clash) or facts.columns}")
+    return whole.join(facts, "page_id", "left")
+
+
 def usefulness(images: DataFrame, roles) -> DataFrame:
     """One row: total, useful, and a count for each role."""
     return images.agg(F.count("*").alias("total"), F.count_if("useful").alias("useful"), *(F.count_if(F.col("role") == r).alias(f"role_{r.replace('-', '_')}") for r in roles))

@@ -16,18 +16,27 @@ select user_id as page_id, event_id as pos,
 
 PATHS = "select page_id, 'h' as host, regexp_replace(url, '^https?://[^/]+', '') as path from pages"
 RULES = (("disallow", "/en/1"), ("allow", "/en/12"), ("disallow", "/fr/"), ("unsupported", "/es/*.html$"), ("disallow", "/de/9*"))
-ROBOTS_TEXT = "User-agent: a\nUser-agent: *\n\nSitemap: https://s.test/sm.xml\nDisallow: /en/1 # note\nAllow: /en/12\nDisallow: /fr/\nDisallow: /es/*.html$\nDisallow: /de/9*\nCrawl-delay: 3\nUser-agent: b\nDisallow: /\n"
 
 SITEMAPS = """
 select page_id, case when page_id % 10 = 0 then concat('<sitemapindex><sitemap><loc>https://s.test/sm/', cast(page_id+1 as string), '.xml</loc></sitemap></sitemapindex>')
  else concat('<urlset><url><loc> ', replace(url,'&','&amp;'), ' </loc></url><url><loc>https://shop.example.test/products/p%20', cast(page_id as string), '+x</loc></url></urlset>') end as xml from pages"""
 
-# a root of ten indexes, whose children are pages' sitemaps
+# a root, an index for each 500 pages, and a sitemap for every page
 TREE = """
-select concat('https://s.test/', cast(parent as string)) as url, concat('<sitemapindex>', {agg}, '</sitemapindex>') as xml
-from (select cast((page_id-1-((page_id-1) % 10))/10 as bigint) as parent, page_id as child from pages where page_id between 1 and 110) as e group by parent
+select concat('https://s.test/i', cast(parent as string)) as url, concat('<sitemapindex>', {agg_p}, '</sitemapindex>') as xml
+from (select cast((page_id - page_id % 500) / 500 as bigint) as parent, concat('<loc>https://s.test/p', cast(page_id as string), '</loc>') as child from pages) as e group by parent
 union all
-select concat('https://s.test/', cast(page_id as string)) as url, concat('<urlset><loc>https://shop.example.test/products/', cast(page_id % 40 as string), '</loc></urlset>') as xml from pages where page_id between 11 and 110"""
+select 'https://s.test/0' as url, concat('<sitemapindex>', {agg_p}, '</sitemapindex>') as xml from (select distinct concat('<loc>https://s.test/i', cast(cast((page_id - page_id % 500) / 500 as bigint) as string), '</loc>') as child from pages) as f
+union all
+select concat('https://s.test/p', cast(page_id as string)) as url, concat('<urlset><url><loc> ', replace(url, '&', '&amp;'), ' </loc></url><url><loc>https://shop.example.test/products/', cast(page_id % 40 as string), '</loc></url></urlset>') as xml from pages"""
+TREE_SPARK = TREE.replace("{agg_p}", "array_join(array_sort(collect_list(child)), '')")
+TREE_DUCK = TREE.replace("{agg_p}", "string_agg(child, '' order by child)")
+
+# a robots file for every page: its own path is forbidden, what its path begins with is allowed
+ROBOTS = """
+select page_id, concat('User-agent: a', chr(10), 'Disallow: /only-a', chr(10), 'User-agent: b', chr(13), chr(10), 'USER-AGENT : *', chr(10), chr(10), 'Sitemap: ', url, chr(10), 'Disallow: ', regexp_replace(url, '^https?://[^/]+', ''), ' # of page ', cast(page_id as string), chr(10),
+ 'no directive', chr(10), 'Allow:', regexp_replace(url, '^https?://[^/]+(/[^/]*).*$', '{group}'), chr(10), 'Disallow:', chr(10), 'Disallow: /', cast(page_id as string), '/*.html$', chr(10), 'Crawl-delay: 3', chr(10), 'User-agent: c', chr(10), 'Disallow: /') as text from pages"""
+ROBOTS_SPARK, ROBOTS_DUCK = ROBOTS.replace("{group}", "$1"), ROBOTS.replace("{group}", "\\1")
 
 ARTIFACTS = """
 select d.doc_id % 20 as page_id, d.doc_id as pos, d.doc_id as id, case when d.doc_id % 10 = 0 then 'html' else 'image' end as artifact_kind, coalesce(d.text, '') as raw_markdown,
@@ -56,7 +65,13 @@ select page_id, concat('https://shop.example.test/', case page_id % 3 when 0 the
  when 3 then '<img data-src="https://a.test/p-nutrition-facts.jpg"><img src="https://b.test/x-12-a.jpg"><img src="https://b.test/x-3-specifications.png">' else '' end) as html from pages"""
 
 CONTEXTS = """
-select doc_id, concat('<div class="', case doc_id % 6 when 0 then 'use_main_st_bg mobile' when 1 then 'a element_img_icon' when 2 then 'person_img' when 3 then 'use_main_st_bg mobiles' when 4 then 'endorsers' else 'plain' end, '">', substr(coalesce(text, ''), 1, 20), case when doc_id % 7 = 0 then '見證' else '' end, '</div>') as context from documents"""
+select doc_id, concat('<div class="', case doc_id % 6 when 0 then 'use_main_st_bg mobile' when 1 then 'a element_img_icon' when 2 then 'person_img' when 3 then 'use_main_st_bg mobiles' when 4 then 'endorsers' else 'plain' end, '">', coalesce(text, ''), case when doc_id % 7 = 0 then '見證' else '' end, '</div>') as context from documents"""
+
+
+# images of pages with markup about some of them, which says what they are for
+MARKED = """
+select page_id, url, concat('<div class="', case page_id % 5 when 0 then 'a person_img' when 1 then 'tp use_main_st_bg' when 2 then 'element_img_icons' else 'plain' end, '"><img src="https://cdn.cybassets.com/media/', cast(page_id as string), '.png?a=1&amp;b=2"></div>', html, html, html,
+ '<i class="', case page_id % 3 when 0 then 'new_pd_bg' when 1 then 'endorsers' else 'x' end, '"><img data-src="https://cdn-ap.cybassets.com/s/files/', cast(page_id % 7 as string), '.jpg"></i><p>', url, '</p><img src="https://cdn-ap.cybassets.com/s/files/', cast(page_id % 7 as string), '.jpg">') as html from pages"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

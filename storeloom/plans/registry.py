@@ -95,11 +95,14 @@ def s07(spark, d):
     return s.select("page_id", F.array_join("s.urls", " ").alias("urls"), F.array_join("s.child_sitemaps", " ").alias("children"))
 
 
-@query("s08_sitemap_walk", "select distinct concat('https://shop.example.test/products/', cast(page_id % 40 as string)) as url, 2 as depth from pages where page_id between 11 and 110")
+_WALK = rf"""with recursive t as ({D.TREE_DUCK}), l as (select url as parent, xml like '%<sitemapindex>%' as is_index, unnest({_LOCS}) as url from t),
+ r as (select 'https://s.test/0' as url, 0 as depth union select l.url, r.depth + 1 from r join l on l.parent = r.url where l.is_index)
+ select l.url, min(r.depth) as depth from r join l on l.parent = r.url where not l.is_index group by 1"""
+
+
+@query("s08_sitemap_walk", _WALK)
 def s08(spark, d):
-    tree = D.TREE.replace("{agg}", "array_join(transform(array_sort(collect_list(child)), c -> concat('<loc>https://s.test/', c, '</loc>')), '')")
-    maps = derived(spark, d, tree)
-    return discovery.walk_sitemaps(maps, "https://s.test/0").select("url", "depth")
+    return discovery.walk_sitemaps(derived(spark, d, D.TREE_SPARK), "https://s.test/0").select("url", "depth")
 
 
 @query("s09_product_slugs", f"{_XML}, u as (select page_id, unnest({_LOCS}) as url from x where page_id % 10 <> 0) select page_id, url, url_decode(regexp_extract(url, '/products/([^/?#]+)', 1)) as product_id from u where regexp_extract(url, '/products/([^/?#]+)', 1) <> ''")
@@ -149,10 +152,14 @@ def f03(spark, d):
 _RULE_ROWS = ", ".join(f"('{k}', '{p}')" for k, p in D.RULES)
 
 
-@query("f05_robots_parse", f"select p.page_id, r.kind, r.pattern from pages p cross join (values {_RULE_ROWS}, ('sitemap', 'https://s.test/sm.xml')) as r(kind, pattern)")
+@query("f05_robots_parse", rf"""with f as ({D.ROBOTS_DUCK}), l as (select page_id, unnest(string_split_regex(text, '\r?\n')) as raw, unnest(range(len(string_split_regex(text, '\r?\n')))) as line from f),
+ t as (select page_id, line, trim(regexp_replace(raw, '#.*$', '')) as t from l), k as (select page_id, line, lower(trim(split_part(t, ':', 1))) as key, trim(substr(t, instr(t, ':') + 1)) as value from t where instr(t, ':') > 1),
+ g as (select *, last_value(case when key = 'user-agent' then value end ignore nulls) over (partition by page_id order by line rows between unbounded preceding and current row) as agent from k)
+ select page_id, line, case when key = 'sitemap' then 'sitemap' when key = 'disallow' and regexp_matches(value, '\*.|\$$') then 'unsupported' else key end as kind, value as pattern from g
+ where value <> '' and (key = 'sitemap' or (agent = '*' and (key = 'disallow' or (key = 'allow' and not regexp_matches(value, '\*.|\$$')))))""")
 def f05(spark, d):
-    files = D.table(spark, d, "pages").select(F.col("page_id").alias("host"), F.lit(D.ROBOTS_TEXT).alias("text"))
-    return robots.parse(files).select(F.col("host").alias("page_id"), "kind", "pattern")
+    files = derived(spark, d, D.ROBOTS_SPARK).withColumnRenamed("page_id", "host")
+    return robots.parse(files).select(F.col("host").alias("page_id"), F.col("line").cast("long").alias("line"), "kind", "pattern")
 
 
 @query(
@@ -263,7 +270,7 @@ def j06(spark, d):
 @query("x04_except_all", f"{_IMG} select page_id, url from i except all select page_id, url from i where pos % 13 <> 0")
 def x04(spark, d):
     rows = img(spark, d)
-    return rows.select("page_id", "url").exceptAll(rows.where("pos % 13 <> 0").select("page_id", "url"))
+    return images.unaccounted(rows, rows.where("pos % 13 <> 0"))
 
 
 @query("a02_drop_counts", f"{_BV_DECIDED} {_STATS}")
@@ -281,12 +288,40 @@ def f10(spark, d):
     return rows.select("doc_id", images.context_decision(F.col("context"))["reason"].alias("reason"))
 
 
-@query("f11_html_context", "select page_id, 'decorative_asset' as reason from pages")
+_ABOUT = """(?i)class=["'][^"']*\\b"""
+_WHY = rf"""case when regexp_matches(w, '{_ABOUT.replace("'", "''")}use_main_st_bg\b[^"'']*\b(mo|mobile|tp)\b') or regexp_matches(w, '{_ABOUT.replace("'", "''")}(mo|mobile|tp)\b[^"'']*\buse_main_st_bg\b') then 'duplicate'
+ when regexp_matches(w, '{_ABOUT.replace("'", "''")}(element_img_icon|new_pd_bg)\b') or regexp_matches(w, '(?i)<video\b[^>]*\bposter=|product_pop') then 'decorative_asset'
+ when regexp_matches(w, '{_ABOUT.replace("'", "''")}(person_img|endorser)\b') or regexp_matches(w, '(?i)代言|見證|心得|testimonial') then 'brand_story_asset' end"""
+
+
+def _contexts(rows: str) -> str:
+    """CTEs that end in c (page_id, url, reason): the verdict of the markup within 260 characters of each spelling of a URL; rows: a CTE body (page_id, url, html)."""
+    return rf"""w0 as ({rows}), w1 as (select page_id, url, replace(replace(html, '&amp;', '&'), '\/', '/') as html, regexp_replace(url, '^(?i)https:', '') as b from w0),
+ w2 as (select page_id, url, html, unnest([url, b, replace(url,'/','\/'), replace(b,'/','\/'), replace(url,'&','&amp;'), replace(b,'&','&amp;')]) as v, unnest([1,2,3,4,5,6]) as nth from w1),
+ w3 as (select page_id, url, any_value(html) as html, v, min(nth) as nth from w2 group by page_id, url, v),
+ w4 as (select page_id, url, html, v, nth, string_split(html, v) as parts from w3),
+ w5 as (select page_id, url, html, v, nth, unnest(range(1, len(parts))) as k, parts from w4),
+ w6 as (select page_id, url, nth, k, html, v, list_sum(list_transform(parts[1:k], lambda x: length(x))) + (k - 1) * length(v) as s from w5),
+ w7 as (select page_id, url, nth, k, substr(html, cast(greatest(s - 260, 0) + 1 as bigint), cast(length(v) + 260 + least(s, 260) as bigint)) as w from w6),
+ w8 as (select page_id, url, nth, k, {_WHY} as reason from w7), c as (select page_id, url, arg_min(reason, nth * 1000000 + k) filter (reason is not null) as reason from w8 group by 1, 2)"""
+
+
+@query("f11_html_context", f"with {_contexts(f'select page_id, unnest([' + chr(39) + 'https://cdn.cybassets.com/media/' + chr(39) + ' || page_id || ' + chr(39) + '.png?a=1&b=2' + chr(39) + ', ' + chr(39) + 'https://cdn-ap.cybassets.com/s/files/' + chr(39) + ' || (page_id % 7) || ' + chr(39) + '.jpg' + chr(39) + f']) as url, html from ({D.MARKED})')} select page_id, url, reason from c")
 def f11(spark, d):
-    pages = D.table(spark, d, "pages")
-    tail = '<div class="person_img">' + "x" * 400 + '<img src="https:\\/\\/a.test\\/1.jpg?a=1&amp;b=2"></div><i class="element_img_icon"><img src="//a.test/1.jpg?a=1&b=2">'
-    rows = pages.select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit(tail)).alias("html"))
-    return rows.select("page_id", images.html_decision(F.col("html"), F.lit("https://a.test/1.jpg?a=1&b=2"))["reason"].alias("reason"))
+    n = F.col("page_id")
+    urls = F.array(F.concat(F.lit("https://cdn.cybassets.com/media/"), n.cast("string"), F.lit(".png?a=1&b=2")), F.concat(F.lit("https://cdn-ap.cybassets.com/s/files/"), (n % 7).cast("string"), F.lit(".jpg")))
+    rows = derived(spark, d, D.MARKED).withColumn("url", F.explode(urls))
+    return rows.select("page_id", "url", images.html_decision(F.col("html"), F.col("url"))["reason"].alias("reason"))
+
+
+_MARKED_IMAGES = f"m as ({D.MARKED}), i as (select page_id, unnest(range(len(u))) as pos, unnest(u) as raw, html from (select page_id, html, regexp_extract_all(html, '(?i)<img[^>]+(?:src|data-src)=[\"''](https?://[^\"'']+)[\"''][^>]*>', 1) as u from m)), j as (select page_id, pos, replace(raw, '&amp;', '&') as url, html from i)"
+
+
+@query("p05_cyberbiz", f"with {_MARKED_IMAGES}, {_contexts('select distinct page_id, url, html from j')}, n as (select page_id, pos, url, row_number() over (partition by page_id, url order by pos) as nth from j), e as (select n.*, case when nth > 1 then 'duplicate' else c.reason end as why from n left join c on c.page_id = n.page_id and c.url = n.url), f as (select *, row_number() over (partition by page_id, why is null order by pos) as turn from e) select page_id, pos, url, why is null and turn <= 2 as kept, case when why is null and turn > 2 then 'brand_story_asset' else why end as reason, case when why is null and turn > 2 then 'selected image cap 2' when nth > 1 then 'duplicate image URL' when why = 'duplicate' then 'responsive mobile duplicate' when why = 'decorative_asset' then 'decorative content image' when why = 'brand_story_asset' then 'testimonial or storytelling image' end as note, case when why is not null or turn > 2 then pos end as drop_order from f")
+def p05(spark, d):
+    rows = derived(spark, d, D.MARKED).select("page_id", "html", F.posexplode(observe.image_urls(F.col("html"))).alias("pos", "raw"))
+    rows = rows.select("page_id", F.col("pos").cast("long").alias("pos"), T.artifact_url(F.col("raw")).alias("url"), "html")
+    return flat(images.cyberbiz(rows, 2))
 
 
 @query("c03_sized_url", f"{_IMG} select page_id, pos, nullif(regexp_extract(url, '/([a-f0-9]{{20,}})/[0-9]+x\\.jpg', 1), '') as image_id, cast({_SIZE} as double) as size from i")
@@ -337,12 +372,16 @@ def a08(spark, d):
     return pages(spark, d).select("page_id", observe.lazy_images(F.col("html")).alias("n"))
 
 
-@query("c10_jsonld", f"{_PG} select page_id, page_id % 4 = 0 as product from p")
+_PRODUCT = """len(list_filter(regexp_extract_all(html, '(?is)<script[^>]+type=["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1), lambda b: regexp_matches(b, '(?i)"@type"\\s*:\\s*"?\\[?\\s*"?Product'))) > 0"""
+_PARTS = "list_filter(string_split(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '')"
+
+
+@query("c10_jsonld", f"{_PG} select page_id, {_PRODUCT} as product from p")
 def c10(spark, d):
     return pages(spark, d).select("page_id", observe.has_product_data(F.col("html")).alias("product"))
 
 
-@query("c11_path_segment", f"{_PG} select page_id, case page_id % 3 when 0 then 'products' when 1 then 'item' end as segment from p")
+@query("c11_path_segment", f"{_PG} select page_id, {_PARTS}[-2] as segment from p")
 def c11(spark, d):
     return pages(spark, d).select("page_id", U.product_path_segment(F.col("url")).alias("segment"))
 
@@ -357,35 +396,45 @@ def c12(spark, d):
     return rows.where("labels <> ''")
 
 
-_KIND = "case page_id % 5 when 0 then 'shopline' when 1 then 'cyberbiz' when 2 then 'bvshop' else 'custom' end"
-_EVIDENCE = "case page_id % 5 when 0 then 'image host shoplineimg.com' when 1 then 'image host cdn.cybassets.com' when 2 then 'image host image.bvshop.tw' || case when page_id % 3 = 1 then '; product path /item/' else '' end else '' end"
+_SEEN = f"""{_IMGS}, h as (select page_id, {_HOST} as host, count(*) as n from u group by 1, 2),
+ k as (select page_id, string_agg(host, ', ' order by n desc, host) filter (regexp_matches(host, 'img.shoplineapp.com|shoplineimg.com')) as shopline, string_agg(host, ', ' order by n desc, host) filter (contains(host, 'cybassets.com')) as cyberbiz, string_agg(host, ', ' order by n desc, host) filter (contains(host, 'image.bvshop.tw')) as bvshop, string_agg(host || ':' || n, ' ' order by n desc, host) as hosts from h group by 1),
+ l as ({_LABELS}),
+ o as (select p.page_id, p.url, case when shopline is not null then 'shopline' when cyberbiz is not null then 'cyberbiz' when bvshop is not null then 'bvshop' else 'custom' end as kind,
+  case when shopline is not null then ['image host ' || shopline] when cyberbiz is not null then ['image host ' || cyberbiz] when bvshop is not null then case when contains(p.url, '/item/') then ['image host ' || bvshop, 'product path /item/'] else ['image host ' || bvshop] end else [] end as evidence,
+  coalesce(hosts, '') as hosts, {_PRODUCT} as product, {_PARTS.replace("url", "p.url")}[-2] as segment, coalesce(labels, '') as labels, cast(len(regexp_extract_all(html, '(?i)<img[^>]+data-src=["'']https?://[^"'']+["'']')) as bigint) as lazy
+  from p left join k on k.page_id = p.page_id left join l on l.page_id = p.page_id)"""
 
 
-@query("j05_platform", f"select page_id, {_KIND} as kind, {_EVIDENCE} as evidence from pages")
+@query("j05_platform", f"{_SEEN} select page_id, kind, array_to_string(evidence, '; ') as evidence from o")
 def j05(spark, d):
     hosts = observe.image_hosts(observe.image_urls(F.col("html")))
     return pages(spark, d).withColumn("p", observe.platform(hosts, F.col("url"))).select("page_id", "p.kind", F.array_join("p.evidence", "; ").alias("evidence"))
 
 
-_METHOD = f"case when page_id % 4 <> 0 then 'html-direct' when page_id % 5 in (0, 1) then {_KIND} || '-jsonld-llm' else 'sitemap-jsonld' end"
-
-
-@query("c27_method", f"select page_id, {_METHOD} as method from pages")
+@query("c27_method", f"{_SEEN} select page_id, case when not product then 'html-direct' when kind in ('shopline', 'cyberbiz') then kind || '-jsonld-llm' else 'sitemap-jsonld' end as method from o")
 def c27(spark, d):
     obs = observe.observe(pages(spark, d))
     return obs.select("page_id", observe.suggested_method(F.col("has_product_data"), F.col("platform.kind")).alias("method"))
 
 
-@query("c28_suggestions", f"""select page_id, symbol, because from (
- select page_id, case page_id % 5 when 0 then 'define_shopline_source' when 1 then 'define_cyberbiz_source' when 2 then 'define_bvshop_source' else 'custom_commerce_platform' end as symbol, case when page_id % 5 < 3 then 'engine detected: ' || {_EVIDENCE} else 'no known engine signature among the image hosts' end as because from pages
- union all select page_id, 'carousel_labels', 'filenames suggest a label image: p-nutrition-facts.jpg, x-3-specifications.png' from pages where page_id % 5 = 3
- union all select page_id, 'select_by', '1 lazy-loaded images — worth filtering before OCR' from pages where page_id % 5 in (1, 3)
- union all select page_id, 'read_product_html', 'no Product JSON-LD found, so the page must be parsed directly' from pages where page_id % 4 <> 0)""")
+_ADVICE = """select page_id, case kind when 'custom' then 'custom_commerce_platform' else 'define_' || kind || '_source' end as symbol, case kind when 'custom' then 'its images come from hosts of no engine that is known here' else kind || ' serves this site: ' || array_to_string(evidence, ', ') end as because from o
+ union all select page_id, 'label_image', len(string_split(labels, ' ')) || ' image names speak of a label, the first is ' || split_part(labels, ' ', 1) from o where labels <> ''
+ union all select page_id, 'select_by', 'images loaded late: ' || lazy from o where lazy > 0
+ union all select page_id, 'read_product_html', 'the page declares no product of its own' from o where not product"""
+
+
+@query("c28_suggestions", f"{_SEEN} {_ADVICE}")
 def c28(spark, d):
     return observe.suggestions(observe.observe(pages(spark, d))).select("page_id", "symbol", "because")
 
 
-@query("p02_observe", f"{_IMGS}, l as ({_LABELS}), h as (select page_id, {_HOST} as host, count(*) as n from u group by 1, 2), hs as (select page_id, string_agg(host || ':' || n, ' ' order by n desc, host) as hosts from h group by 1) select p.page_id, p.url, {_KIND.replace('page_id', 'p.page_id')} as kind, coalesce(hosts, '') as hosts, p.page_id % 4 = 0 as product, case p.page_id % 3 when 0 then 'products' when 1 then 'item' end as segment, coalesce(labels, '') as labels, cast(case when p.page_id % 5 in (1, 3) then 1 else 0 end as bigint) as lazy from p left join hs on hs.page_id = p.page_id left join l on l.page_id = p.page_id")
+@query("j08_suggestion_summaries", f"{_SEEN}, a as ({_ADVICE}), s as (select * from (values ('select_by', 'Which images stay.'), ('read_product_html', 'Stored pages.'), ('read_product_html', 'Pages.')) as t(symbol, summary)), m as (select symbol, min(summary) as summary from s group by 1) select a.page_id, a.symbol, coalesce(m.summary, '') as summary from a left join m on m.symbol = a.symbol")
+def j08(spark, d):
+    known = spark.createDataFrame([("select_by", "Which images stay."), ("read_product_html", "Stored pages."), ("read_product_html", "Pages.")], "symbol string, summary string")
+    return observe.suggestions(observe.observe(pages(spark, d)), known).select("page_id", "symbol", "summary")
+
+
+@query("p02_observe", f"{_SEEN} select page_id, url, kind, hosts, product, segment, labels, lazy from o")
 def p02(spark, d):
     o = observe.observe(pages(spark, d))
     hosts = F.array_join(F.transform("image_hosts", lambda h: F.concat(h["host"], F.lit(":"), h["count"].cast("string"))), " ")
@@ -402,6 +451,12 @@ def o06(spark, d):
     return pages(spark, d).select("page_id", observe.label_image(F.col("html")).alias("label")).where("label is not null")
 
 
+@query("u13_slides_of_a_site", f"{_IMGS}, f as (select page_id, url, min(pos) as pos from u where regexp_matches(url, '//b\\.test/') group by 1, 2), s as (select page_id, string_agg(url, ' ' order by coalesce(try_cast(regexp_extract(url, 'x-([0-9]+)', 1) as bigint), -1), pos) as slides from f group by 1), l as (select page_id, min_by(url, pos) as label from u where regexp_matches(url, '(?i)specifications\\.') group by 1) select p.page_id, coalesce(slides, '') as slides, label from p left join s on s.page_id = p.page_id left join l on l.page_id = p.page_id")
+def u13(spark, d):
+    html = F.col("html")
+    return pages(spark, d).select("page_id", F.array_join(observe.slides(html, "//b\\.test/", r"x-(\d+)"), " ").alias("slides"), observe.label_image(html, r"(?i)specifications\.").alias("label"))
+
+
 @query("o08_top_host", f"{_IMGS}, h as (select page_id, {_HOST} as host, count(*) as n from u group by 1, 2) select page_id, host from h qualify row_number() over (partition by page_id order by n desc, host) = 1")
 def o08(spark, d):
     hosts = observe.image_hosts(observe.image_urls(F.col("html")))
@@ -431,42 +486,42 @@ def c13(spark, d):
     return D.table(spark, d, "pages").select("page_id", U.host(F.col("url")).alias("host"))
 
 
-@query("c14_bv_slug", "select page_id, case when page_id % 3 = 1 then cast(page_id as string) end as slug from pages")
+@query("c14_bv_slug", f"{_PG} select page_id, case when len({_PARTS}) = 2 and {_PARTS}[1] = 'item' then {_PARTS}[2] end as slug from p")
 def c14(spark, d):
     return pages(spark, d).select("page_id", U.bvshop_slug(F.col("url")).alias("slug"))
 
 
-@query("c15_bv_query_url", "select page_id, page_id % 3 = 1 and page_id % 7 <> 0 as ok, case when page_id % 3 = 1 and page_id % 7 <> 0 then 'https://shop.example.test/item/query/' || page_id end as url, case when page_id % 7 = 0 then 'INVALID_PRODUCT_URL' when page_id % 3 <> 1 then 'NOT_BVSHOP_ITEM_URL' end as code from pages")
+@query("c15_bv_query_url", f"{_PG}, q as (select page_id, case when page_id % 7 = 0 then html else url end as url from p), r as (select page_id, regexp_matches(url, '^https?://[^/?#]') as valid, case when len({_PARTS}) = 2 and {_PARTS}[1] = 'item' then {_PARTS}[2] end as slug, regexp_extract(url, '^https?://[^/?#]+') as origin from q) select page_id, valid and slug is not null as ok, case when valid and slug is not null then origin || '/item/query/' || slug end as url, case when not valid then 'INVALID_PRODUCT_URL' when slug is null then 'NOT_BVSHOP_ITEM_URL' end as code from r")
 def c15(spark, d):
-    url = F.when(F.col("page_id") % 7 == 0, F.lit("not a url")).otherwise(F.col("url"))
+    url = F.when(F.col("page_id") % 7 == 0, F.col("html")).otherwise(F.col("url"))
     return pages(spark, d).withColumn("r", U.bvshop_query_url(url)).select("page_id", "r.ok", "r.url", "r.code")
 
 
-@query("c16_cookies", "select page_id, case page_id % 4 when 0 then null when 1 then 'a=1' when 2 then 'a=1; b=2' else 'c=x=y' end as cookie from pages")
+@query("c16_cookies", "select page_id, nullif(array_to_string(list_filter(list_transform(string_split_regex(url, '[/?]'), lambda x: trim(split_part(x, '&', 1))), lambda x: regexp_matches(x, '^[^=]+=.')), '; '), '') as cookie from (select page_id, url || '?a=1&Path=/b=/ c=x=y &z' as url from pages)")
 def c16(spark, d):
-    n = F.col("page_id") % 4
-    text = F.when(n == 0, F.array(F.lit("=x; Path=/"), F.lit("novalue"))).when(n == 1, F.array(F.lit(" a=1 ; Path=/"))).when(n == 2, F.array(F.lit("a=1; Secure"), F.lit("b="), F.lit("b=2"))).otherwise(F.array(F.lit("c=x=y; HttpOnly")))
-    return D.table(spark, d, "pages").select("page_id", U.cookie_header(text).alias("cookie"))
+    lines = F.split(F.concat("url", F.lit("?a=1&Path=/b=/ c=x=y &z")), "[/?]")
+    return D.table(spark, d, "pages").select("page_id", U.cookie_header(F.transform(lines, lambda x: F.replace(x, F.lit("&"), F.lit(";")))).alias("cookie"))
 
 
-@query("c17_sitemap_url", "select page_id, case when page_id % 2 = 0 then 'https://h.test/sitemap.xml' else 'https://shop.test/a/sitemap.xml' end as url from pages")
+@query("c17_sitemap_url", "select page_id, case when page_id % 2 = 0 then 'https://' || regexp_extract(url, '^https?://([^/]+)', 1) else regexp_replace(url, '/+$', '') end || '/sitemap.xml' as url from (select page_id, url || case when page_id % 3 = 0 then '//' else '' end as url from pages)")
 def c17(spark, d):
-    site = F.when(F.col("page_id") % 2 == 1, "https://shop.test/a//")
-    return D.table(spark, d, "pages").select("page_id", U.sitemap_url(site, F.lit("h.test")).alias("url"))
+    url = F.concat("url", F.when(F.col("page_id") % 3 == 0, "//").otherwise(""))
+    return D.table(spark, d, "pages").select("page_id", U.sitemap_url(F.when(F.col("page_id") % 2 == 1, url), F.regexp_extract(url, "^https?://([^/]+)", 1)).alias("url"))
+
+
+_ANSWER = "case doc_id % 3 when 0 then concat('```json', chr(10), text, chr(10), '```') when 1 then concat(' ```', text, '``` ') else text end"
 
 
-@query("c18_fences", "select page_id, case page_id % 3 when 0 then '{\"a\":1}' when 1 then '{\"a\":1}' else ' {\"a\":1} ' end as body from pages")
+@query("c18_fences", rf"with a as (select doc_id, {_ANSWER} as raw from documents where text is not null), t as (select doc_id, raw, regexp_replace(raw, '^\s+|\s+$', '', 'g') as t from a) select doc_id, case when regexp_matches(t, '(?s)^```(?:json)?\s*(.*?)\n?```$') then regexp_extract(t, '(?s)^```(?:json)?\s*(.*?)\n?```$', 1) else raw end as body from t")
 def c18(spark, d):
-    n = F.col("page_id") % 3
-    raw = F.when(n == 0, '```json\n{"a":1}\n```').when(n == 1, ' ```\n{"a":1}``` ').otherwise(' {"a":1} ')
-    return D.table(spark, d, "pages").select("page_id", T.without_fences(raw).alias("body"))
+    rows = D.table(spark, d, "documents").where("text is not null").selectExpr("doc_id", f"{_ANSWER} as raw")
+    return rows.select("doc_id", T.without_fences(F.col("raw")).alias("body"))
 
 
-@query("c22_mime", "select page_id, case page_id % 4 when 0 then 'image/png' when 1 then 'image/webp' else 'image/jpeg' end as mime, case page_id % 4 when 0 then 'png' when 1 then 'webp' else 'jpg' end as extension from pages")
+@query("c22_mime", f"{_IMG}, m as (select page_id, pos, case when url like '%png%' then 'image/png' when url like '%webp%' then 'image/webp' else 'image/jpeg' end as mime from i) select page_id, pos, mime, case mime when 'image/png' then 'png' when 'image/webp' then 'webp' else 'jpg' end as extension from m")
 def c22(spark, d):
-    n = F.col("page_id") % 4
-    mime = T.mime_type(F.when(n == 0, "IMAGE/PNG; q=1").when(n == 1, "image/webp").when(n == 2, "text/html"))
-    return D.table(spark, d, "pages").select("page_id", mime.alias("mime"), T.extension_of(mime).alias("extension"))
+    mime = T.mime_type(F.upper("url"))
+    return img(spark, d).select("page_id", "pos", mime.alias("mime"), T.extension_of(mime).alias("extension"))
 
 
 @query("c25_utf16_length", "select doc_id, cast(length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) as bigint) as units from documents where text is not null")
@@ -474,10 +529,13 @@ def c25(spark, d):
     return D.table(spark, d, "documents").where("text is not null").select("doc_id", T.utf16_length(F.col("text")).alias("units"))
 
 
-@query("c33_progress", "select page_id, case when page_id % 50 > 0 then floor((page_id % 7) / (page_id % 50) * 1000.0 + 0.5) / 10 else 0.0 end::double as percentage, case when page_id % 7 > 0 then cast(floor(page_id * 100.0 / (page_id % 7) * greatest(page_id % 50 - page_id % 7, 0) / 1000 + 0.5) as bigint) else 0 end as eta from pages")
+@query("c33_progress", "with e as (select user_id, event_id, row_number() over (partition by user_id order by event_id) as done, count(*) over (partition by user_id) as total from events) select event_id, floor(done / total * 1000.0 + 0.5) / 10 as percentage, cast(floor(event_id * 1.0 / done * (total - done) / 1000 + 0.5) as bigint) as eta from e")
 def c33(spark, d):
-    n = F.col("page_id")
-    return D.table(spark, d, "pages").select("page_id", N.percentage(n % 7, n % 50).cast("double").alias("percentage"), N.eta_seconds(n * 100, n % 7, n % 50).cast("long").alias("eta"))
+    from pyspark.sql import Window
+
+    own = Window.partitionBy("user_id")
+    rows = D.table(spark, d, "events").select("event_id", F.row_number().over(own.orderBy("event_id")).alias("done"), F.count("*").over(own).alias("total"))
+    return rows.select("event_id", N.percentage(F.col("done"), F.col("total")).cast("double").alias("percentage"), N.eta_seconds(F.col("event_id"), F.col("done"), F.col("total")).cast("long").alias("eta"))
 
 
 @query("k03_progress_path", "select page_id, 's' || page_id || '.progress.json' as path from pages")
@@ -491,23 +549,28 @@ def k03(spark, d):
 _PAY = f"with p as ({D.PAYLOADS})"
 
 
-@query("c40_item_query", "select doc_id, case doc_id % 5 when 1 then 'd' end as description, case doc_id % 5 when 1 then 'n' end as name, cast(case doc_id % 5 when 1 then 0 else 1 end as bigint) as photos from documents where doc_id % 5 in (1, 3)")
+_ITEM = """j as (select doc_id, case when json_valid(payload) then payload end as j from p), v as (select doc_id, j, case when json_type(j, '$.response.prod.description') = 'VARCHAR' then nullif(j ->> '$.response.prod.description', '') end as description, case when json_type(j, '$.response.prod.name') = 'VARCHAR' then nullif(j ->> '$.response.prod.name', '') end as name, coalesce(case when json_type(j, '$.response.prod.photos') = 'ARRAY' then json_array_length(j, '$.response.prod.photos') end, 0) as photos, coalesce(case when json_type(j, '$.response.prod.q_and_a') = 'ARRAY' then json_array_length(j, '$.response.prod.q_and_a') end, 0) as answers from j where json_type(j, '$.response.prod') = 'OBJECT')"""
+_USEFUL = "description is not null or photos > 0 or answers > 0"
+
+
+
+@query("c40_item_query", f"{_PAY}, {_ITEM} select doc_id, description, name, cast(photos as bigint) as photos from v where {_USEFUL}")
 def c40(spark, d):
     art = derived(spark, d, D.PAYLOADS).withColumn("j", J.item_query_artifact(F.lit("https://q.test/1"), F.col("payload"))).where("j is not null").withColumn("v", F.parse_json("j"))
     return art.select("doc_id", F.try_variant_get("v", "$.prod.description", "string").alias("description"), F.try_variant_get("v", "$.prod.name", "string").alias("name"), F.size(J.array_at(F.col("v"), "$.prod.photos")).cast("long").alias("photos"))
 
 
-@query("f14_usable_script", "select doc_id, doc_id % 5 in (1, 3) as usable from documents")
+@query("f14_usable_script", f"{_PAY}, {_ITEM}, w as (select doc_id from v where {_USEFUL}) select p.doc_id, w.doc_id is not null as usable from p left join w on w.doc_id = p.doc_id")
 def f14(spark, d):
     art = derived(spark, d, D.PAYLOADS).withColumn("j", J.item_query_artifact(F.lit("https://q.test/</SCRIPT>"), F.col("payload")))
     html = F.when(F.col("j").isNull(), F.lit("<p>x</p>")).otherwise(J.append_script(F.lit("<p>x</p>"), F.col("j")))
     return art.select("doc_id", J.has_usable_script(html).alias("usable"))
 
 
-@query("k04_append_script", "select doc_id, '<p>' || chr(10) || '<script type=\"application/json\" data-scraper-bvshop-item-query>{\"a\":\"<\\/script>' || doc_id || '\"}</script>' || chr(10) as html from documents")
+@query("k04_append_script", "select page_id, html || chr(10) || '<script type=\"application/json\" data-scraper-bvshop-item-query>' || regexp_replace(j, '(?i)</script', '<\\\\/script', 'g') || '</script>' || chr(10) as html from (select page_id, html, '{\"a\":\"</Script>' || url || '</SCRIPT\"}' as j from pages)")
 def k04(spark, d):
-    json = F.concat(F.lit('{"a":"</Script>'), F.col("doc_id").cast("string"), F.lit('"}'))
-    return D.table(spark, d, "documents").select("doc_id", J.append_script(F.lit("<p>"), json).alias("html"))
+    json = F.concat(F.lit('{"a":"</Script>'), F.col("url"), F.lit('</SCRIPT"}'))
+    return D.table(spark, d, "pages").select("page_id", J.append_script(F.col("html"), json).alias("html"))
 
 
 @query("c42_layout", "select doc_id, case when doc_id % 4 in (0, 1) then 2 end::integer as n_lines, case when doc_id % 4 in (0, 1) then 1 end::integer as n_boxes from documents")
@@ -544,17 +607,16 @@ def a09(spark, d):
     return ocr.markdown(ocr_lines(spark, d))
 
 
-@query("c21_quality", "select doc_id, case doc_id % 3 when 0 then 'suspect_黃耆_as_黄者' when 1 then 'suspect_黃耆_as_黄者;suspect_黃耆_as_黃蓍' else '' end as warnings from documents")
+@query("c21_quality", "with t as (select doc_id, [text, case doc_id % 3 when 0 then '黄者 萃取物' when 1 then '黃蓍' else '黃耆' end || substr(text, 2), case when doc_id % 3 = 1 then 'x黄者' else 'y' end] as t from documents where text is not null) select doc_id, array_to_string(list_filter([case when contains(array_to_string(t, chr(10)), '黄者') then 'suspect_黃耆_as_黄者' end, case when contains(array_to_string(t, chr(10)), '黃蓍') then 'suspect_黃耆_as_黃蓍' end], lambda x: x is not null), ';') as warnings from t")
 def c21(spark, d):
-    n = F.col("doc_id") % 3
-    texts = F.array(F.when(n == 0, "黄者 萃取物").when(n == 1, "黃蓍").otherwise("黃耆"), F.when(n == 1, "x黄者").otherwise("y"))
-    return D.table(spark, d, "documents").select("doc_id", F.array_join(ocr.run_checks(texts, [ocr.confusion_check]), ";").alias("warnings"))
+    n, text = F.col("doc_id") % 3, F.col("text")
+    texts = F.array(text, F.concat(F.when(n == 0, "黄者 萃取物").when(n == 1, "黃蓍").otherwise("黃耆"), F.substr(text, F.lit(2))), F.when(n == 1, "x黄者").otherwise("y"))
+    return D.table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(ocr.run_checks(texts, [ocr.confusion_check]), ";").alias("warnings"))
 
 
-@query("c30_band", "select doc_id, case when doc_id % 11 = 0 then 'LOW' when (doc_id % 10) / 10.0 >= 0.82 then 'HIGH' when (doc_id % 10) / 10.0 >= 0.55 then 'MEDIUM' else 'LOW' end as band from documents")
+@query("c30_band", f"{_OCR} select doc_id, pos, case when pos % 11 = 0 then 'LOW' when confidence >= 0.82 then 'HIGH' when confidence >= 0.55 then 'MEDIUM' else 'LOW' end as band from o")
 def c30(spark, d):
-    n = F.col("doc_id")
-    return D.table(spark, d, "documents").select("doc_id", N.confidence_band(F.when(n % 11 != 0, (n % 10) / 10.0)).alias("band"))
+    return ocr_lines(spark, d).select("doc_id", "pos", N.confidence_band(F.when(F.col("pos") % 11 != 0, F.col("confidence"))).alias("band"))
 
 
 # --- artifacts ------------------------------------------------------------------------------------------
@@ -588,6 +650,18 @@ def a03(spark, d):
     return A.role_counts(A.full_context(arts, cls, VOCABULARY), VOCABULARY, "page_id")
 
 
+@query("a04_default_roles", f"{_ART}, r as (select page_id, case when artifact_kind = 'html' then 'html' else 'unknown' end as roles from a) select page_id, {_COUNTS} from r group by 1")
+def a04(spark, d):
+    arts, _ = classified(spark, d)
+    return A.role_counts(A.default_classification(arts, VOCABULARY)[1], VOCABULARY, "page_id")
+
+
+@query("x07_unknown_roles", f"{_ART}, r as (select page_id, id, unnest(string_split(roles_csv, ',')) as role from a where roles_csv is not null) select page_id, role, count(*) as n from r where role not in ('html', 'promo', 'unknown') group by 1, 2")
+def x07(spark, d):
+    _, cls = classified(spark, d)
+    return A.unknown_roles(cls, A.Vocabulary(roles=("html", "promo", "unknown")), "page_id")
+
+
 @query("a05_chars", f"{_ART} select page_id, cast(sum({_LEN}) as bigint) as chars from a group by 1")
 def a05(spark, d):
     return A.characters(classified(spark, d)[0], "page_id")
@@ -652,32 +726,44 @@ def a07(spark, d):
 # --- catalogue and scaffold ----------------------------------------------------------------------------------
 
 
-@query("f15_catalogue_search", "select * from (values ('parse', 'robots'), ('disallowed', 'robots')) as t(symbol, module) order by 1")
+# a catalogue of pages: the language is the axis, the path's end the symbol
+_CAT = "select regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) as symbol, regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) as axis, url as summary from pages"
+
+
+@query("f15_catalogue_search", f"with c as ({_CAT}) select symbol, axis, summary from c where contains(lower(symbol), '1') or contains(lower(summary), '1') or contains(lower(summary), 'utm') or contains(lower(symbol), 'utm')")
 def f15(spark, d):
     from storeloom.operators import catalogue
 
-    rows = [(s, "robots") for s, axis, _ in catalogue.entries() if axis == "http"]
-    known = spark.createDataFrame(rows, "symbol string, axis string").withColumn("summary", F.col("symbol"))
-    hits = catalogue.search(known, "PARSE").unionAll(catalogue.search(known, "disallowed"))
-    return hits.select("symbol", F.col("axis").alias("module"))
+    known = D.table(spark, d, "pages").select(F.regexp_extract("url", r"([^/?#]*)([?#].*)?\z", 1).alias("symbol"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("axis"), F.col("url").alias("summary"))
+    return catalogue.search(known, "UTM").unionAll(catalogue.search(known, "1")).distinct()
 
 
-@query("f17_scaffold_problems", f"select page_id, case when page_id % 7 = 0 then 'name' when page_id % 5 = 0 then 'rawHost' when page_id % 3 = 0 then 'storeId' when page_id % 2 = 0 then 'imageCdnHost' end as problem from pages")
-def f17(spark, d):
-    from storeloom.operators import scaffold
+@query("x05_axis_and_search", f"with c as ({_CAT}) select symbol, axis, summary from c where axis = 'es' and symbol in (select symbol from c where contains(lower(symbol), '1') or contains(lower(summary), '1'))")
+def x05(spark, d):
+    from storeloom.operators import catalogue
 
-    n = F.col("page_id")
-    name = F.when(n % 7 == 0, F.lit("Example")).otherwise(F.concat(F.lit("shop"), n.cast("string")))
-    host = F.when(n % 5 == 0, F.lit("https://a.test")).otherwise(F.lit("a.test"))
-    platform = F.when(n % 3 == 0, "bvshop").when(n % 2 == 0, "custom").otherwise("shopline")
-    none = F.lit(None).cast("string")
-    return D.table(spark, d, "pages").select("page_id", scaffold.problem(name, host, F.lit("https://a.test"), platform, F.lit("products"), none, none).alias("problem"))
+    known = D.table(spark, d, "pages").select(F.regexp_extract("url", r"([^/?#]*)([?#].*)?\z", 1).alias("symbol"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("axis"), F.col("url").alias("summary"))
+    return catalogue.matching(known, "es", "1")
 
 
-@query("x05_axis_and_search", "select event_type, count(*) as n from events where event_type in (select event_type from events where value > 50) and event_type like '%i%' group by 1")
-def x05(spark, d):
-    rows = D.table(spark, d, "events")
-    return rows.where("event_type like '%i%'").join(rows.where("value > 50").select("event_type").distinct(), "event_type", "left_semi").groupBy("event_type").agg(F.count("*").alias("n"))
+@query("j10_parity", f"with c as ({_CAT}), s as (select distinct symbol from c where axis in ('es', 'fr')), e as (select distinct symbol from c where axis in ('fr', 'de')) select symbol, 'catalogue' as missing from (select symbol from e except all select symbol from s) union all select symbol, 'exports' from (select symbol from s except all select symbol from e)")
+def j10(spark, d):
+    from storeloom.operators import catalogue
+
+    known = D.table(spark, d, "pages").select(F.regexp_extract("url", r"([^/?#]*)([?#].*)?\z", 1).alias("symbol"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("axis"))
+    return catalogue.parity(known.where("axis in ('es', 'fr')"), known.where("axis in ('fr', 'de')"))
+
+
+_SPEC = "select page_id, case when page_id % 7 = 0 then url else 'shop' || page_id end as name, case when page_id % 5 = 0 then url else regexp_extract(url, '^https?://([^/]+)', 1) end as raw_host, case when page_id % 11 = 0 then substr(url, 2) else url end as site_url, case page_id % 3 when 0 then 'bvshop' when 1 then 'custom' else 'shopline' end as platform, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) as segment, case when page_id % 2 = 0 then cast(page_id as string) end as store_id, case when page_id % 4 = 0 then regexp_extract(url, '^https?://([^?]+)', 1) when page_id % 4 = 1 then 'cdn.test' end as cdn from pages"
+_LABEL_HOST = "^[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?(\\.[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?)+$"
+
+
+@query("f17_scaffold_problems", f"with s as ({_SPEC}) select page_id, case when not regexp_matches(name, '^[a-z][a-z0-9-]*$') then 'name' when not regexp_matches(raw_host, '{_LABEL_HOST}') then 'rawHost' when not regexp_matches(site_url, '^https?://') then 'siteUrl' when not regexp_matches(segment, '^[A-Za-z0-9][A-Za-z0-9/-]*$') then 'productPathSegment' when platform = 'bvshop' and coalesce(store_id, '') = '' then 'storeId' when platform = 'custom' and coalesce(cdn, '') = '' then 'imageCdnHost' when cdn is not null and not regexp_matches(cdn, '{_LABEL_HOST}') then 'imageCdnHostShape' end as problem from s")
+def f17(spark, d):
+    from storeloom.operators import scaffold
+
+    rows = derived(spark, d, _SPEC)
+    return rows.select("page_id", scaffold.problem(*(F.col(c) for c in ("name", "raw_host", "site_url", "platform", "segment", "store_id", "cdn"))).alias("problem"))
 
 
 @query("a12_usefulness", "select count(*) as total, count(*) filter (event_type = 'view') as useful, count(*) filter (event_type = 'view') as role_view, count(*) filter (event_type = 'click') as role_click from events")
@@ -688,7 +774,7 @@ def a12(spark, d):
     return usefulness(rows, ("view", "click"))
 
 
-@query("a11_gate_summary", "select count(*) as total_pages, count(*) filter (page_id % 4 = 0 and page_id % 3 < 2) as parsed_products, count(*) filter (page_id % 4 <> 0) as noJsonLdBlock, count(*) filter (page_id % 4 = 0 and page_id % 3 = 2) as missingProductId from pages")
+@query("a11_gate_summary", f"{_SEEN} select count(*) as total_pages, count(*) filter (product and segment is not null) as parsed_products, count(*) filter (not product) as noJsonLdBlock, count(*) filter (product and segment is null) as missingProductId from o")
 def a11_gates(spark, d):
     from storeloom.operators.stages import gate_summary
 
@@ -736,3 +822,137 @@ def c02(spark, d):
 def c44(spark, d):
     r = ocr.empty_result("p", "NO_TEXT", ["a", "b"])
     return D.table(spark, d, "pages").select("page_id", r.alias("r")).select("page_id", F.col("r.raw_markdown").alias("markdown"), F.col("r.confidence").alias("band"), "r.notes", F.col("r.fallback_reason").alias("reason"))
+
+
+# --- fetching and asking, by transports and clients that answer from the URL or prompt itself ---------------
+
+
+def _transport(url, headers, timeout):
+    n = len(url) % 7
+    if n == 1:
+        raise TimeoutError
+    if n == 2:
+        raise OSError("no route")
+    kinds = {3: {"content-type": "image/PNG; q=1"}, 4: {"Content-Type": "image/webp"}, 5: {}}
+    return (404 if n == 6 else 200), kinds.get(n, {"Content-Type": "text/html"}), f"<p>{url}</p>".encode()
+
+
+_FETCHED = "f as (select url, length(url) % 7 as n from (select distinct url from pages))"
+
+
+@query("s10_fetch_text", f"with {_FETCHED} select url, case when n in (1, 2) then null when n = 6 then 404 else 200 end::integer as status, case n when 1 then null when 2 then null when 3 then 'image/PNG; q=1' when 4 then 'image/webp' when 5 then null else 'text/html' end as content_type, case when n in (1, 2, 6) then null else '<p>' || url || '</p>' end as text, case n when 1 then 'FETCH_ABORTED' when 2 then 'FETCH_FAILED' when 6 then 'HTTP_STATUS' end as error_code from f")
+def s10(spark, d):
+    from storeloom.sources import http
+
+    return http.fetch_text(D.table(spark, d, "pages").select("url").distinct(), _transport, interval_ms=0)
+
+
+@query("s12_fetch_images", f"with {_FETCHED} select url, case when n in (1, 2, 6) then null else to_base64(encode('<p>' || url || '</p>')) end as base64, case when n in (1, 2, 6) then null when n = 3 then 'image/png' when n = 4 then 'image/webp' else 'image/jpeg' end as mime_type, case when n in (1, 2) then null when n = 6 then 404 else 200 end::integer as status, case when n in (1, 2) then 'FETCH_FAILED' when n = 6 then 'HTTP_NOT_OK' end as error_code from f")
+def s12(spark, d):
+    from storeloom.sources import http
+
+    rows = http.fetch_images(D.table(spark, d, "pages").select("url").distinct(), _transport, interval_ms=0)
+    # the encoder breaks long output into lines
+    return rows.withColumn("base64", F.regexp_replace("base64", r"[\r\n]", ""))
+
+
+_ANSWERS = {"type": "object", "required": ["url", "n"], "properties": {"url": {"type": "string"}, "n": {"type": "integer", "minimum": 0}}}
+
+
+def _client():
+    """Answers by the prompt's length, and by how often it was asked."""
+    import json
+
+    asked: dict[str, int] = {}
+
+    def ask(model, messages, timeout):
+        prompt = messages[0]["content"]
+        asked[prompt] = nth = asked.get(prompt, 0) + 1
+        good, usage, n = json.dumps({"url": prompt, "n": len(prompt)}), {"prompt_tokens": len(prompt), "completion_tokens": 2, "total_tokens": len(prompt) + 2}, len(prompt) % 6
+        if n == 1 and nth == 1:
+            raise OSError("reset")
+        if n == 2:
+            raise model_client.ModelError("AUTH")
+        if n == 5:
+            raise model_client.ModelError("PROVIDER_ERROR")
+        if n == 3 and nth < 3:
+            return '{"url": 7}' if nth == 1 else "no json", usage
+        return "" if n == 4 else f"```json\n{good}\n```", usage
+
+    return ask
+
+
+@query("p06_extract", "with q as (select page_id, url, length(url) as l, length(url) % 6 as n from pages), a as (select *, case n when 0 then 1 when 1 then 2 when 2 then 1 else 3 end as attempts, case n when 2 then 0 when 5 then 0 when 0 then 1 when 1 then 1 else 3 end as answered from q) select page_id as id, case when n in (0, 1, 3) then url end as url, case when n in (0, 1, 3) then l end as n, case n when 2 then 'AUTH' when 4 then 'EMPTY_RESPONSE' when 5 then 'PROVIDER_ERROR' end as error_code, attempts::integer as attempts, cast(l * answered as bigint) as prompt_tokens, cast((l + 2) * answered as bigint) as total_tokens from a")
+def p06_extract(spark, d):
+    rows = D.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("prompt"), F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("mime"))
+    out = model_client.complete(rows, _client, "t", "v", _ANSWERS)
+    return out.select("id", F.get_json_object("content", "$.url").alias("url"), F.get_json_object("content", "$.n").cast("long").alias("n"), "error_code", "attempts", "prompt_tokens", "total_tokens")
+
+
+def _engine():
+    import json
+
+    def read(content, mime):
+        text = content.decode()
+        if mime != "image/png":
+            raise ValueError("cannot decode")
+        return json.dumps({"ok": True, "lines": [{"text": x, "confidence": 0.9} for x in text.split("\n")]})
+
+    return read
+
+
+@query("u06_transcribe", r"select doc_id as id, case when doc_id % 3 = 0 then '' else coalesce((select string_agg(trim(x, chr(32) || chr(9) || chr(13)), chr(10) order by i) from (select unnest(string_split(text, chr(10))) as x, unnest(range(len(string_split(text, chr(10))))) as i) where trim(x, chr(32) || chr(9) || chr(13)) <> ''), '') end as markdown, case when doc_id % 3 = 0 then 'PROVIDER_ERROR' when regexp_matches(text, '\S') then null else 'NO_TEXT' end as reason, case when doc_id % 3 = 0 then 'ValueError: cannot decode' when regexp_matches(text, '\S') then null else 'no text lines returned' end as notes from documents where text is not null")
+def u06(spark, d):
+    from storeloom.sources import recogniser
+
+    rows = D.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.encode("text", "UTF-8").alias("content"), F.when(F.col("doc_id") % 3 == 0, "text/html").otherwise("image/png").alias("mime_type"))
+    return recogniser.transcribe(rows, _engine).select("id", F.col("result.raw_markdown").alias("markdown"), F.col("result.fallback_reason").alias("reason"), "result.notes")
+
+
+@query("s04_candidates_with_meta", f"{_CAND} select pos, product_url as url, product_id, product_url || '#' || pos as meta from c where coalesce(product_url,'')<>'' and coalesce(product_id,'')<>''")
+def s04(spark, d):
+    rows = derived(spark, d, D.CANDIDATES).withColumn("meta", F.concat("product_url", F.lit("#"), F.col("pos").cast("string")))
+    return discovery.load_candidates(rows.where(discovery.missing_field(F.col("product_url"), F.col("product_id")).isNull()), meta=True)
+
+
+@query("c06_plain_pattern", "select page_id, contains(url, '.example.org/es/1') as found, contains(url, '?utm_source=feed') as tagged from pages")
+def c06(spark, d):
+    return D.table(spark, d, "pages").select("page_id", F.col("url").rlike(T.plain(".example.org/es/1")).alias("found"), F.col("url").rlike(T.plain("?utm_source=feed")).alias("tagged"))
+
+
+@query("t03_snapshot", "select cast(page_id as varchar) as product_id, html from pages where page_id % 3 <> 0")
+def t03(spark, d):
+    from storeloom.functions.lineage import new_folder
+    from storeloom.streaming import snapshots
+
+    path = new_folder(spark, "snapshots")
+    pages_ = D.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("product_id"), "html", F.lit("h.test").alias("host"), F.when(F.col("page_id") % 3 == 0, "2026-Q2").otherwise("2026-Q3").alias("quarter"))
+    snapshots.write_snapshot(pages_, path)
+    return snapshots.read_snapshot(spark, path, "h.test", "2026-Q3").select("product_id", "html")
+
+
+@query("t04_phases", "select regexp_replace(url, '[?#].*$', '') as url, count(*) as n from pages where html is not null group by 1")
+def t04(spark, d):
+    from storeloom.functions.lineage import new_folder
+    from storeloom.plans.phases import run_phases
+
+    steps = {
+        "reconcile": lambda rows: rows.groupBy("url").agg(F.count("*").alias("n")),
+        "download": lambda rows: rows.where("html is not null").select("url"),
+        "stage": lambda rows: rows.withColumn("url", F.regexp_replace("url", r"[?#].*\z", "")),
+    }
+    return run_phases(spark, D.table(spark, d, "pages"), steps, new_folder(spark, "phases"))
+
+
+@query("u11_source_hooks", f"{_SEEN} select page_id, case when product then url else 'no product' end as fact, case when segment is null then 'none' else segment end as path from o where kind = 'shopline'")
+def u11(spark, d):
+    from storeloom.operators import platforms, stages
+
+    source = platforms.define_shopline_source(
+        "s", "shop.example.test", "/products/(.+)",
+        structured_facts=lambda rows: rows.select("page_id", F.when(F.col("has_product_data"), F.col("url")).otherwise("no product").alias("fact")),
+        download=platforms.Download("https://shop.example.test"),
+        stage=lambda rows: rows.withColumn("path", F.coalesce("product_path_segment", F.lit("none"))),
+        reconcile=lambda rows: rows.dropDuplicates(["page_id"]),
+    )
+    return stages.run_source(source, observe.observe(pages(spark, d)).where(F.col("platform.kind") == "shopline")).select("page_id", "fact", "path")

@@ -79,8 +79,40 @@ def _unfenced(raw: str) -> str:
     return raw
 
 
-def ask(client: Callable, model: str, prompt: str, image: str | None, mime: str | None, check: Callable | None, retries: int = RETRIES, timeout_ms: int = TIMEOUT_MS) -> dict:
+# Names of types in a schema.
+_TYPES = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
+
+
+def violations(value, schema: Mapping, at: str = "$") -> list[str]:
+    """Where parsed JSON departs from a schema (type, enum, required, properties, items, minimum, maximum, minLength), as path: what."""
+    kinds = schema.get("type")
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    fits = lambda kind: isinstance(value, _TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
+    if kinds and not any(map(fits, kinds)):
+        return [f"{at}: not {' or '.join(kinds)}"]
+    out = [f"{at}: not one of {schema['enum']}"] if "enum" in schema and value not in schema["enum"] else []
+    if isinstance(value, dict):
+        out += [f"{at}.{name}: missing" for name in schema.get("required", ()) if name not in value]
+        for name, inner in schema.get("properties", {}).items():
+            out += violations(value[name], inner, f"{at}.{name}") if name in value else []
+    elif isinstance(value, list) and "items" in schema:
+        for i, x in enumerate(value):
+            out += violations(x, schema["items"], f"{at}[{i}]")
+    elif isinstance(value, str) and len(value) < schema.get("minLength", 0):
+        out.append(f"{at}: shorter than {schema['minLength']}")
+    elif isinstance(value, (int, float)) and not isinstance(value, bool):
+        out += [f"{at}: beyond {name} {schema[name]}" for name, bad in (("minimum", lambda b: value < b), ("maximum", lambda b: value > b)) if name in schema and bad(schema[name])]
+    return out
+
+
+def checker(check: Callable | Mapping | None) -> Callable | None:
+    """A predicate on parsed JSON out of a schema; a predicate as it is."""
+    return (lambda value: not violations(value, check)) if isinstance(check, Mapping) else check
+
+
+def ask(client: Callable, model: str, prompt: str, image: str | None, mime: str | None, check: Callable | Mapping | None, retries: int = RETRIES, timeout_ms: int = TIMEOUT_MS) -> dict:
     """One answer: content, code, attempts, and usage summed over attempts (of the last one where nothing is checked)."""
+    check = checker(check)
     total = {"prompt_tokens": 0, "completion_tokens": 0, "total_tokens": 0}
     code, content, attempts = "UNKNOWN", None, 0
     for attempts in range(1, retries + 2):
@@ -115,8 +147,8 @@ def ask(client: Callable, model: str, prompt: str, image: str | None, mime: str
 SCHEMA = "id long, model string, content string, error_code string, attempts int, prompt_tokens long, completion_tokens long, total_tokens long"
 
 
-def complete(rows: DataFrame, make_client: Callable[[], Callable], text_model: str, vision_model: str, check: Callable | None = None, **options) -> DataFrame:
-    """Rows (id, prompt, image, mime) to their answers. ``check`` (a predicate on parsed JSON) makes it an extraction.
+def complete(rows: DataFrame, make_client: Callable[[], Callable], text_model: str, vision_model: str, check: Callable | Mapping | None = None, **options) -> DataFrame:
+    """Rows (id, prompt, image, mime) to their answers. ``check`` (a schema, or a predicate on parsed JSON) makes it an extraction.
 
     One client a task; a task that is run again asks again, so ids serve as idempotency keys.
     """

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,13 +29,12 @@ def pace_stream(requests: DataFrame, interval: int) -> DataFrame:
     def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
         (free,) = state.get if state.exists else (-(1 << 62),)
-        slots = []
-        for t in rows["t_us"]:
-            slot = max(int(t), free)
-            slots.append(slot)
-            free = slot + interval
-        state.update((free,))
-        yield rows.assign(slot=slots, wait=[s - t for s, t in zip(slots, rows["t_us"])])[["host_id", "seq", "t_us", "slot", "wait"]]
+        # the batch form over this trigger's rows, which the state's next free time precedes
+        times = rows["t_us"].to_numpy(np.int64)
+        before = np.arange(len(times)) * interval
+        slots = np.maximum(np.maximum.accumulate(times - before), free) + before
+        state.update((int(slots[-1]) + interval,))
+        yield rows.assign(slot=slots, wait=slots - times)[["host_id", "seq", "t_us", "slot", "wait"]]
 
     return requests.groupBy("host_id").applyInPandasWithState(run, "host_id long, seq long, t_us long, slot long, wait long", "free long", "append", GroupStateTimeout.NoTimeout)
 

@@ -416,7 +416,7 @@ def test_scaffold(tmp_path):
 def test_inspect(spark):
     html = '<img src="https://cdn.x.test/a.jpg">'
     text = scaffold.inspect_html(spark, "https://shop.example.test/products/thing", html)
-    assert "engine              custom" in text and "--cdn cdn.x.test" in text
+    assert "platform: custom" in text and "try custom_commerce_platform: " in text and "--cdn cdn.x.test" in text
     obs = json.loads(scaffold.inspect_html(spark, "https://shop.example.test/products/thing", html, as_json=True))
     assert scaffold.spec_of(obs, "n").image_cdn_host == "cdn.x.test"
     assert scaffold.spec_of(obs | {"image_hosts": []}, "n") is None
