@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -19,7 +21,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.tables = spark, set()
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.startswith("local"):
@@ -27,11 +29,13 @@ class Workspace:
             root = tempfile.mkdtemp(prefix="storeloom-")
             spark.conf.set("spark.checkpoint.dir", root)
         self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        _OPEN.append((spark, self.root))
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def save(self, df: DataFrame, table: str, **options: str) -> DataFrame:
+        self.tables.add(table)
         df.write.options(**options).parquet(self.path(table))
         return self.load(table, df.schema)
 
@@ -41,10 +45,29 @@ class Workspace:
 
     def drop(self, *tables: str) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(table))
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables.discard(table)
+            _delete(self.spark, self.path(table))
+
+    def keep(self, *tables: str) -> None:
+        """Deletes all tables but those that a result still reads; these go when the driver's Python ends."""
+        self.drop(*(self.tables - {*tables}))
+
+
+_OPEN: list[tuple[SparkSession, str]] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, root in _OPEN:
+        # the session may have ended before, with the JVM
+        with contextlib.suppress(Exception):
+            _delete(spark, root)
 
 
 def texts(docs: DataFrame) -> DataFrame:

@@ -231,6 +231,7 @@ def suffix_ranks(ws: Workspace, docs: DataFrame) -> DataFrame:
         after = F.coalesce(F.get("rank", F.col("pos") + F.lit(1 << level)), F.lit(-1))
         rows = state.select("doc_id", "th", "rank", F.explode("open").alias("pos")).select(F.get("rank", F.col("pos")).alias("r"), after.alias("k1"), F.lit(0).cast("long").alias("k2"), "doc_id", "th", "pos")
         level += 1
+    ws.keep(*(f"state_{k}" for k in range(level + 1)))
     out = done[0]
     for part in done[1:]:
         out = out.unionAll(part)

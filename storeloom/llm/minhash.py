@@ -133,6 +133,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     size = exact.groupBy("exact_id").agg(F.count("*").alias("n"))
     known = ws.save(cc.join(degree, "id", "left").withColumnRenamed("id", "exact_id").join(size, "exact_id"), "known")
+    ws.keep("exact", "known")
     out = meet(exact.select("doc_id", "exact_id"), known, ["exact_id"], ["doc_id"], exact.count(), "left")
     return out.select("doc_id", F.coalesce("component", "exact_id").alias("class_id"), "exact_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 

@@ -234,7 +234,8 @@ def best_fit_pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int
     first = ws.save(pack_round(ws, pieces, n, "first", capacity), "placed")
     short = first.where(F.col("fill") < int(capacity * FULL))
     left = short.count()
-    again = pack_round(ws, short.select(pieces.columns), max(left, 1), "again", capacity)
+    again = ws.save(pack_round(ws, short.select(pieces.columns), max(left, 1), "again", capacity), "placed_again")
+    ws.keep("placed", "placed_again")
     key = lambda level: (F.col("region") * (1 << 21) + F.col("bin")) * 2 + level
     kept = first.where(F.col("fill") >= int(capacity * FULL)).withColumn("sequence_id", key(0))
     return kept.unionByName(again.withColumn("sequence_id", key(1))).select(*pieces.drop("row").columns, "sequence_id", "offset")

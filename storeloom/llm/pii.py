@@ -183,11 +183,12 @@ _LABELS = re.compile(rf"[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*", re.I)
 #: A local part read backward from its sign.
 _BACKWARD = re.compile(rf"[A-Za-z0-9_%+-]++(?:(?:\.|\s++(?:{'|'.join(w[::-1] for w in DOT_WORDS)})\s++|\s\.\s)[A-Za-z0-9_%+-]++)*+(?![.])", re.I)
 _HAS_DOT = re.compile(rf"\b(?:{'|'.join(DOT_WORDS)})\b", re.I)
-_HAS_AT = re.compile(rf"\s(?:{'|'.join(AT_WORDS)})\s", re.I)
 #: A spelled at before a plain domain: the local part has a sign within, or a word for mail stands before it.
 _SIGNED = re.compile(r"[A-Za-z][A-Za-z0-9]*[._+][A-Za-z0-9]+")
 _MAIL_WORD = re.compile(r"(?:mail|e-mail|contact|write|reach)(?: (?:to|me|us))?[:\s]\s?\Z", re.I)
-_PLAIN_DOMAIN = re.compile(r"(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|info|io|dev|example|test|de|fr|es|uk|eu)\Z", re.I)
+_ENDS = "(?:com|org|net|edu|gov|info|io|dev|example|test|de|fr|es|uk|eu)"
+_PLAIN_DOMAIN = re.compile(rf"(?:[A-Za-z0-9-]+\.)+{_ENDS}\Z", re.I)
+_AT_PLAIN = re.compile(rf"(?:{'|'.join(AT_WORDS)})\s++(?:[A-Za-z0-9-]+\.)+{_ENDS}\b", re.I)
 
 
 def _bracketed(t: Traced) -> Traced:
@@ -290,6 +291,10 @@ TRANSDUCERS = (unmask, at_dot, spelled_digits)
 _BRACKETED_HINT = re.compile(rf"{_OPEN}(?:{'|'.join(AT_WORDS + DOT_WORDS)}|@|\.){_CLOSE}", re.I)
 
 
+#: Cheaper to look for than what it begins.
+_AT_BLANK = re.compile(rf"[\s](?={'|'.join(w[0] for w in AT_WORDS)})(?:{'|'.join(AT_WORDS)})\s")
+
+
 def disguised(text: str) -> bool:
     """Whether any transducer may change the text."""
     low = text.lower()
@@ -299,7 +304,7 @@ def disguised(text: str) -> bool:
         or (("&" in text or "%40" in text) and (_ESCAPED_AT.search(text) or _ESCAPED_DOT.search(text)))
         or (any(c in text for c in "[({<") and _BRACKETED_HINT.search(text))
         or (any(w in low for w in DOT_WORDS) and (_HAS_DOT.search(text) or _TIED.search(text)))
-        or ("." in text and _HAS_AT.search(text))
+        or any(_AT_PLAIN.match(text, m.start() + 1) for m in _AT_BLANK.finditer(low))
         or (_has_digit_word(low) and _SPELLED_HINT.search(text))
         or (_ANY_DIGIT.search(text) and _LETTER_DIGIT.search(text))
     )

@@ -296,7 +296,7 @@ def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY)
     out = ws.save(out, "removals")
     ws.drop("sequences", "clusters", "sequences_kept", "components")
     runs = ws.save(_later_runs(ws, docs, table, out), "runs")
-    ws.drop("units", "ranges_kept", "windows", "twice")
+    ws.keep("removals", "runs")
     return out.unionAll(runs)
 
 
