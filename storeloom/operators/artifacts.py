@@ -105,12 +105,15 @@ def project(artifacts: DataFrame, heads: DataFrame, classified: DataFrame, proje
     """
     preferred = v.preferences.get(projection)
     # summaries need lengths only, so that no text is shuffled for them
-    sized = artifacts.select("page_id", "id", "artifact_kind", utf16_length(F.col("raw_markdown")).alias("chars"))
-    pages = artifacts.select("page_id").union(heads.select("page_id")).distinct()
-    n_in = sized.groupBy("page_id").agg(F.count("*").alias("n_in"), F.sum("chars").alias("chars_before"))
+    sized = artifacts.select("page_id", "id", utf16_length(F.col("raw_markdown")).alias("chars"))
     flagged = classified.withColumn("ok", selectable(F.col("roles"), preferred or (), v)).withColumn("informs", informative(F.col("roles"), v))
-    sums = flagged.groupBy("page_id").agg(F.max("informs").alias("informs"), F.count_if("ok").alias("n_ok"))
-    h = pages.join(heads, "page_id", "left").join(n_in, "page_id", "left").join(sums, "page_id", "left").fillna(0, ["n_in", "chars_before", "n_ok"]).withColumn("informs", F.coalesce("informs", F.lit(False)))
+    known = flagged.select("page_id", "id", "ok", "informs").join(sized.dropDuplicates(["page_id", "id"]).withColumnRenamed("chars", "own"), ["page_id", "id"], "left")
+    # all that is known of a page in one pass: its artifacts, its classifications and its header
+    head = heads.select("page_id", F.struct("provider_name", "selection_mode", "provider_reason").alias("head"))
+    pieces = sized.select("page_id", "chars", F.lit(1).alias("art")).unionByName(known.select("page_id", "ok", "informs", "own"), True).unionByName(head, True)
+    own_chars = F.sum(F.when(F.col("ok"), F.col("own"))).alias("kept_chars")
+    h = pieces.groupBy("page_id").agg(F.count("art").alias("n_in"), F.coalesce(F.sum("chars"), F.lit(0)).alias("chars_before"), F.coalesce(F.max("informs"), F.lit(False)).alias("informs"), F.count_if("ok").alias("n_ok"), own_chars, F.max("head").alias("head"))
+    h = h.where("n_in > 0 or head is not null").select("*", "head.*").drop("head")
     own = F.when(F.col("provider_reason").isNotNull(), "PROVIDER_FALLBACK")
     mode_full = F.col("selection_mode") == "full"
     whole = F.lit(preferred is None)
@@ -118,13 +121,14 @@ def project(artifacts: DataFrame, heads: DataFrame, classified: DataFrame, proje
     h = h.withColumn("outcome", outcome)
     reason = F.when(F.col("outcome") == "none", "NO_PROVIDER").when(F.col("outcome") == "empty", "CLASSIFICATION_EMPTY").when(F.col("outcome") == "unselected", "NO_SELECTED_ARTIFACTS").otherwise(own)
     chosen = F.col("outcome") == "chosen"
+    # one join with the verdicts for the detail: the last classification of an artifact, or every chosen one
     verdict = h.select("page_id", "outcome")
-    everything = full_context(artifacts, classified.join(verdict.where("outcome <> 'none'"), "page_id", "left_semi"), v).join(verdict.where("outcome <> 'chosen'"), "page_id", "left_semi")
-    some = flagged.where("ok").join(verdict.where("outcome = 'chosen'"), "page_id", "left_semi").join(artifacts.select("page_id", "id", "artifact_kind", "raw_markdown").dropDuplicates(["page_id", "id"]), ["page_id", "id"], "left")
+    judged = flagged.join(verdict, "page_id")
+    everything = full_context(artifacts, judged.where("outcome not in ('none', 'chosen')").drop("outcome"), v).join(verdict.where("outcome <> 'chosen'"), "page_id", "left_semi")
+    some = judged.where("ok and outcome = 'chosen'").join(artifacts.select("page_id", "id", "artifact_kind", "raw_markdown").dropDuplicates(["page_id", "id"]), ["page_id", "id"], "left")
     columns = ["page_id", "pos", "id", "artifact_kind", "raw_markdown", "roles", "reason"]
     detail = everything.select(columns).unionByName(some.select(columns))
-    after = flagged.where("ok").select("page_id", "id").join(sized.dropDuplicates(["page_id", "id"]), ["page_id", "id"]).groupBy("page_id").agg(F.sum("chars").alias("kept_chars"))
-    summary = h.join(after, "page_id", "left").select(
+    summary = h.select(
         "page_id",
         F.coalesce("provider_name", F.lit("default")).alias("provider_name"),
         F.when(chosen, F.col("n_ok")).otherwise(F.col("n_in")).alias("selected"),
