@@ -239,7 +239,7 @@ def nearest(spark: SparkSession, vectors: DataFrame, every: int = EVERY, k: int
     keep = F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, KEEP)
     classes = ws.save(parts.groupBy("v1", "v2").agg(F.first("vec").alias("vec"), keep.alias("ids")).withColumn("id", F.get("ids", F.lit(0))), "classes")
     asked = ws.save(ok.where(F.col("vec_id") % every == 0).mapInArrow(_keys, "vec_id long, v1 long, v2 long"), "asked")
-    n = classes.count()
+    n = ws.rows["classes"]
     sample = first_by_hash(classes, "id", SAMPLE, n).select("vec").toPandas()
     rows = unit(np.frombuffer(b"".join(sample["vec"]), float).reshape(-1, d))
     lists = Lists(rows, round(math.sqrt(n)))

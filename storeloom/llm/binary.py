@@ -3,9 +3,10 @@
 Format: a Parquet table of blocks. A block holds whole documents, in order, and
 about ``BLOCK`` ids; a longer document has a block of its own. Each id takes the
 minimum bits of the vocabulary, least significant bit first; ``doc_ids`` and
-``lengths`` are the block's index, ``first`` is the number of ids before it in its
+``lengths`` are the block's index, ``least`` and ``most`` the range of its doc_ids, ``first`` is the number of ids before it in its
 shard and ``shard`` the number of the range of doc_id that it is part of. So any
-document is found by (shard, block) and its offset, and unpacks by itself.
+document, or any run of ids of the whole, is found by the ranges of the blocks, which prune the files'
+row groups, and unpacks by itself (``document``, ``ids_at``).
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from .common import Workspace, slices, texts
 from .tokens import default_path, tokenizer
 
 BLOCK = 65_536
-SCHEMA = "shard long, block long, first long, n_ids long, bits int, doc_ids array<long>, lengths array<long>, payload binary"
-_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
+SCHEMA = "shard long, block long, first long, n_ids long, bits int, least long, most long, doc_ids array<long>, lengths array<long>, payload binary"
+_ARROW = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("first", pa.int64()), ("n_ids", pa.int64()), ("bits", pa.int32()), ("least", pa.int64()), ("most", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("payload", pa.binary())])
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -55,7 +56,8 @@ def _blocks(path: str, end_id: int):
         def flush():
             nonlocal held, doc_ids, n, block, first
             ids = np.concatenate(held)
-            row = [shard, block, first, n, tok.bits, doc_ids, [len(x) for x in held], pack(ids, tok.bits)]
+            known = [x for x in doc_ids if x is not None]
+            row = [shard, block, first, n, tok.bits, min(known, default=None), max(known, default=None), doc_ids, [len(x) for x in held], pack(ids, tok.bits)]
             block, first = block + 1, first + n
             held, doc_ids, n = [], [], 0
             return pa.record_batch([pa.array([v], t.type) for v, t in zip(row, _ARROW)], schema=_ARROW)
@@ -86,15 +88,47 @@ def write_ids(spark: SparkSession, docs: DataFrame, path: str, tokenizer_path: s
     ordered.mapInArrow(_blocks(tokenizer_path, end_id), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
+def _bases(blocks: DataFrame) -> list[tuple[int, int, int]]:
+    """(shard, ids before it, ids in it): one row a shard, as many as the range partitions that wrote the files."""
+    out, before = [], 0
+    for shard, n in sorted(blocks.groupBy("shard").agg(F.sum("n_ids")).collect()):
+        out.append((shard, before, n))
+        before += n
+    return out
+
+
+def document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of each row that had this doc_id, end id included; only blocks whose range holds it are read, and only its ids unpacked."""
+    blocks = spark.read.schema(SCHEMA).parquet(path).where((F.col("least") <= doc_id) & (F.col("most") >= doc_id) & F.array_contains("doc_ids", doc_id))
+    out = []
+    for row in blocks.orderBy("shard", "block").toLocalIterator():
+        ends = np.cumsum(row.lengths)
+        out += [unpack(row.payload, row.bits, int(ends[k] - row.lengths[k]), row.lengths[k]) for k, d in enumerate(row.doc_ids) if d == doc_id]
+    return out
+
+
+def ids_at(spark: SparkSession, path: str, start: int, count: int) -> np.ndarray:
+    """``count`` ids of the whole from the ``start``-th on, fewer at the end; only blocks that hold any are read."""
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    near = [(shard, base) for shard, base, n in _bases(blocks) if base < start + count and start < base + n]
+    parts = [np.empty(0, "<u4")]
+    for shard, base in near:
+        a, b = start - base, start + count - base
+        held = blocks.where((F.col("shard") == shard) & (F.col("first") < b) & (F.col("first") + F.col("n_ids") > a))
+        for row in held.orderBy("block").toLocalIterator():
+            low, high = max(a - row.first, 0), min(b - row.first, row.n_ids)
+            parts.append(unpack(row.payload, row.bits, low, high - low))
+    return np.concatenate(parts)
+
+
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document in the files, from their packed bytes."""
+    """doc_id, start, n_tokens, ids_crc32 of every row that was written, from the packed bytes.
+
+    Repeated rows stand as often as they were written, a null doc_id first; a text of any length is one block and one row;
+    files of an empty table give no rows.
+    """
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    # one row a shard: as many as the range partitions that wrote the files
-    totals = sorted(blocks.groupBy("shard").agg(F.sum("n_ids")).collect())
-    bases, before = [], 0
-    for shard, n in totals:
-        bases.append((shard, before))
-        before += n
+    bases = [(shard, before) for shard, before, _ in _bases(blocks)]
     base = spark.createDataFrame(bases, "shard long, base long")
 
     def run(batches):

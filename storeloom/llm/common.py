@@ -9,8 +9,13 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+#: A key held by more than one in SHARE rows is dealt over several parts; there are fewer than SHARE such keys.
+SHARE = 4096
 
 
 class Workspace:
@@ -22,6 +27,10 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.tables = spark, set()
+        #: Of each table its rows, and the largest ``n`` if it has such a column.
+        self.rows: dict[str, int] = {}
+        self.most: dict[str, int] = {}
+        self._schemas: dict[str, StructType] = {}
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             if not spark.sparkContext.master.startswith("local"):
@@ -34,14 +43,39 @@ class Workspace:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame, table: str, **options: str) -> DataFrame:
+    def save(self, df: DataFrame, table: str) -> DataFrame:
+        """Writes a table, whose rows are counted on the way."""
+        seen, counts = Observation(), [F.count(F.lit(1)).alias("rows")]
+        if ("n", "bigint") in df.dtypes:
+            counts.append(F.max("n").alias("most"))
         self.tables.add(table)
-        df.write.options(**options).parquet(self.path(table))
-        return self.load(table, df.schema)
+        df.observe(seen, *counts).write.parquet(self.path(table))
+        found = seen.get
+        self.rows[table], self.most[table] = found.get("rows") or 0, found.get("most") or 0
+        self._schemas[table] = df.schema
+        return self.load(table)
 
-    def load(self, table: str, schema) -> DataFrame:
+    def load(self, table: str) -> DataFrame:
         """A saved table; each load has columns of its own, so that it joins with another."""
-        return self.spark.read.schema(schema).parquet(self.path(table))
+        return self.spark.read.schema(self._schemas[table]).parquet(self.path(table))
+
+    def meet(self, rows: DataFrame, table: str, on: list[str], place: list[str], total: int, how: str = "inner") -> DataFrame:
+        """``rows`` joined with a saved table of one row for each key ``on``, where ``n`` says how many rows have the key.
+
+        A key may have any share of all ``total`` rows. One with more than a share of total / SHARE
+        is dealt by ``place`` over as many parts as it has such shares, and its row of the table is sent to
+        each. The keys that this takes are fewer than SHARE by their count, so telling every task
+        of them has a proven bound.
+        """
+        known, share = self.load(table), max(1, total // SHARE)
+        if self.most[table] <= share:
+            return rows.join(known.drop("n"), on, how)
+        parts = F.ceil(F.col("n") / share).cast("int")
+        hot = known.where(F.col("n") > share).select(*on, parts.alias("__parts"))
+        dealt = rows.join(F.broadcast(hot), on, "left")
+        dealt = dealt.withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*place), F.col("__parts"))).cast("int"))
+        spread = known.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
+        return dealt.drop("__parts").join(spread, [*on, "__part"], how).drop("__part")
 
     def drop(self, *tables: str) -> None:
         """Deletes tables that nothing reads any more."""
@@ -101,26 +135,6 @@ def first_by_hash(rows: DataFrame, key: str, n: int, total: int) -> DataFrame:
     return rows.orderBy(h, key).limit(n)
 
 
-#: A key held by more than one in SHARE rows is dealt over several parts; there are fewer than SHARE such keys.
-SHARE = 4096
-
-
-def meet(rows: DataFrame, table: DataFrame, on: list[str], place: list[str], total: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with a saved ``table`` of one row for each key ``on``, where ``n`` says how many rows have the key.
-
-    A key may have any share of all ``total`` rows: its rows are dealt by ``place`` over as many parts
-    as it has shares of total / SHARE, and its row of the table is sent to each. The keys that this takes are
-    fewer than SHARE by their count, so telling every task of them has a proven bound.
-    """
-    share = max(1, total // SHARE)
-    parts = F.ceil(F.col("n") / share).cast("int")
-    hot = table.where(F.col("n") > share).select(*on, parts.alias("__parts"))
-    dealt = rows.join(F.broadcast(hot), on, "left")
-    dealt = dealt.withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*place), F.col("__parts"))).cast("int"))
-    spread = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
-    return dealt.drop("__parts").join(spread, [*on, "__part"], how).drop("__part")
-
-
 def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, component), component the smallest id.
 
@@ -132,11 +146,11 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     ordered = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     current, last, step = ws.save(ordered, f"{name}_0"), None, 0
     while True:
-        total = current.count()
+        total = ws.rows[f"{name}_{step}"]
         both = current.select("u", "v").unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ws.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), f"{name}_least_{step}")
+        ws.save(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n")), f"{name}_least_{step}")
         # a node may have any share of all edges
-        large = meet(both.where("v > u"), least, ["u"], ["v"], 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = ws.meet(both.where("v > u"), f"{name}_least_{step}", ["u"], ["v"], 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = ws.save(large, f"{name}_large_{step}")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (

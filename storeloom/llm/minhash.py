@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, meet, slices, texts
+from .common import Workspace, slices, texts
 from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
 
 BANDS, ROWS = 25, 5
@@ -120,8 +120,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     ws = Workspace(spark, "near_duplicates")
     signed = ws.save(sign(docs), "signed")
     # copies of one text may be any share of the rows
-    copies = ws.save(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
-    known = meet(signed, copies, ["h1", "h2"], ["doc_id"], signed.count(), "left").withColumn("exact_id", F.coalesce("first", "doc_id"))
+    ws.save(signed.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"), "copies")
+    known = ws.meet(signed, "copies", ["h1", "h2"], ["doc_id"], ws.rows["signed"], "left").withColumn("exact_id", F.coalesce("first", "doc_id"))
     exact = ws.save(known.select("doc_id", "exact_id", F.when(F.col("doc_id") == F.col("exact_id"), F.col("keys")).alias("keys")), "exact")
     buckets = ws.save(exact.where("keys is not null").select(F.explode("keys").alias("key"), F.col("exact_id").alias("id")).distinct(), "buckets")
     ws.drop("signed", "copies")
@@ -132,9 +132,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, threshold: float = SIM
     cc, links = classes(ws, buckets, units_of, threshold)
     degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     size = exact.groupBy("exact_id").agg(F.count("*").alias("n"))
-    known = ws.save(cc.join(degree, "id", "left").withColumnRenamed("id", "exact_id").join(size, "exact_id"), "known")
+    ws.save(cc.join(degree, "id", "left").withColumnRenamed("id", "exact_id").join(size, "exact_id"), "known")
     ws.keep("exact", "known")
-    out = meet(exact.select("doc_id", "exact_id"), known, ["exact_id"], ["doc_id"], exact.count(), "left")
+    out = ws.meet(exact.select("doc_id", "exact_id"), "known", ["exact_id"], ["doc_id"], ws.rows["exact"], "left")
     return out.select("doc_id", F.coalesce("component", "exact_id").alias("class_id"), "exact_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, components, meet, slices
+from .common import Workspace, components, slices
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -147,14 +147,14 @@ def _compare(multiset: bool):
     return run
 
 
-def verify(ws: Workspace, pairs: DataFrame, units: DataFrame, name: str, multiset: bool = True) -> DataFrame:
+def verify(ws: Workspace, pairs: DataFrame, total: int, units: DataFrame, name: str, multiset: bool = True) -> DataFrame:
     """Saved pairs (a pivot, b) with their exact similarity, b's size, what it shares with the pivot, and its elements beyond the pivot's.
 
     A pivot may have any number of partners: its pairs are salted, and its text is sent
     once for each salt.
     """
     count = ws.save(pairs.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts")), f"{name}_count")
-    dealt = meet(pairs, count, ["a"], ["b"], pairs.count()).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
+    dealt = ws.meet(pairs, f"{name}_count", ["a"], ["b"], total).withColumn("salt", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int")).select("a", "b", "salt")
     with_text = dealt.join(units.select(F.col("id").alias("b"), "text"), "b")
     pivots = count.join(units.select(F.col("id").alias("a"), F.col("text").alias("pivot_text")), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "pivot_text")
     both = with_text.join(pivots, ["a", "salt"]).select("a", "b", "pivot_text", "text")
@@ -170,17 +170,20 @@ def _survivors(ws: Workspace, state: DataFrame, threshold: float, name: str) ->
     members = ws.save(state.join(hubs, "hub", "left_semi").withColumn("outlying", outlying), f"{name}_members")
     each = members.select("hub", "id", "component", "outlying", F.explode("beyond").alias("e"))
     live = each.groupBy("hub", "e").agg(F.count("*").alias("n"), F.max("outlying").alias("any"), F.min("component").alias("low"), F.max("component").alias("high")).where("any and low <> high").select("hub", "e", "n")
-    live = ws.save(live, f"{name}_live")
+    ws.save(live, f"{name}_live")
     total = members.agg(F.sum(F.size("beyond"))).first()[0] or 0
-    sharing = meet(each.select("hub", "e", "id"), live, ["hub", "e"], ["id"], total).select("hub", "id").distinct()
-    # those that share enough with the hub to be similar without: outliers first, then members that may be so to one of them
+    sharing = ws.meet(each.select("hub", "e", "id"), f"{name}_live", ["hub", "e"], ["id"], total).select("hub", "id").distinct()
+    # Those that share enough with the hub to be similar without. X may be like texts of up to common / part - size only; if that
+    # is less than its own size for both of a pair, each would have to be longer than the other. So one of a pair
+    # shares 2 * part of itself with the hub, and the least such size bounds what an outlier may meet.
     part = threshold / (1 + threshold)
-    enough = lambda other: F.col("common") + 1e-6 >= part * (F.col("size") + F.greatest(threshold * F.col("size"), other))
-    least = ws.save(members.groupBy("hub").agg(F.count("*").alias("n"), F.min("size").alias("least")), f"{name}_least")
-    inner = ws.save(meet(members.drop("beyond"), least, ["hub"], ["id"], members.count()).withColumn("inner", F.col("outlying") & enough(F.col("least"))), f"{name}_inner")
-    few = ws.save(inner.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.when(F.col("inner"), F.col("size"))).alias("first")), f"{name}_few")
-    out = meet(ws.load(f"{name}_inner", inner.schema), few, ["hub"], ["id"], members.count()).join(sharing.withColumn("shares", F.lit(True)), ["hub", "id"], "left")
-    out = out.where(F.coalesce("shares", F.col("inner") | (F.col("first").isNotNull() & enough(F.col("first")))))
+    reaches = lambda other: other.isNotNull() & (F.col("common") + 1e-6 >= part * (F.col("size") + F.greatest(threshold * F.col("size"), other)))
+    core = F.when(F.col("common") + 1e-6 >= 2 * part * F.col("size"), F.col("size"))
+    ws.save(members.groupBy("hub").agg(F.count("*").alias("n"), F.min(core).alias("least")), f"{name}_least")
+    inner = ws.save(ws.meet(members.drop("beyond"), f"{name}_least", ["hub"], ["id"], ws.rows[f"{name}_members"]).withColumn("inner", F.col("outlying") & reaches(F.col("least"))), f"{name}_inner")
+    ws.save(inner.groupBy("hub").agg(F.count("*").alias("n"), F.min(F.when(F.col("inner"), F.col("size"))).alias("first")), f"{name}_few")
+    out = ws.meet(ws.load(f"{name}_inner"), f"{name}_few", ["hub"], ["id"], ws.rows[f"{name}_members"]).join(sharing.withColumn("shares", F.lit(True)), ["hub", "id"], "left")
+    out = out.where(F.coalesce("shares", F.col("inner") | reaches(F.col("first"))))
     out = ws.save(out.select("hub", "id", "component", "outlying", "size"), f"{name}_left")
     ws.drop(*(f"{name}_{x}" for x in ("members", "live", "least", "inner", "few")))
     return out
@@ -241,22 +244,23 @@ def classes(ws: Workspace, buckets: DataFrame, units_of, threshold: float = SIMI
     another in some bucket, gives (id, text) of these. Returns (id, component)
     for ids with a link, and the links (a, b, sim) that were verified to find them.
     """
-    sizes = ws.save(buckets.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("size")).where("n > 1"), f"{name}_sizes")
-    met = ws.save(meet(buckets, sizes, ["key"], ["id"], buckets.count()), f"{name}_met")
+    total = buckets.count()
+    ws.save(buckets.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("size")).where("n > 1"), f"{name}_sizes")
+    met = ws.save(ws.meet(buckets, f"{name}_sizes", ["key"], ["id"], total), f"{name}_met")
     degree = met.groupBy("id").agg(F.sum("size").alias("degree"))
     most = F.max(F.struct("degree", (-F.col("id")).alias("id")))
-    hubs = ws.save(met.select("key", "id").join(degree, "id").groupBy("key").agg((-most.getField("id")).alias("hub"), F.count("*").alias("n")), f"{name}_hubs")
-    met_again = ws.load(f"{name}_met", met.schema).select("key", "id")
-    pairs = ws.save(meet(met_again, hubs, ["key"], ["id"], met.count()).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), f"{name}_pairs")
+    ws.save(met.select("key", "id").join(degree, "id").groupBy("key").agg((-most.getField("id")).alias("hub"), F.count("*").alias("n")), f"{name}_hubs")
+    met_again = ws.load(f"{name}_met").select("key", "id")
+    pairs = ws.save(ws.meet(met_again, f"{name}_hubs", ["key"], ["id"], ws.rows[f"{name}_met"]).where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), f"{name}_pairs")
     units = ws.save(units_of(degree.select("id")), f"{name}_units")
     ws.drop(f"{name}_sizes", f"{name}_met", f"{name}_hubs")
-    seen = verify(ws, pairs, units, f"{name}_seen", multiset)
+    seen = verify(ws, pairs, ws.rows[f"{name}_pairs"], units, f"{name}_seen", multiset)
     links = seen.where(F.col("sim") >= threshold).select("a", "b", "sim")
     cc = components(ws, links.select("a", "b"), f"{name}_cc_0")
     label = lambda c, i: F.coalesce(F.col(c), F.col(i))
     of_hub = seen.groupBy("a").agg(F.count("*").alias("n")).join(cc.select(F.col("id").alias("a"), F.col("component").alias("main")), "a", "left")
-    of_hub = ws.save(of_hub, f"{name}_of_hub")
-    state = meet(seen.join(cc.withColumnRenamed("id", "b"), "b", "left"), of_hub, ["a"], ["b"], seen.count())
+    ws.save(of_hub, f"{name}_of_hub")
+    state = ws.meet(seen.join(cc.withColumnRenamed("id", "b"), "b", "left"), f"{name}_of_hub", ["a"], ["b"], ws.rows[f"{name}_seen"])
     state = ws.save(state.select(F.col("a").alias("hub"), F.col("b").alias("id"), label("component", "b").alias("component"), label("main", "a").alias("main"), "size", "common", "beyond"), f"{name}_state")
     # the hub itself has met all its members
     if not state.where("component <> main").limit(1).count():
@@ -265,17 +269,17 @@ def classes(ws: Workspace, buckets: DataFrame, units_of, threshold: float = SIMI
     left = _survivors(ws, state, threshold, name)
     weight = F.sum(F.greatest(F.lit(1.0), F.col("size") / USUAL))
     cuts = left.groupBy("hub").agg(F.count("*").alias("n"), F.ceil(weight / MEMBERS).cast("int").alias("parts"), F.ceil(F.sum(F.when(F.col("outlying"), F.greatest(F.lit(1.0), F.col("size") / USUAL)).otherwise(0.0)) / OUTLIERS).cast("int").alias("blocks"))
-    cuts = ws.save(cuts.where("blocks > 0 and n > 1"), f"{name}_cuts")
-    both = ws.save(meet(left.select("hub", "id", "component", "outlying"), cuts, ["hub"], ["id"], left.count()), f"{name}_dealt")
+    ws.save(cuts.where("blocks > 0 and n > 1"), f"{name}_cuts")
+    both = ws.save(ws.meet(left.select("hub", "id", "component", "outlying"), f"{name}_cuts", ["hub"], ["id"], ws.rows[f"{name}_left"]), f"{name}_dealt")
     number = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     key = ["hub", "part", "block"]
     members = both.withColumn("part", number("parts")).withColumn("block", every("blocks")).join(units, "id").select(*key, "id", "component", "text")
-    outliers = ws.load(f"{name}_dealt", both.schema).where("outlying").withColumn("block", number("blocks")).withColumn("part", every("parts")).join(ws.load(f"{name}_units", units.schema), "id").select(*key, "id", "component", "text")
+    outliers = ws.load(f"{name}_dealt").where("outlying").withColumn("block", number("blocks")).withColumn("part", every("parts")).join(ws.load(f"{name}_units"), "id").select(*key, "id", "component", "text")
     more = members.groupBy(*key).cogroup(outliers.groupBy(*key)).applyInPandas(_block(threshold, multiset), "a long, b long, sim double")
     more = ws.save(more, f"{name}_more")
     links = ws.save(links.unionAll(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "sim").dropDuplicates(["a", "b"]), f"{name}_links")
-    if more.limit(1).count():
+    if ws.rows[f"{name}_more"]:
         cc = components(ws, links.select("a", "b"), f"{name}_cc_1")
     ws.drop(*(f"{name}_{x}" for x in ("pairs", "units", "seen", "of_hub", "state", "left", "cuts", "dealt", "more")))
     return cc, links

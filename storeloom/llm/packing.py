@@ -228,7 +228,7 @@ def best_fit_pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int
     """
     ws = Workspace(spark, "packing")
     pieces = ws.save(cut(docs, path, capacity, end_id), "pieces")
-    n = pieces.count()
+    n = ws.rows["pieces"]
     if not n:
         return pieces.drop("row").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     first = ws.save(pack_round(ws, pieces, n, "first", capacity), "placed")

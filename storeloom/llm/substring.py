@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, meet, slices, texts
+from .common import Workspace, slices, texts
 from .neardup import SIMILARITY, classes, mix, shingles, word_hashes
 
 BANDS, ROWS = 12, 4
@@ -239,16 +239,16 @@ def _later_runs(ws: Workspace, docs: DataFrame, found: DataFrame, gone: DataFram
     again = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("lo") - F.col("keep.lo") >= RUN)
     keep = [F.col(f"keep.{c}").alias(f"keep_{c}") for c in ("doc_id", "lo", "line", "first")]
     count = F.count("*").alias("n")
-    total = found.count()
-    picks = ws.save(every.groupBy("h2").agg(count, (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1"), "picks")
-    met = ws.save(meet(every, picks, ["h2"], ["doc_id", "lo"], total), "ranges")
-    kept = ws.save(met.groupBy("h1", "h2").agg(count, place), "kept")
-    met = ws.save(meet(ws.load("ranges", met.schema), kept, ["h1", "h2"], ["doc_id", "lo"], total).withColumn("again", again), "ranges_kept")
+    total = ws.rows["units"]
+    ws.save(every.groupBy("h2").agg(count, (F.min("h1") != F.max("h1")).alias("mixed")).where("n > 1"), "picks")
+    met = ws.save(ws.meet(every, "picks", ["h2"], ["doc_id", "lo"], total), "ranges")
+    ws.save(met.groupBy("h1", "h2").agg(count, place), "kept")
+    met = ws.save(ws.meet(ws.load("ranges"), "kept", ["h1", "h2"], ["doc_id", "lo"], ws.rows["ranges"]).withColumn("again", again), "ranges_kept")
     ws.drop("picks", "ranges", "kept")
     whole = met.where("again").select("doc_id", "lo", (F.col("hi") + RUN).alias("stop"), *keep)
     windows = ws.save(_windows(docs, met.where("mixed and not again").select("doc_id", "lo", "hi")), "windows")
-    twice = ws.save(windows.groupBy("h").agg(count, place).where("n > 1"), "twice")
-    single = meet(windows, twice, ["h"], ["doc_id", "lo"], windows.count()).where(again).select("doc_id", "lo", (F.col("lo") + RUN).alias("stop"), *keep)
+    ws.save(windows.groupBy("h").agg(count, place).where("n > 1"), "twice")
+    single = ws.meet(ws.load("windows"), "twice", ["h"], ["doc_id", "lo"], ws.rows["windows"]).where(again).select("doc_id", "lo", (F.col("lo") + RUN).alias("stop"), *keep)
     later = whole.unionAll(single).groupBy("doc_id").agg(F.collect_set(F.struct("lo", "stop", "keep_doc_id", "keep_lo", "keep_line", "keep_first")).alias("found"))
     lines = found.where(F.col("kind") == LINES).select("doc_id", F.col("keys").alias("before")).dropDuplicates(["doc_id"])
     removed = gone.groupBy("doc_id").agg(F.collect_list(F.struct("line", "first", "end")).alias("gone"))
@@ -286,11 +286,11 @@ def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY)
     sequences = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), place).join(label, "h1", "left").where("n > 1 or component is not null")
     sequences = sequences.select("h1", "h2", "n", "place", F.coalesce("component", "h1").alias("cluster"), F.when(F.col("component").isNull(), F.col("h2")).otherwise(0).alias("part"), F.when(F.col("n") > 1, 1.0).otherwise(F.col("sim")).alias("similarity"))
     sequences = ws.save(sequences, "sequences")
-    clusters = ws.save(sequences.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.min("place").alias("keep")), "clusters")
-    kept = meet(sequences.withColumnRenamed("n", "places"), clusters, ["cluster", "part"], ["h1", "h2"], sequences.count())
-    kept = ws.save(kept.select("h1", "h2", F.col("places").alias("n"), "cluster", "similarity", "keep"), "sequences_kept")
+    ws.save(sequences.groupBy("cluster", "part").agg(F.count("*").alias("n"), F.min("place").alias("keep")), "clusters")
+    kept = ws.meet(ws.load("sequences").withColumnRenamed("n", "places"), "clusters", ["cluster", "part"], ["h1", "h2"], ws.rows["sequences"])
+    ws.save(kept.select("h1", "h2", F.col("places").alias("n"), "cluster", "similarity", "keep"), "sequences_kept")
     # a word sequence may hold any share of the places
-    out = meet(found.drop("keys"), kept, ["h1", "h2"], ["doc_id", "line"], table.count())
+    out = ws.meet(found.drop("keys"), "sequences_kept", ["h1", "h2"], ["doc_id", "line"], ws.rows["units"])
     other = (F.col("doc_id") != F.col("keep.doc_id")) | (F.col("line") != F.col("keep.line"))
     out = out.where(other).select("doc_id", "line", "first", "end", "cluster", "similarity", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), F.lit(0).alias("keep_first"))
     out = ws.save(out, "removals")
@@ -301,7 +301,11 @@ def repeats(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY)
 
 
 def remove(spark: SparkSession, docs: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """doc_id and text without its removals; a line that loses all its words goes as a whole."""
+    """doc_id and text without its removals; a line that loses all its words goes as a whole.
+
+    Null texts are empty, rows that repeat a doc_id lose each other's removals too, other columns are ignored. A line that
+    loses some of its words has the rest parted by single spaces.
+    """
     cuts = repeats(spark, docs, threshold).groupBy("doc_id").agg(F.collect_list(F.struct("line", "first", "end")).alias("cuts"))
 
     def run(batches):

@@ -118,6 +118,13 @@ def test_near_duplicates(spark, docs, rows, empty):
     assert minhash.near_duplicates(spark, empty).count() == 0
 
 
+def test_near_duplicates_without_or_with_one_id(spark):
+    base = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, base), (1, base.upper()), (None, "words of its own that no other has"), (5, "a b c d e f g"), (5, "z y x w v u t"), (6, "a b c d e f g")]
+    got = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.exact_id, r.class_id, r.n_links) for r in got), key=str) == sorted([(None, 1, 1, 0), (1, 1, 1, 0), (None, None, None, 0), (5, 5, 5, 0), (5, 5, 5, 0), (6, 5, 5, 0)], key=str)
+
+
 def test_large_groups(spark):
     """Many edited copies whose links to each other don't all lead over their source."""
     rng = np.random.default_rng(3)
@@ -148,6 +155,10 @@ def test_lookalikes_of_one_bucket(spark, monkeypatch, multiset):
         words = rows[rng.integers(0, 400)][1].split()
         words[rng.integers(0, len(words))] = f"y{i}"
         rows.append((1000 + i, " ".join(words * (2 if i % 7 == 0 else 1))))
+    # a similarity of 8 / 10, the threshold itself
+    tie = [f"t{i}" for i in range(13)]
+    rows += [(2000, " ".join(tie)), (2001, " ".join([*tie[:12], "z"]))]
+    assert neardup.multiset_jaccard(neardup.bag(rows[-1][1]), neardup.bag(rows[-2][1])) == 0.8
     left = []
     real = neardup._survivors
     monkeypatch.setattr(neardup, "_survivors", lambda *a: left.append(real(*a)) or left[0].cache())
@@ -178,7 +189,7 @@ def test_lookalikes_of_one_bucket(spark, monkeypatch, multiset):
 
 def test_elements_beyond_the_hub():
     """What pairs share, and the bound by which a pair must share an element beyond the hub's."""
-    rng = np.random.default_rng(6)
+    rng, inner = np.random.default_rng(6), 0
     for multiset in (True, False):
         hub, *bags = [np.unique(rng.integers(0, 25, rng.integers(0, 40)).astype(np.uint64), return_counts=True) for _ in range(80)]
         hub, *bags = [(v, c if multiset else np.ones_like(c)) for v, c in (hub, *bags)]
@@ -189,6 +200,12 @@ def test_elements_beyond_the_hub():
         for i, j in itertools.combinations(range(len(bags)), 2):
             if sizes[i] + sizes[j] and neardup.multiset_jaccard(bags[i], bags[j]) >= 0.8 and min(found[i][0], found[j][0]) < 0.8 / 1.8 * (sizes[i] + sizes[j]) - 1e-6:
                 assert set(found[i][1].tolist()) & set(found[j][1].tolist())
+            if sizes[i] + sizes[j] and neardup.multiset_jaccard(bags[i], bags[j]) >= 0.8 and not set(found[i][1].tolist()) & set(found[j][1].tolist()):
+                # both reach the other's size, and one shares 8 / 9 of itself with the hub
+                assert all(c * 1.8 / 0.8 - n >= m - 1e-6 for c, n, m in ((found[i][0], sizes[i], sizes[j]), (found[j][0], sizes[j], sizes[i])))
+                assert any(found[k][0] >= 1.6 / 1.8 * sizes[k] - 1e-6 for k in (i, j))
+                inner += 1
+    assert inner
 
 
 def vectors():
@@ -323,6 +340,13 @@ def test_token_files(spark, docs, rows, empty, path, tmp_path):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 0]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start += len(ids)
+    whole = [np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for _, t, *_ in every]
+    for doc_id in (0, 12, 48, 54):
+        found = binary.document(spark, str(tmp_path / "ids"), doc_id)
+        assert [x.tolist() for x in found] == [w.tolist() for w, r in zip(whole, every) if r[0] == doc_id]
+    flat = np.concatenate(whole)
+    for a, n in ((0, 5), (len(whole[0]), 700), (len(flat) - 3, 9), (len(flat) // 2, 40_000)):
+        assert (binary.ids_at(spark, str(tmp_path / "ids"), a, n) == flat[a : a + n]).all()
     binary.write_ids(spark, empty, str(tmp_path / "none"), path)
     assert binary.read_ids(spark, str(tmp_path / "none")).count() == 0
 
@@ -484,6 +508,43 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert {r.doc_id for r in packed} == want
 
 
+def test_pipeline_of_two_labels(spark, tmp_path):
+    """Each stage of the whole pipeline against what its operator's plain version leaves of the stage before."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(13)
+    words = "the river runs past old houses where people walk and talk about their days and nights".split()
+    good = [" ".join(rng.choice(words, rng.integers(60, 90))) + "." for _ in range(30)]
+    bad = ["### $$$ !!! " * int(rng.integers(20, 60)) for _ in range(30)]
+    own = [*good, *bad, good[0], good[1] + "\nAn address: jane [at] site [dot] org", None, "", good[2] + "\n" + good[3]]
+    rows = [(i, t, "en", "s", None if t is None else len(t)) for i, t in enumerate(own)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = spark.createDataFrame([(i, int(i < 30), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    model = quality.train(frame, labels)
+    kept = [r for r in rows if quality.score_texts(model, [r[1] or ""])[0] >= quality.THRESHOLD]
+    assert {r[0] for r in kept} >= set(range(30)) and not {r[0] for r in kept} & set(range(30, 60))
+    left = brute_lines(kept)[0]
+    classes = brute_classes([(d, left[d]) for d, *_ in kept])
+    want = {d: left[d] for d in classes.values()}
+    got = frame
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, got, str(tmp_path))
+        assert got.columns == frame.columns
+    got = {r.doc_id: r.text or "" for r in got.collect()}
+    assert got == {d: pii.masked(t) for d, t in want.items()} and any("<email>" in t for t in got.values())
+    assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def brute_runs(rows, size=50):
     """Words, as (doc_id, line, place), of windows of ``size`` words that stand earlier too and don't overlap their first place."""
     first, gone = {}, set()
