@@ -191,7 +191,10 @@ def test_elements_beyond_the_hub():
     """What pairs share, and the bound by which a pair must share an element beyond the hub's."""
     rng, inner = np.random.default_rng(6), 0
     for multiset in (True, False):
-        hub, *bags = [np.unique(rng.integers(0, 25, rng.integers(0, 40)).astype(np.uint64), return_counts=True) for _ in range(80)]
+        long = rng.integers(0, 40, 60)
+        # runs of the hub's elements, some of them changed
+        own = [np.where(rng.random(60) < rng.choice([0, 0.03, 0.3]), rng.integers(0, 60, 60), long)[a : a + n] for a, n in zip(rng.integers(0, 12, 80), rng.integers(0, 60, 80))]
+        hub, *bags = [np.unique(x.astype(np.uint64), return_counts=True) for x in (long, *own)]
         hub, *bags = [(v, c if multiset else np.ones_like(c)) for v, c in (hub, *bags)]
         sizes, found = [int(c.sum()) for _, c in bags], [neardup.beyond(hub, b) for b in bags]
         for b, size, (common, more) in zip(bags, sizes, found):
