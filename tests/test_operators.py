@@ -477,3 +477,36 @@ def test_inspect_command(spark, tmp_path):
     assert code == 0 and "define_shopline_source" in text
     assert inspect_page.run([url], spark=spark)[1] == 1
     assert inspect_page.run([url, "--scaffold", "x"], fetch=lambda u: "", spark=spark)[1] == 1
+
+
+def test_violations():
+    from storeloom.sources import model_client as m
+
+    schema = {"type": "object", "required": ["name", "tags"], "properties": {"name": {"type": "string", "minLength": 2}, "tags": {"type": "array", "items": {"type": "string", "enum": ["a", "b"]}}, "n": {"type": ["integer", "null"], "minimum": 0, "maximum": 9}}}
+    assert m.violations({"name": "ab", "tags": ["a", "b"], "n": None, "more": 1}, schema) == []
+    bad = m.violations({"name": "a", "tags": ["a", "c", 3], "n": 12}, schema)
+    assert bad == ["$.name: shorter than 2", "$.tags[1]: not one of ['a', 'b']", "$.tags[2]: not string", "$.n: beyond maximum 9"]
+    assert m.violations([], schema) == ["$: not object"] and m.violations({}, schema) == ["$.name: missing", "$.tags: missing"]
+    assert m.violations(True, {"type": "integer"}) and not m.violations(True, {"type": "boolean"})
+    assert m.checker(schema)({"name": "ab", "tags": []}) and not m.checker(schema)({}) and m.checker(None) is None
+
+
+def test_source_hooks(spark):
+    from storeloom.operators import stages
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "page_id long, url string")
+    plain = platforms.define_shopline_source("a", "shop.test", "p")
+    assert stages.run_source(plain, rows).count() == 3
+    whole = platforms.define_shopline_source("a", "shop.test", "p", download=platforms.Download("https://shop.test"), stage=lambda r: r.withColumn("n", F.lit(1)), reconcile=lambda r: r.distinct(), structured_facts=lambda r: r.groupBy("page_id").agg(F.count("*").alias("seen")))
+    assert sorted(map(tuple, stages.run_source(whole, rows).select("page_id", "n", "seen").collect())) == [(1, 1, 2), (2, 1, 1)]
+    clash = platforms.define_shopline_source("a", "shop.test", "p", structured_facts=lambda r: r)
+    with pytest.raises(ValueError, match="url"):
+        stages.run_source(clash, rows)
+
+
+def test_catalogue_tables(spark):
+    known = catalogue.table(spark)
+    assert catalogue.parity(known, known).count() == 0
+    less = known.where("symbol <> 'project'")
+    assert [tuple(r) for r in catalogue.parity(less, known).collect()] == [("project", "catalogue")]
+    assert {r.symbol for r in catalogue.matching(known, "http", "disallowed").collect()} == {"disallowed"}
