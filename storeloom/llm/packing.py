@@ -34,35 +34,47 @@ _NUMBERED = f"{PIECES}, row long"
 
 
 class Bins:
-    """A packing under construction; finds the fullest bin that still takes a piece in constant time."""
+    """A packing, perhaps under construction; finds the fullest bin that still takes a piece in constant time."""
 
     def __init__(self, capacity: int):
         self.capacity, self.content, self.room = capacity, [], []
         self.by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
         self.mask = 0  # bit r: some bin has room r
-
-    def open(self, items: list[int], used: int) -> None:
+        self._key: tuple[int, float] | None = None
+
+    @classmethod
+    def of(cls, content: list[list[int]], sizes: list[int], capacity: int) -> Bins:
+        out = cls(capacity)
+        for b in content:
+            out.open(list(b), capacity - sum(sizes[i] for i in b))
+        return out
+
+    def open(self, items: list[int], room: int) -> None:
+        self.by_room[room].append(len(self.content))
+        self.mask |= 1 << room
         self.content.append(items)
-        self.room.append(self.capacity - used)
-        self._list(len(self.content) - 1)
-
-    def _list(self, b: int) -> None:
-        r = self.room[b]
-        self.by_room[r].append(b)
-        self.mask |= 1 << r
+        self.room.append(room)
 
     def fit(self, item: int, size: int) -> None:
         rest = self.mask >> size
         if not rest:
-            self.open([item], size)
+            self.open([item], self.capacity - size)
             return
         r = size + (rest & -rest).bit_length() - 1
         b = self.by_room[r].pop()
         if not self.by_room[r]:
             self.mask &= ~(1 << r)
         self.content[b].append(item)
-        self.room[b] = r - size
-        self._list(b)
+        left = r - size
+        self.room[b] = left
+        self.by_room[left].append(b)
+        self.mask |= 1 << left
+
+    def key(self) -> tuple[int, float]:
+        """Less is better: bins, then less fitness; of a packing that is finished."""
+        if self._key is None:
+            self._key = len(self.content), -fitness(self)
+        return self._key
 
 
 def best_fit(items, sizes: list[int], capacity: int, bins: Bins | None = None) -> Bins:
@@ -72,62 +84,61 @@ def best_fit(items, sizes: list[int], capacity: int, bins: Bins | None = None) -
     return bins
 
 
-def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> float:
+def fitness(bins: Bins) -> float:
     """Falkenauer's: mean squared fill; of two packings with as many bins the less even is better."""
-    return sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins) / max(len(bins), 1)
+    return float(np.square(1 - np.array(bins.room) / bins.capacity).mean()) if bins.room else 0.0
 
 
-def crossover(first: list[list[int]], second: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def crossover(first: Bins, second: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """Whole well-filled bins of ``second`` go into ``first``; what they displace is best-fitted."""
-    ranked = sorted(second, key=lambda b: sum(sizes[i] for i in b), reverse=True)
+    ranked = sorted(range(len(second.room)), key=second.room.__getitem__)
     top = ranked[: max(1, len(ranked) // 2)]
     inject = rng.sample(top, max(1, len(top) // 2))
-    taken = {i for b in inject for i in b}
-    child, displaced = Bins(capacity), []
-    for b in inject:
-        child.open(list(b), sum(sizes[i] for i in b))
-    for b in first:
+    child, taken, displaced = Bins(capacity), set(), []
+    for k in inject:
+        taken.update(second.content[k])
+        child.open(second.content[k].copy(), second.room[k])
+    for b, room in zip(first.content, first.room):
         if taken.isdisjoint(b):
-            child.open(list(b), sum(sizes[i] for i in b))
+            child.open(b.copy(), room)
         else:
             displaced += [i for i in b if i not in taken]
-    displaced.sort(key=lambda i: -sizes[i])
-    return best_fit(displaced, sizes, capacity, child).content
+    displaced.sort(key=sizes.__getitem__, reverse=True)
+    return best_fit(displaced, sizes, capacity, child)
 
 
-def mutate(bins: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
+def mutate(bins: Bins, sizes: list[int], capacity: int, rng: random.Random) -> Bins:
     """The emptiest bins and a few at random are broken up and best-fitted anew."""
-    order = sorted(range(len(bins)), key=lambda k: sum(sizes[i] for i in bins[k]))
+    order = sorted(range(len(bins.room)), key=bins.room.__getitem__, reverse=True)
     broken = {*order[: max(1, len(order) // 50)], *rng.sample(order, min(len(order), 3))}
-    kept, free = Bins(capacity), [i for k in broken for i in bins[k]]
-    for k, b in enumerate(bins):
+    kept, free = Bins(capacity), [i for k in broken for i in bins.content[k]]
+    for k, b in enumerate(bins.content):
         if k not in broken:
-            kept.open(list(b), sum(sizes[i] for i in b))
-    free.sort(key=lambda i: -sizes[i])
-    return best_fit(free, sizes, capacity, kept).content
+            kept.open(b.copy(), bins.room[k])
+    free.sort(key=sizes.__getitem__, reverse=True)
+    return best_fit(free, sizes, capacity, kept)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, elite: list[list[int]] | None = None, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
+def evolve(sizes: list[int], capacity: int, seed: int, elite: list[list[int]] | None = None, generations: int = GENERATIONS, population: int = POPULATION) -> Bins:
     """The best packing of one island after some generations; ``elite`` came from another island."""
     rng = random.Random(seed)
     bound = math.ceil(sum(sizes) / capacity)
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    key = lambda b: (len(b), -fitness(b, sizes, capacity))
-    best = elite or best_fit(order, sizes, capacity).content
-    if len(best) <= bound:
+    order = sorted(range(len(sizes)), key=sizes.__getitem__, reverse=True)
+    best = Bins.of(elite, sizes, capacity) if elite else best_fit(order, sizes, capacity)
+    if len(best.content) <= bound:
         return best
-    people = [best, best_fit(order, sizes, capacity).content]
+    people = [best, best_fit(order, sizes, capacity)]
     while len(people) < population:
-        noisy = sorted(order, key=lambda i: -sizes[i] * rng.uniform(0.8, 1.2))
-        people.append(best_fit(noisy, sizes, capacity).content)
+        noisy = [(-sizes[i] * rng.uniform(0.8, 1.2), i) for i in order]
+        people.append(best_fit([i for _, i in sorted(noisy)], sizes, capacity))
     for _ in range(generations):
-        people.sort(key=key)
-        if len(people[0]) <= bound:
+        people.sort(key=Bins.key)
+        if len(people[0].content) <= bound:
             break
         half = people[: max(2, population // 2)]
         children = [crossover(*rng.sample(half, 2), sizes, capacity, rng) for _ in range(population - len(half))]
         people = half + [mutate(c, sizes, capacity, rng) if rng.random() < 0.5 else c for c in children]
-    return min(people, key=key)
+    return min(people, key=Bins.key)
 
 
 def _labels(bins: list[list[int]], n: int) -> bytes:
@@ -150,10 +161,10 @@ def _islands(capacity: int, epoch: int):
             packed, n_bins, fit, open_ = [], [], [], []
             for region, island, sizes, elite in zip(cols["region"], cols["island"], cols["lengths"], cols["packing"]):
                 best = evolve(sizes, capacity, zlib.crc32(f"{region}/{island}/{epoch}".encode()), _groups(elite) if elite else None)
-                packed.append(_labels(best, len(sizes)))
-                n_bins.append(len(best))
-                fit.append(fitness(best, sizes, capacity))
-                open_.append(len(best) > math.ceil(sum(sizes) / capacity))
+                packed.append(_labels(best.content, len(sizes)))
+                n_bins.append(len(best.content))
+                fit.append(fitness(best))
+                open_.append(len(best.content) > math.ceil(sum(sizes) / capacity))
             yield pa.record_batch([batch.column("region"), batch.column("island"), batch.column("lengths"), pa.array(packed, pa.binary()), pa.array(n_bins, pa.int32()), pa.array(fit, pa.float64()), pa.array(open_, pa.bool_())], names=["region", "island", "lengths", "packing", "n_bins", "fit", "unproven"])
 
     return run
@@ -205,7 +216,7 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -
 
     def run(batches):
         tok, row = tokenizer(path), TaskContext.get().partitionId() << 40
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 8 << 20):
             out = [[] for _ in range(6)]
             flat, offsets = tok.encode_many(batch.column("text").to_pylist())
             for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), offsets, offsets[1:]):

@@ -48,6 +48,17 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def _over_plain(pattern: str) -> re.Pattern | None:
+    """A pattern of letters and numbers for Python's own engine, with these classes written out for the plain characters; None if it has others."""
+    import regex
+
+    for kind in (r"\p{L}", r"\p{N}"):
+        members = [c for c in range(0x250) if not _PLAIN.search(chr(c)) and regex.match(kind, chr(c))]
+        ranges = [(a, b) for a, b in zip([c for c in members if c - 1 not in members], [c for c in members if c + 1 not in members])]
+        pattern = pattern.replace(kind, "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in ranges))
+    return None if r"\p" in pattern or r"\P" in pattern else re.compile(pattern)
+
+
 class FastTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -84,7 +95,7 @@ class FastTokenizer:
             self.fast = self.fast and split is not None and [n["type"] for n in spec["normalizer"]["normalizers"]] == ["NFC", "Replace", "Lowercase"]
             if self.fast:
                 self.pattern = split["pattern"]["Regex"]
-                self._words = regex.compile(self.pattern).findall
+                self._words = (_over_plain(self.pattern) or regex.compile(self.pattern)).findall
             rule = f"[^{_END}]*{_END}"
         else:
             import public_tokenizers
@@ -136,8 +147,12 @@ class FastTokenizer:
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of many texts one after the other, and the offsets of each; a distinct word is encoded once."""
         if self.by_word:
-            found = [self.words(t) if self.fast else [CHUNK + t] for t in texts]
-            return self.by_position(pa.array([w for x in found for w in x], pa.string()), np.array([len(x) for x in found], np.int64))
+            words: list[str] = []
+            ends = [0]
+            for t in texts:
+                words += self.words(t) if self.fast else [CHUNK + t]
+                ends.append(len(words))
+            return self.by_position(pa.array(words, pa.string()), np.diff(ends))
         found = [self.segments(t) for t in texts]
         table = list({x: None for parts in found for x, odd in parts if odd})
         slow = dict(zip(table, self.slow(table)))
@@ -157,18 +172,19 @@ class FastTokenizer:
 
     def _table(self, table: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of distinct words and chunks, and where each one's begin and how many they are."""
-        chunks = [w[1:] for w in table if w.startswith(CHUNK)]
-        plain = [self._words(c.lower()) if self.plain(c) else None for c in chunks]
-        each = [x if x is not None else [] for x in plain]
-        rest = iter(each)
-        parted = [next(rest) if w.startswith(CHUNK) else [w] for w in table]
-        flat = [w for x in parted for w in x]
+        marked = [i for i, w in enumerate(table) if w[:1] == CHUNK]
+        # a chunk that is plain becomes its words, any other one goes to the library
+        parted = {i: self._words(table[i][1:].lower()) if self.plain(table[i][1:]) else None for i in marked}
+        flat = [w for i, x in enumerate(table) for w in (parted[i] or () if i in parted else (x,))] if marked else table
         ids = self._ranked.encode_to_numpy(_END.join(flat) + _END) if flat else np.empty(0, np.uint32)
         ends = np.concatenate([[0], np.flatnonzero(self._closes[ids]) + 1]).astype(np.int64) if flat else np.zeros(1, np.int64)
-        at = np.cumsum([0, *map(len, parted)])
+        if not marked:
+            return ids.astype(np.uint32), ends[:-1], np.diff(ends)
+        sizes = np.ones(len(table), np.int64)
+        sizes[marked] = [len(parted[i] or ()) for i in marked]
+        at = np.concatenate([[0], np.cumsum(sizes)])
         starts, lengths = ends[at[:-1]], ends[at[1:]] - ends[at[:-1]]
-        odd = [i for i, w in enumerate(table) if w.startswith(CHUNK)]
-        odd = [i for i, x in zip(odd, plain) if x is None]
+        odd = [i for i in marked if parted[i] is None]
         if odd:
             slow = self.slow([table[i][1:] for i in odd])
             sizes = np.array([len(x) for x in slow], np.int64)

@@ -59,9 +59,11 @@ def test_bits_round_trip(bits, ids, data):
 @given(st.lists(st.integers(1, 100), min_size=1, max_size=60), st.integers(0, 9))
 def test_every_piece_packed_once(sizes, seed):
     rng = random.Random(seed)
-    a = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 100).content
-    b = packing.best_fit(rng.sample(range(len(sizes)), len(sizes)), sizes, 100).content
-    for bins in (a, b, packing.crossover(a, b, sizes, 100, rng), packing.mutate(b, sizes, 100, rng), packing.evolve(sizes, 100, seed)):
+    a = packing.best_fit(sorted(range(len(sizes)), key=lambda i: -sizes[i]), sizes, 100)
+    b = packing.best_fit(rng.sample(range(len(sizes)), len(sizes)), sizes, 100)
+    for packed in (a, b, packing.crossover(a, b, sizes, 100, rng), packing.mutate(b, sizes, 100, rng), packing.evolve(sizes, 100, seed)):
+        bins = packed.content
+        assert packed.room == [100 - sum(sizes[i] for i in x) for x in bins]
         assert sorted(i for x in bins for i in x) == list(range(len(sizes)))
         assert all(sum(sizes[i] for i in x) <= 100 for x in bins)
 
@@ -77,7 +79,7 @@ def test_evolution_beats_best_fit():
             a, b = (a, b) if a + b < 75 else (30, 31)
             sizes += [a, b, 100 - a - b]
         plain = len(packing.best_fit(sorted(range(60), key=lambda i: -sizes[i]), sizes, 100).content)
-        found = packing.evolve(sizes, 100, seed, generations=150)
+        found = packing.evolve(sizes, 100, seed, generations=150).content
         assert 20 <= len(found) <= plain
         better += len(found) < plain
     assert better
@@ -85,10 +87,10 @@ def test_evolution_beats_best_fit():
 
 def test_elites_are_kept():
     sizes = [random.Random(1).randint(20, 60) for _ in range(50)]
-    first = packing.evolve(sizes, 100, 1)
+    first = packing.evolve(sizes, 100, 1).content
     again = packing._groups(packing._labels(first, len(sizes)))
     assert sorted(map(sorted, again)) == sorted(map(sorted, first))
-    assert len(packing.evolve(sizes, 100, 2, elite=again)) <= len(first)
+    assert len(packing.evolve(sizes, 100, 2, elite=again).content) <= len(first)
 
 
 def test_search_of_a_hard_mix():
@@ -98,7 +100,7 @@ def test_search_of_a_hard_mix():
     best = [None] * packing.ISLANDS
     for epoch in range(packing.EPOCHS):
         elite = min((b for b in best if b), key=len, default=None)
-        best = [packing.evolve(sizes, 2048, 10 * epoch + i, elite) for i in range(packing.ISLANDS)]
+        best = [packing.evolve(sizes, 2048, 10 * epoch + i, elite).content for i in range(packing.ISLANDS)]
     assert min(map(len, best)) <= 535
 
 
