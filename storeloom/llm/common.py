@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -13,6 +11,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from storeloom.functions.lineage import new_folder
 
 #: A key held by more than one in SHARE rows is dealt over several parts; there are fewer than SHARE such keys.
 SHARE = 4096
@@ -27,17 +26,10 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.tables = spark, set()
-        #: Of each table its rows, and the largest ``n`` if it has such a column.
+        #: How many rows each table has.
         self.rows: dict[str, int] = {}
-        self.most: dict[str, int] = {}
         self._schemas: dict[str, StructType] = {}
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            root = tempfile.mkdtemp(prefix="storeloom-")
-            spark.conf.set("spark.checkpoint.dir", root)
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.root = new_folder(spark, name)
         _OPEN.append((spark, self.root))
 
     def path(self, table: str) -> str:
@@ -45,13 +37,10 @@ class Workspace:
 
     def save(self, df: DataFrame, table: str) -> DataFrame:
         """Writes a table, whose rows are counted on the way."""
-        seen, counts = Observation(), [F.count(F.lit(1)).alias("rows")]
-        if ("n", "bigint") in df.dtypes:
-            counts.append(F.max("n").alias("most"))
+        seen = Observation()
         self.tables.add(table)
-        df.observe(seen, *counts).write.parquet(self.path(table))
-        found = seen.get
-        self.rows[table], self.most[table] = found.get("rows") or 0, found.get("most") or 0
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(self.path(table))
+        self.rows[table] = seen.get.get("rows") or 0
         self._schemas[table] = df.schema
         return self.load(table)
 
@@ -63,19 +52,21 @@ class Workspace:
         """``rows`` joined with a saved table of one row for each key ``on``, where ``n`` says how many rows have the key.
 
         A key may have any share of all ``total`` rows. One with more than a share of total / SHARE
-        is dealt by ``place`` over as many parts as it has such shares, and its row of the table is sent to
-        each. The keys that this takes are fewer than SHARE by their count, so telling every task
-        of them has a proven bound.
+        is dealt by ``place`` over at least as many parts as it has such shares (a power of two), and its row of the table
+        is sent to each. The hashes of the keys that this takes, fewer than SHARE by their count, come to
+        the driver and stand in the plan; a key whose hash is equal by chance is dealt likewise on both sides.
         """
         known, share = self.load(table), max(1, total // SHARE)
-        if self.most[table] <= share:
-            return rows.join(known.drop("n"), on, how)
-        parts = F.ceil(F.col("n") / share).cast("int")
-        hot = known.where(F.col("n") > share).select(*on, parts.alias("__parts"))
-        dealt = rows.join(F.broadcast(hot), on, "left")
-        dealt = dealt.withColumn("__part", F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*place), F.col("__parts"))).cast("int"))
-        spread = known.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("n")
-        return dealt.drop("__parts").join(spread, [*on, "__part"], how).drop("__part")
+        key = F.xxhash64(*on)
+        sets: dict[int, list[int]] = {}
+        for row in known.where(F.col("n") > share).select(key.alias("key"), "n").collect():
+            sets.setdefault(1 << (-(-row.n // share) - 1).bit_length(), []).append(row.key)
+        parts = F.lit(1)
+        for n, keys in sorted(sets.items()):
+            parts = F.when(key.isin(keys), n).otherwise(parts)
+        dealt = rows.withColumn("__part", F.pmod(F.xxhash64(*place), parts).cast("int"))
+        spread = known.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+        return dealt.join(spread, [*on, "__part"], how).drop("__part")
 
     def drop(self, *tables: str) -> None:
         """Deletes tables that nothing reads any more."""
