@@ -7,7 +7,9 @@ would repeat a piece, and best-fits the displaced ones), and between epochs the
 elite of each island migrates to the next. An island stops once its number of
 bins equals the lower bound, which no packing can beat. Bins that stay short of
 ``FULL`` are broken up and packed again over many regions, so that regions cost
-next to nothing.
+next to nothing. One task searches a region, all islands and epochs of it: the
+state is a few MB, and a table of it after every epoch would be as many
+files more, for each of which Spark starts processes beside its executor.
 """
 
 from __future__ import annotations
@@ -154,61 +156,50 @@ def _groups(raw: bytes) -> list[list[int]]:
     return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(labels[order])) + 1)]
 
 
-def _islands(capacity: int, epoch: int):
-    def run(batches):
-        for batch in batches:
-            cols = batch.to_pydict()
-            packed, n_bins, fit, open_ = [], [], [], []
-            for region, island, sizes, elite in zip(cols["region"], cols["island"], cols["lengths"], cols["packing"]):
-                best = evolve(sizes, capacity, zlib.crc32(f"{region}/{island}/{epoch}".encode()), _groups(elite) if elite else None)
-                packed.append(_labels(best.content, len(sizes)))
-                n_bins.append(len(best.content))
-                fit.append(fitness(best))
-                open_.append(len(best.content) > math.ceil(sum(sizes) / capacity))
-            yield pa.record_batch([batch.column("region"), batch.column("island"), batch.column("lengths"), pa.array(packed, pa.binary()), pa.array(n_bins, pa.int32()), pa.array(fit, pa.float64()), pa.array(open_, pa.bool_())], names=["region", "island", "lengths", "packing", "n_bins", "fit", "unproven"])
-
-    return run
-
-
-def pack_round(ws: Workspace, pieces: DataFrame, n: int, name: str, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
-    """Pieces with their region and bin, packed in regions of about REGION."""
-    regions = max(1, math.ceil(n / REGION))
-    row = F.struct("length", "doc_id", "piece", "start", "ids_crc32", "row")
-    dealt = pieces.withColumn("region", F.pmod(F.xxhash64("row", F.lit(name)), F.lit(regions)))
-    grouped = ws.save(dealt.groupBy("region").agg(F.sort_array(F.collect_list(row)).alias("rows")), f"{name}_regions")
-    state = (
-        grouped.select("region", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("rows.length").alias("lengths"), F.lit(None).cast("binary").alias("packing"))
-    )
-    schema = "region long, island int, lengths array<long>, packing binary, n_bins int, fit double, unproven boolean"
+def search(sizes: list[int], capacity: int, region: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> bytes:
+    """The labels of a region's best packing; the state of an island between epochs is its elite."""
+    bound = math.ceil(sum(sizes) / capacity)
+    elites: list[tuple[int, float, bytes] | None] = [None] * islands
     for epoch in range(epochs):
-        state = ws.save(state.repartition(min(regions * islands, 4096), "region", "island").mapInArrow(_islands(capacity, epoch), schema), f"{name}_epoch_{epoch}")
         if epoch:
-            ws.drop(f"{name}_epoch_{epoch - 1}")
-        if epoch == epochs - 1 or not state.where("unproven").limit(1).count():
+            # migration: each island goes on from the better of its own elite and its neighbour's
+            elites = [min(elites[k], elites[k - 1]) for k in range(islands)]
+        for k, elite in enumerate(elites):
+            best = evolve(sizes, capacity, zlib.crc32(f"{region}/{k}/{epoch}".encode()), _groups(elite[2]) if elite else None)
+            elites[k] = (*best.key(), _labels(best.content, len(sizes)))
+        if all(n <= bound for n, _, _ in elites):
             break
-        # migration: each island goes on from the better of its own elite and its neighbour's
-        own = state.select("region", "island", "lengths", F.struct("n_bins", (-F.col("fit")).alias("f"), "packing").alias("own"))
-        came = state.select("region", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.struct("n_bins", (-F.col("fit")).alias("f"), "packing").alias("came"))
-        state = own.join(came, ["region", "island"]).select("region", "island", "lengths", F.least("own", "came").getField("packing").alias("packing"))
-    best = state.groupBy("region").agg(F.min(F.struct("n_bins", (-F.col("fit")).alias("f"), "packing")).getField("packing").alias("packing"))
+    return min(elites)[2]
 
-    def place(batches):
+
+def _pack_regions(capacity: int, islands: int, epochs: int):
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
+
+    def run(batches):
         for batch in batches:
-            for region, rows, packing in zip(*(batch.column(c) for c in ("region", "rows", "packing"))):
+            for region, rows in zip(batch.column("region").to_pylist(), batch.column("rows")):
                 flat = rows.values
-                bins = np.frombuffer(packing.as_py(), "<i4")
                 lengths = flat.field("length").to_numpy()
+                bins = np.frombuffer(search(lengths.tolist(), capacity, region, islands, epochs), "<i4")
                 order = np.argsort(bins, kind="stable")
                 before = np.cumsum(lengths[order]) - lengths[order]
                 firsts = np.searchsorted(bins[order], bins[order])
                 offset = np.empty_like(before)
                 offset[order] = before - before[firsts]
                 fill = np.bincount(bins, lengths)[bins].astype(np.int64)
-                names = ["doc_id", "piece", "start", "length", "ids_crc32", "row"]
                 cols = [flat.field(c) for c in names]
-                yield pa.record_batch([*cols, pa.array([region.as_py()] * len(bins), pa.int64()), pa.array(bins.astype(np.int64)), pa.array(offset), pa.array(fill)], names=[*names, "region", "bin", "offset", "fill"])
+                yield pa.record_batch([*cols, pa.array([region] * len(bins), pa.int64()), pa.array(bins.astype(np.int64)), pa.array(offset), pa.array(fill)], names=[*names, "region", "bin", "offset", "fill"])
+
+    return run
+
 
-    return grouped.join(best, "region").select("region", "rows", "packing").mapInArrow(place, f"{_NUMBERED}, region long, bin long, offset long, fill long")
+def pack_round(pieces: DataFrame, n: int, name: str, capacity: int, islands: int = ISLANDS, epochs: int = EPOCHS) -> DataFrame:
+    """Pieces with their region and bin, packed in regions of about REGION, each searched whole by one task."""
+    regions = max(1, math.ceil(n / REGION))
+    row = F.struct("length", "doc_id", "piece", "start", "ids_crc32", "row")
+    dealt = pieces.withColumn("region", F.pmod(F.xxhash64("row", F.lit(name)), F.lit(regions))).repartition(min(regions, 4096), "region")
+    grouped = dealt.groupBy("region").agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return grouped.mapInArrow(_pack_regions(capacity, islands, epochs), f"{_NUMBERED}, region long, bin long, offset long, fill long")
 
 
 def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
@@ -242,10 +233,10 @@ def best_fit_pack(spark: SparkSession, docs: DataFrame, path: str, capacity: int
     n = ws.rows["pieces"]
     if not n:
         return pieces.drop("row").select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    first = ws.save(pack_round(ws, pieces, n, "first", capacity), "placed")
+    first = ws.save(pack_round(pieces, n, "first", capacity), "placed")
     short = first.where(F.col("fill") < int(capacity * FULL))
     left = short.count()
-    again = ws.save(pack_round(ws, short.select(pieces.columns), max(left, 1), "again", capacity), "placed_again")
+    again = ws.save(pack_round(short.select(pieces.columns), max(left, 1), "again", capacity), "placed_again")
     ws.keep("placed", "placed_again")
     key = lambda level: (F.col("region") * (1 << 21) + F.col("bin")) * 2 + level
     kept = first.where(F.col("fill") >= int(capacity * FULL)).withColumn("sequence_id", key(0))

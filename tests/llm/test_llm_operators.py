@@ -387,6 +387,19 @@ def test_packing_of_one_doc_id(spark):
     assert len({k // 2 >> 21 for k in bins}) >= 40_000 // packing.REGION
 
 
+def test_packing_writes_no_states(spark, monkeypatch):
+    """Islands and epochs of a search leave no tables: each file that an executor writes starts processes beside it."""
+    saved, save = [], Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda ws, df, table: (saved.append(table), save(ws, df, table))[1])
+    rng = np.random.default_rng(5)
+    rows = [(i, "one " * int(n)) for i, n in enumerate(rng.integers(85, 130, 300))]
+    found = packing.best_fit_pack(spark, spark.createDataFrame(rows, "doc_id long, text string"), WORD, capacity=256).collect()
+    assert sorted(r.doc_id for r in found) == list(range(300))
+    # two of these pieces fill a sequence: no island reaches the bound, so that every epoch is searched
+    assert len({r.sequence_id for r in found}) == 150 > -(-sum(r.length for r in found) // 256)
+    assert sorted(saved) == ["pieces", "placed", "placed_again"]
+
+
 def brute_lines(rows, depth=1 << 30):
     """Texts without their repeats, and the repeats: chains of windows of 1, 2, 4, ... lines that are copies with one shift against their first places."""
     texts = {d: [(i, x) for i, x in enumerate((t or "").split("\n")) if x.strip(" \t\r")] for d, t, *_ in rows}
