@@ -79,12 +79,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """A recipe over the tables that it names."""
+    """A recipe over the tables that it names; as in DuckDB, concat takes a null part as an empty one."""
     import re
 
     names = {n for n in ("events", "pages", "documents", "labels", "conversations") if re.search(rf"\b{n}\b", sql)}
     held = {n: table(spark, sf_dir, n) for n in names}
-    escaped = sql.replace("{", "{{").replace("}", "}}")
+    escaped = re.sub(r"\bconcat\(", "concat_ws('', ", sql).replace("{", "{{").replace("}", "}}")
     for n in names:
         escaped = re.sub(rf"\b(from|join)\s+{n}\b(\s+(?!where|group|left|order|union)[a-z]\b)?", lambda m, n=n: f"{m[1]} {{{n}}}{m[2] or ''}", escaped)
     return spark.sql(escaped, **held)
