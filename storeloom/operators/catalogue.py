@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import argparse
+import functools
 import importlib
 import inspect
 import json
+import operator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,10 +49,10 @@ def on_axis(catalogue: DataFrame, axis: str) -> DataFrame:
     return catalogue.where(F.col("axis") == axis)
 
 
-def search(catalogue: DataFrame, text: str) -> DataFrame:
-    """Entries whose symbol or summary holds the text, in any case."""
-    low = F.lit(text.lower())
-    return catalogue.where(F.contains(F.lower("symbol"), low) | F.contains(F.lower("summary"), low))
+def search(catalogue: DataFrame, text: str, *others: str) -> DataFrame:
+    """Entries whose symbol or summary holds one of the texts, in any case; each entry once, entries alike as often as they stand there."""
+    held = [F.contains(F.lower(c), F.lit(t.lower())) for t in (text, *others) for c in ("symbol", "summary")]
+    return catalogue.where(functools.reduce(operator.or_, held))
 
 
 def matching(catalogue: DataFrame, axis: str, text: str) -> DataFrame:

@@ -734,8 +734,9 @@ _CAT = "select regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) as symbol, regexp_e
 def f15(spark, d):
     from storeloom.operators import catalogue
 
-    known = D.table(spark, d, "pages").select(F.regexp_extract("url", r"([^/?#]*)([?#].*)?\z", 1).alias("symbol"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("axis"), F.col("url").alias("summary"))
-    return catalogue.search(known, "UTM").unionAll(catalogue.search(known, "1")).distinct()
+    # in the SQL's patterns a dot is anything but a line feed, in Spark's no other line end either
+    known = D.table(spark, d, "pages").select(F.regexp_extract("url", r"([^/?#]*)([?#][^\n]*)?\z", 1).alias("symbol"), F.regexp_extract("url", "^https?://[^/]+/([a-z]+)/", 1).alias("axis"), F.col("url").alias("summary"))
+    return catalogue.search(known, "UTM", "1")
 
 
 @query("x05_axis_and_search", f"with c as ({_CAT}) select symbol, axis, summary from c where axis = 'es' and symbol in (select symbol from c where contains(lower(symbol), '1') or contains(lower(summary), '1'))")

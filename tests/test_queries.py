@@ -71,3 +71,25 @@ def test_null_html_equals_sql(name, spark, duck, tmp_path):
         con.execute(f"create temp view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
         sql = con.execute(registry.oracle_sql()[name]).df()
     assert rows(ours, sorted(sql.columns)) == rows(sql, sorted(sql.columns))
+
+
+def equals_sql(name, spark, duck, folder, pages):
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(folder / "pages.parquet"))
+    ours = registry.queries()[name](spark, str(folder)).toPandas()
+    with duck.cursor() as con:
+        con.execute(f"create temp view pages as select * from '{folder}/pages.parquet/*.parquet'")
+        sql = con.execute(registry.oracle_sql()[name]).df()
+    return rows(ours, sorted(sql.columns)) == rows(sql, sorted(sql.columns))
+
+
+def test_catalogue_search_keeps_pages_of_one_url(spark, duck, tmp_path):
+    urls = ["https://a.test/en/1?utm_source=x", "https://a.test/en/1?utm_source=x", "https://a.test/en/2?utm", "https://a.test/fr/none", "https://a.test/fr/none", "https://a.test/fr/12", None]
+    assert equals_sql("f15_catalogue_search", spark, duck, tmp_path, [(i, u, "") for i, u in enumerate(urls)])
+    got = registry.queries()["f15_catalogue_search"](spark, str(tmp_path)).collect()
+    assert sorted(r.summary for r in got) == sorted([urls[0], urls[1], urls[2], urls[5]])
+
+
+@pytest.mark.parametrize("end", ["\n", "\r", "\u0085", "\u2028"])
+def test_catalogue_search_reads_line_ends_as_sql(spark, duck, tmp_path, end):
+    urls = [f"https://a.test/en/1?a{end}b", f"https://a.test/en/1{end}", f"https://a.test/en/1?a{end}", f"https://a.test/en/1{end}/2"]
+    assert equals_sql("f15_catalogue_search", spark, duck, tmp_path, [(i, u, "") for i, u in enumerate(urls)])
