@@ -861,15 +861,17 @@ _ANSWERS = {"type": "object", "required": ["url", "n"], "properties": {"url": {"
 
 
 def _client():
-    """Answers by the prompt's length, and by how often it was asked."""
+    """Answers by the prompt's length, and by how often it was asked since its last good answer: pages may share a prompt."""
     import json
 
     asked: dict[str, int] = {}
 
     def ask(model, messages, timeout):
         prompt = messages[0]["content"]
-        asked[prompt] = nth = asked.get(prompt, 0) + 1
         good, usage, n = json.dumps({"url": prompt, "n": len(prompt)}), {"prompt_tokens": len(prompt), "completion_tokens": 2, "total_tokens": len(prompt) + 2}, len(prompt) % 6
+        nth = asked.pop(prompt, 0) + 1
+        if nth < {1: 2, 3: 3}.get(n, 1):
+            asked[prompt] = nth
         if n == 1 and nth == 1:
             raise OSError("reset")
         if n == 2:

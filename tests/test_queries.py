@@ -93,3 +93,12 @@ def test_catalogue_search_keeps_pages_of_one_url(spark, duck, tmp_path):
 def test_catalogue_search_reads_line_ends_as_sql(spark, duck, tmp_path, end):
     urls = [f"https://a.test/en/1?a{end}b", f"https://a.test/en/1{end}", f"https://a.test/en/1?a{end}", f"https://a.test/en/1{end}/2"]
     assert equals_sql("f15_catalogue_search", spark, duck, tmp_path, [(i, u, "") for i, u in enumerate(urls)])
+
+
+def test_extract_asks_for_each_page_of_one_url(spark, duck, tmp_path):
+    """Each length modulo 6 (the client's kinds of answers), each URL on four pages of one task, in a row and apart."""
+    urls = ["https://a.test/" + "é" * n for n in range(6)] + ['https://a.test/"\\\n1']
+    pages = [(i, u, "") for i, u in enumerate([u for u in urls for _ in range(2)] + urls * 2)]
+    assert equals_sql("p06_extract", spark, duck, tmp_path, pages)
+    got = registry.queries()["p06_extract"](spark, str(tmp_path)).collect()
+    assert {(len(pages[r.id][1]) % 6, r.attempts) for r in got} == {(0, 1), (1, 2), (2, 1), (3, 3), (4, 3), (5, 3)}
